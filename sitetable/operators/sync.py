@@ -6,7 +6,7 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitetable.functions.text import content_key, table_name
@@ -69,14 +69,10 @@ def run_sync(tasks: DataFrame, task_id: str, rows: DataFrame, audit_path: str |
     start = time.time()
     try:
         target = open_target(spark, task["target_type"], task["target_path"])
-        written = Observation()
-        mapped = map_fields(rows, task["field_mapping"]).observe(written, F.count(F.lit(1)).alias("rows"))
+        mapped = map_fields(rows, task["field_mapping"])
         table = task_table(task["source_url"], spark)
-        if keys:
-            target.upsert(mapped, table, keys)
-        else:
-            target.append(mapped, table)
-        report = SyncReport(task_id, "success", written.get["rows"], time.time() - start)
+        written = target.upsert(mapped, table, keys) if keys else target.append(mapped, table)
+        report = SyncReport(task_id, "success", written, time.time() - start)
     except Exception as error:
         report = SyncReport(task_id, "failed", 0, time.time() - start, str(error))
     if audit_path:

@@ -64,7 +64,7 @@ def delete_cascade(tables: Mapping[str, DataFrame], table: str, ids: DataFrame)
         df = tables[name]
         columns = df.columns
         for column, (parent, action) in spec.references.items():
-            if parent not in gone:
+            if parent not in gone or column not in columns:
                 continue
             dead = gone[parent].select(F.col("id").alias(column))
             if action == CASCADE:

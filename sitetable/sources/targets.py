@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitetable.functions.text import as_text
@@ -26,6 +26,10 @@ def append_union(existing: DataFrame, rows: DataFrame) -> DataFrame:
     return existing.unionByName(rows, allowMissingColumns=True)
 
 
+def _counted(df: DataFrame, rows: Observation | None) -> DataFrame:
+    return df if rows is None else df.observe(rows, F.count(F.lit(1)).alias("rows"))
+
+
 class FolderTarget:
     """Tables as folders under one path; subclasses say how a folder is read and written."""
 
@@ -41,7 +45,7 @@ class FolderTarget:
     def _read(self, folder: str) -> DataFrame:
         raise NotImplementedError
 
-    def _write(self, df: DataFrame, folder: str, mode: str) -> None:
+    def _write(self, df: DataFrame, folder: str, mode: str, rows: Observation | None) -> None:
         raise NotImplementedError
 
     def read(self, table: str, limit: int | None = None) -> DataFrame | None:
@@ -49,20 +53,28 @@ class FolderTarget:
         found = read_or_none(lambda: self._read(self.folder(table)))
         return found if found is None or limit is None else found.limit(limit)
 
-    def append(self, df: DataFrame, table: str) -> None:
-        self._write(self.prepare(df), self.folder(table), "append")
+    def append(self, df: DataFrame, table: str) -> int:
+        """Append rows; returns their number, counted while they are written."""
+        rows = Observation()
+        self._write(self.prepare(df), self.folder(table), "append", rows)
+        return rows.get["rows"]
 
-    def upsert(self, df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-        """Insert or replace by key. The new table is written aside first: a folder is never read and replaced at once."""
+    def upsert(self, df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str] = ()) -> int:
+        """Insert or replace by key; returns the number of rows given.
+
+        The new table is written aside first: a folder is never read and replaced at once.
+        """
         rows, existing = self.prepare(df), self.read(table)
         if existing is None:
             existing = rows.limit(0)
         missing = [f for f in rows.schema.fields if f.name not in existing.columns]
         existing = existing.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
-        merged = upsert(existing, rows, keys, [c for c in rows.columns if c not in keys], order)
+        given = Observation()
+        merged = upsert(existing, _counted(rows, given), keys, [c for c in rows.columns if c not in keys], order)
         aside = scratch_dir(self.spark, f"upsert-{table}")
         merged.write.parquet(aside)
-        self._write(self.spark.read.parquet(aside), self.folder(table), "overwrite")
+        self._write(self.spark.read.parquet(aside), self.folder(table), "overwrite", None)
+        return given.get["rows"]
 
     def last_cursor(self, table: str, column: str = "updated_at") -> str | None:
         """Greatest non-empty value of the cursor column as text; None without table, column or value."""
@@ -76,8 +88,8 @@ class ParquetTarget(FolderTarget):
     def _read(self, folder):
         return self.spark.read.option("mergeSchema", True).parquet(folder)
 
-    def _write(self, df, folder, mode):
-        df.write.mode(mode).parquet(folder)
+    def _write(self, df, folder, mode, rows):
+        _counted(df, rows).write.mode(mode).parquet(folder)
 
 
 class TextTarget(ParquetTarget):
@@ -95,12 +107,19 @@ class CsvTarget(FolderTarget):
     def prepare(self, df):
         return all_text(df)
 
-    def columns(self, folder: str) -> list[str] | None:
+    def _kept(self, folder: str) -> list[str]:
         kept = read_or_none(lambda: self.spark.read.schema("n int, name string").json(f"{folder}/_columns"))
-        if kept is not None:
-            return [r["name"] for r in kept.groupBy("n").agg(F.max("name").alias("name")).orderBy("n").collect()]
-        plain = read_or_none(lambda: self.spark.read.options(**self._OPTIONS).csv(folder))
-        return None if plain is None else plain.columns
+        if kept is None:
+            return []
+        return [r["name"] for r in kept.groupBy("n").agg(F.max("name").alias("name")).orderBy("n").collect()]
+
+    def columns(self, folder: str) -> list[str] | None:
+        """Column order of a table; that of the header for files from elsewhere, None without any."""
+        plain = None
+        kept = self._kept(folder)
+        if not kept:
+            plain = read_or_none(lambda: self.spark.read.options(**self._OPTIONS).csv(folder))
+        return kept or (None if plain is None else plain.columns)
 
     def _read(self, folder):
         columns = self.columns(folder)
@@ -109,23 +128,20 @@ class CsvTarget(FolderTarget):
         schema = ", ".join(f"`{c}` string" for c in columns)
         return self.spark.read.schema(schema).options(**self._OPTIONS, multiLine=True).csv(folder)
 
-    def _write(self, df, folder, mode):
-        known = (self.columns(folder) or []) if mode == "append" else []
+    def _write(self, df, folder, mode, rows):
+        kept = self._kept(folder) if mode == "append" else []
+        known = kept or (self.columns(folder) or [] if mode == "append" else [])
         columns = known + [c for c in df.columns if c not in known]
         aligned = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c)
                               for c in columns])
+        # the list goes first: a reader that knows more columns than the files have sees nulls
         if mode == "overwrite":
-            aligned.write.mode(mode).options(**self._OPTIONS).csv(folder)
-        # only columns the folder does not know are added, so the list survives a repeated append
-        added = [(n, c) for n, c in enumerate(columns) if c not in known or not self._kept(folder)]
+            aligned.limit(0).write.mode(mode).options(**self._OPTIONS).csv(folder)
+        added = [(n, c) for n, c in enumerate(columns) if c not in kept]
         if added:
             self.spark.createDataFrame(added, "n int, name string").coalesce(1) \
                 .write.mode("append").json(f"{folder}/_columns")
-        if mode == "append":
-            aligned.write.mode(mode).options(**self._OPTIONS).csv(folder)
-
-    def _kept(self, folder: str) -> bool:
-        return read_or_none(lambda: self.spark.read.schema("n int").json(f"{folder}/_columns")) is not None
+        _counted(aligned, rows).write.mode("append").options(**self._OPTIONS).csv(folder)
 
 
 class JdbcTarget:
@@ -134,9 +150,11 @@ class JdbcTarget:
     def __init__(self, spark: SparkSession, url: str, batch_size: int = 500, **options: str):
         self.spark, self.url, self.batch_size, self.options = spark, url, batch_size, options
 
-    def append(self, df: DataFrame, table: str) -> None:
-        (df.write.format("jdbc").mode("append").option("url", self.url).option("dbtable", table)
+    def append(self, df: DataFrame, table: str) -> int:
+        rows = Observation()
+        (_counted(df, rows).write.format("jdbc").mode("append").option("url", self.url).option("dbtable", table)
            .option("batchsize", self.batch_size).options(**self.options).save())
+        return rows.get["rows"]
 
     def read(self, table: str, limit: int | None = None) -> DataFrame | None:
         found = read_or_none(lambda: self.spark.read.format("jdbc").option("url", self.url)

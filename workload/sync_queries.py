@@ -133,7 +133,7 @@ def sync_runs(spark, sf):
     base, log = scratch_dir(spark, "sync-runs"), scratch_dir(spark, "sync-audit")
     tasks = Y.register_tasks(_task_rows(spark, sf).withColumn(
         "target_path", F.concat(F.lit(base + "/"), F.col("id"))))
-    nations = F.broadcast(table(spark, sf, "nation")) if False else table(spark, sf, "nation")
+    nations = table(spark, sf, "nation")
     customers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     reports = [Y.run_sync(tasks, str(r), customers.filter(F.col("n_regionkey") == r), log)
                for _ in range(2) for r in range(5)]
