@@ -14,13 +14,18 @@ stays in the JVM. The tree is built leniently, the way C HTML parsers repair pag
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# executors get this module with the UDF itself, whether or not the package is installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Tags that a page exposes for interaction, and the data tags listed with them.
 INTERACTIVE_TAGS = ("a", "button", "input", "select", "textarea", "label", "form")
 DATA_TAGS = ("table", "tr", "td", "th")

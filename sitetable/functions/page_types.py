@@ -1,17 +1,17 @@
 """Page signals and page type: weighted boolean signals, all native expressions.
 
-``html`` is the page source, ``forms`` and ``elements`` come from the parse stage.
+Arguments are column names (``parsed.forms`` style paths included); the rules
+are rendered as SQL text, which keeps the expressions short to read and to build.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitetable.functions.html import INTERACTIVE_TAGS
-from sitetable.functions.text import count_of, has_any
 
 # Signal, page type, weight. Ties go to the type named first.
 SIGNAL_RULES: tuple[tuple[str, str, float], ...] = (
@@ -40,61 +40,65 @@ SIGNALS = tuple(signal for signal, _, _ in SIGNAL_RULES)
 SCORED_TYPES = tuple(dict.fromkeys(page_type for _, page_type, _ in SIGNAL_RULES))
 
 
-def page_signals(html: Column, title: Column, url: Column, forms: Column, elements: Column,
-                 strict: bool = False) -> Column:
+def _any(text: str, words: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{word}')" for word in words) + ")"
+
+
+def page_signals(html: str = "html", title: str = "title", url: str = "url", forms: str = "parsed.forms",
+                 elements: str = "parsed.elements", strict: bool = False) -> Column:
     """Struct of the 12 signals.
 
     ``strict`` repairs two loose tests: any quoted link counting as a download
     and ``<link`` counting as a list item.
     """
-    def form_input(input_type: str) -> Column:
-        return F.coalesce(F.exists(forms, lambda form: F.exists(
-            form.inputs, lambda field: F.coalesce(field["type"] == input_type, F.lit(False)))), F.lit(False))
-
-    named = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(url, F.lit("")))
-    low = F.lower(html)
-    items = count_of(low, "<li") - (count_of(low, "<link") if strict else F.lit(0))
-    downloads = DOWNLOAD_WORDS[1:] if strict else DOWNLOAD_WORDS
+    low = f"lower({html})"
+    named = f"lower(concat(coalesce({title}, ''), ' ', coalesce({url}, '')))"
+
+    def count(part: str) -> str:
+        return f"(length({low}) - length(replace({low}, '{part}', ''))) div {len(part)}"
+
+    def form_input(kind: str) -> str:
+        return f"exists({forms}, form -> exists(form.inputs, field -> coalesce(field.type = '{kind}', false)))"
+
+    items = f"({count('<li')}) - ({count('<link')})" if strict else count("<li")
+    interactive = ", ".join(f"'{tag}'" for tag in INTERACTIVE_TAGS)
     tests = {
         "has_password_field": form_input("password"),
-        "has_login_keyword": has_any(named, LOGIN_WORDS),
-        "has_search_field": form_input("search") | low.contains("search"),
-        "has_table": low.contains("<table"),
-        "has_list_items": items > 5,
-        "has_pagination": has_any(html, PAGINATION_WORDS),
-        "has_many_inputs": F.size(F.filter(elements, lambda e: e.tag == "input")) >= 4,
-        "has_submit_button": F.exists(elements, lambda e: e.tag.isin(*INTERACTIVE_TAGS) & (
-            (e.tag == "button") | F.coalesce(e.attributes.getItem("type") == "submit", F.lit(False)))),
-        "has_charts": has_any(html, CHART_WORDS),
-        "has_dashboard_keyword": has_any(named, DASHBOARD_WORDS),
-        "has_download_link": has_any(html, downloads),
-        "has_detail_keyword": has_any(named, DETAIL_WORDS),
+        "has_login_keyword": _any(named, LOGIN_WORDS),
+        "has_search_field": f"coalesce({form_input('search')}, false) OR contains({low}, 'search')",
+        "has_table": f"contains({low}, '<table')",
+        "has_list_items": f"{items} > 5",
+        "has_pagination": _any(low, PAGINATION_WORDS),
+        "has_many_inputs": f"size(filter({elements}, e -> e.tag = 'input')) >= 4",
+        "has_submit_button": f"exists({elements}, e -> e.tag IN ({interactive}) AND "
+                             "(e.tag = 'button' OR coalesce(e.attributes['type'] = 'submit', false)))",
+        "has_charts": _any(low, CHART_WORDS),
+        "has_dashboard_keyword": _any(named, DASHBOARD_WORDS),
+        "has_download_link": _any(low, DOWNLOAD_WORDS[1:] if strict else DOWNLOAD_WORDS),
+        "has_detail_keyword": _any(named, DETAIL_WORDS),
     }
-    return F.struct(*[F.coalesce(tests[name], F.lit(False)).alias(name) for name in SIGNALS])
+    fields = ", ".join(f"'{name}', coalesce({tests[name]}, false)" for name in SIGNALS)
+    return F.expr(f"named_struct({fields})")
 
 
-def type_scores(signals: Column) -> dict[str, Column]:
-    """Score column per page type: its weights summed in rule order."""
-    scores: dict[str, Column] = {}
+def type_scores(signals: str = "signals") -> dict[str, str]:
+    """SQL text of the score per page type: its weights summed in rule order."""
+    parts: dict[str, list[str]] = {page_type: [] for page_type in SCORED_TYPES}
     for signal, page_type, weight in SIGNAL_RULES:
-        part = F.when(signals.getField(signal), F.lit(weight)).otherwise(F.lit(0.0))
-        scores[page_type] = scores[page_type] + part if page_type in scores else part
-    return scores
+        parts[page_type].append(f"if({signals}.{signal}, {weight}D, 0D)")
+    return {page_type: "(" + " + ".join(terms) + ")" for page_type, terms in parts.items()}
 
 
-def page_type(signals: Column, score_cols: Mapping[str, Column] | None = None) -> Column:
+def page_type(signals: str = "signals", score_cols: Mapping[str, str] | None = None) -> Column:
     """Struct (page_type, confidence): best score and its share of all scores.
 
-    ``score_cols`` replaces rule scores per type, e.g. by those of a model.
-    Without any score the page is ``unknown`` with confidence 0.
+    ``score_cols`` names columns that replace rule scores per type, e.g. those
+    of a model. Without any score the page is ``unknown`` with confidence 0.
     """
     scores = {**type_scores(signals), **(score_cols or {})}
-    ranked = F.array(*[F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(name).alias("name"))
-                       for rank, (name, score) in enumerate(scores.items())])
-    best = F.array_max(ranked)
-    total = sum(scores.values(), F.lit(0.0))
-    known = total > 0
-    return F.struct(
-        F.when(known, best.getField("name")).otherwise("unknown").alias("page_type"),
-        F.when(known, F.least(best.getField("score") / F.nullif(total, F.lit(0.0)), F.lit(1.0)))
-         .otherwise(F.lit(0.0)).alias("confidence"))
+    ranked = ", ".join(f"named_struct('score', {score}, 'rank', {-rank}, 'name', '{name}')"
+                       for rank, (name, score) in enumerate(scores.items()))
+    best, total = f"array_max(array({ranked}))", " + ".join(scores.values())
+    return F.expr(f"""named_struct(
+        'page_type', CASE WHEN {total} > 0 THEN {best}.name ELSE 'unknown' END,
+        'confidence', CASE WHEN {total} > 0 THEN least({best}.score / ({total}), 1D) ELSE 0D END)""")

@@ -7,48 +7,38 @@ from pyspark.sql import functions as F
 
 from sitetable.functions.html import INTERACTIVE_TAGS
 
-# Fixed values: (tag, attribute test, wanted value, role); the first rule that fits wins.
-ROLE_RULES: tuple[tuple[str | None, str | None, str | None, str], ...] = (
-    ("input", "type", "text", "field"),
-    ("input", "type", "password", "field"),
-    ("input", "type", "email", "field"),
-    ("input", "type", "search", "field"),
-    ("input", "type", "submit", "action"),
-    ("button", None, None, "action"),
-    ("a", None, None, "navigation"),
-    ("select", None, None, "field"),
-    ("textarea", None, None, "field"),
-    (None, "role", "navigation", "navigation"),
-    (None, "role", "search", "field"),
-    (None, "role", "button", "action"),
-    (None, "role", "link", "navigation"),
-    (None, "class", "paginat", "pagination"),
-    (None, "class", "next", "pagination"),
-    (None, "class", "prev", "pagination"),
-    ("table", None, None, "data"),
-    ("tr", None, None, "data"),
-    ("td", None, None, "data"),
-    ("th", None, None, "data"),
-)
+# Role rules, in the order in which they apply; the first that fits wins.
+INPUT_ROLES = {"text": "field", "password": "field", "email": "field", "search": "field", "submit": "action"}
+TAG_ROLES = {"button": "action", "a": "navigation", "select": "field", "textarea": "field"}
+ROLE_ATTRIBUTE_ROLES = {"navigation": "navigation", "search": "field", "button": "action", "link": "navigation"}
+PAGINATION_CLASSES = ("paginat", "next", "prev")
+DATA_TAG_ROLES = {"table": "data", "tr": "data", "td": "data", "th": "data"}
 KNOWN_ROLES = ("field", "action", "navigation", "status", "data", "pagination")
 
 
+def _lookup(roles: dict[str, str], key: Column) -> Column:
+    pairs = ", ".join(f"'{name}', '{role}'" for name, role in roles.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
 def infer_role(tag: Column, attributes: Column) -> Column:
-    """Role by the first rule that fits, else ``unknown``; class rules test for a part of the class."""
-    chain = None
-    for rule_tag, attribute, wanted, role in ROLE_RULES:
-        test = F.lit(True) if rule_tag is None else tag == rule_tag
-        if attribute is not None:
-            value = F.lower(attributes.getItem(attribute))
-            fits = value.contains(wanted) if attribute == "class" else value == wanted
-            test = test & F.coalesce(fits, F.lit(False))
-        chain = F.when(test, role) if chain is None else chain.when(test, role)
-    return chain.otherwise("unknown")
+    """Role by input type, tag, role attribute, class and data tag, in that order; else ``unknown``."""
+    class_name = F.lower(attributes.getItem("class"))
+    paginates = class_name.contains(PAGINATION_CLASSES[0])
+    for part in PAGINATION_CLASSES[1:]:
+        paginates = paginates | class_name.contains(part)
+    return F.coalesce(
+        F.when(tag == "input", _lookup(INPUT_ROLES, F.lower(attributes.getItem("type")))),
+        _lookup(TAG_ROLES, tag),
+        _lookup(ROLE_ATTRIBUTE_ROLES, F.lower(attributes.getItem("role"))),
+        F.when(paginates, "pagination"),
+        _lookup(DATA_TAG_ROLES, tag),
+        F.lit("unknown"))
 
 
 def known_role(role: Column) -> Column:
     """Map a free role name to the role domain; anything else is ``unknown``."""
-    return F.when(role.isin(*KNOWN_ROLES), role).otherwise("unknown")
+    return F.coalesce(_lookup({name: name for name in KNOWN_ROLES}, role), F.lit("unknown"))
 
 
 def _given(attributes: Column, name: str) -> Column:

@@ -33,15 +33,21 @@ def page_texts(pages: DataFrame, key: str = "id") -> DataFrame:
 
 def with_roles(elements: Column) -> Column:
     """Element array with role, confidence, aria label and the interactive flag added, row by row."""
-    def enrich(e: Column) -> Column:
-        role = roles.known_role(roles.infer_role(e.tag, e.attributes))
-        label = F.coalesce(e.attributes.getItem("aria-label"), e.attributes.getItem("aria_label"))
+    def role(e: Column) -> Column:
+        return F.struct(e.alias("e"), roles.known_role(roles.infer_role(e.tag, e.attributes)).alias("role"))
+
+    def enrich(pair: Column) -> Column:
+        e = pair["e"]
         return F.struct(
-            e.doc_pos.alias("doc_pos"), role.alias("role"), e.tag.alias("tag"), e.text.alias("label"),
-            e.selector.alias("selector"), label.alias("aria_label"), e.attributes.alias("attributes"),
-            roles.confidence(role, e.attributes).alias("confidence"),
+            e.doc_pos.alias("doc_pos"), pair["role"].alias("role"), e.tag.alias("tag"), e.text.alias("label"),
+            e.selector.alias("selector"), _aria(e.attributes).alias("aria_label"), e.attributes.alias("attributes"),
+            roles.confidence(pair["role"], e.attributes).alias("confidence"),
             roles.is_interactive(e.tag).alias("is_interactive"), e.attributes_text.alias("attributes_text"))
-    return F.transform(elements, enrich)
+    return F.transform(F.transform(elements, role), enrich)
+
+
+def _aria(attributes: Column) -> Column:
+    return F.coalesce(attributes.getItem("aria-label"), attributes.getItem("aria_label"))
 
 
 def elements_table(pages: DataFrame, key: str = "id", tags: Sequence[str] | None = None,
@@ -59,8 +65,7 @@ def elements_table(pages: DataFrame, key: str = "id", tags: Sequence[str] | None
     rows = rows.select(
         "page_id", role.alias("role"), F.col("e.tag").alias("tag"), F.col("e.text").alias("label"),
         F.col("e.selector").alias("selector"),
-        F.coalesce(F.col("e.attributes").getItem("aria-label"), F.col("e.attributes").getItem("aria_label"))
-         .alias("aria_label"),
+        _aria(F.col("e.attributes")).alias("aria_label"),
         F.col("e.attributes").alias("attributes"), F.col("e.attributes_text").alias("attributes_text"),
         roles.is_interactive(F.col("e.tag")).alias("is_interactive"), F.col("e.doc_pos").alias("doc_pos"))
     return (rows.withColumn("confidence", roles.confidence(F.col("role"), F.col("attributes")))
@@ -123,7 +128,7 @@ def table_rows(pages: DataFrame, key: str = "id") -> DataFrame:
 
 
 def classify_pages(pages: DataFrame, strict: bool = False,
-                   score_cols: Mapping[str, Column] | None = None) -> DataFrame:
+                   score_cols: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``title``, ``signals``, ``page_type`` and ``confidence`` in one pass over the html.
 
     A stored title is kept; the parsed one fills in where it is null or absent.
@@ -132,16 +137,14 @@ def classify_pages(pages: DataFrame, strict: bool = False,
 
 
 def classify_parsed(parsed: DataFrame, strict: bool = False,
-                    score_cols: Mapping[str, Column] | None = None) -> DataFrame:
+                    score_cols: Mapping[str, str] | None = None) -> DataFrame:
     """``classify_pages`` for pages that carry a ``parsed`` column already."""
     stored = F.col("title") if "title" in parsed.columns else F.lit(None)
     return (parsed
             .withColumn("title", F.coalesce(stored, F.col("parsed.title")))
-            .withColumn("signals", page_signals(F.col("html"), F.col("title"), F.col("url"),
-                                                F.col("parsed.forms"), F.col("parsed.elements"), strict))
-            .withColumn("_type", page_type(F.col("signals"), score_cols))
-            .withColumn("page_type", F.col("_type.page_type"))
-            .withColumn("confidence", F.col("_type.confidence"))
+            .withColumn("signals", page_signals(strict=strict))
+            .withColumn("_type", page_type("signals", score_cols))
+            .withColumns({"page_type": F.col("_type.page_type"), "confidence": F.col("_type.confidence")})
             .drop("_type"))
 
 

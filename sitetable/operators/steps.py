@@ -48,6 +48,12 @@ def steps_from_logs(runs: DataFrame) -> DataFrame:
                        .withColumn("id", content_key("trajectory_id", "step_index")), "action_steps")
 
 
+def runs_with_status(trajectories: DataFrame, status: str, page_id: str | None = None) -> DataFrame:
+    """Trajectories with a status (``success``, ``failed`` ...), of one page or of all."""
+    found = trajectories.filter(F.col("status") == status)
+    return found if page_id is None else found.filter(F.col("page_id") == page_id)
+
+
 def in_order(steps: DataFrame) -> DataFrame:
     return steps.orderBy("trajectory_id", "step_index")
 

@@ -33,11 +33,10 @@ STEP_TYPE = ("struct<action_type:string,selector:string,value:string,description
 def page_elements(pages: DataFrame) -> DataFrame:
     """Pages with ``elements`` (interactive, with roles) and ``page_type``: the input of the plans."""
     parsed = parse_pages(pages, SIGNAL_PARTS, INTERACTIVE_TAGS)
-    signals = page_signals(F.col("html"), F.col("parsed.title"), F.col("url"),
-                           F.col("parsed.forms"), F.col("parsed.elements"))
-    return (parsed.withColumn("page_type", page_type(signals).getField("page_type"))
-                  .withColumn("elements", with_roles(F.col("parsed.elements")))
-                  .drop("parsed"))
+    return (parsed.withColumns({"_signals": page_signals(title="parsed.title"),
+                                "elements": with_roles(F.col("parsed.elements"))})
+                  .withColumn("page_type", page_type("_signals").getField("page_type"))
+                  .drop("parsed", "_signals"))
 
 
 def pick_by_words(elements: Column, roles: Sequence[str], words: Sequence[str]) -> Column:
@@ -45,27 +44,27 @@ def pick_by_words(elements: Column, roles: Sequence[str], words: Sequence[str])
 
     A keyword outranks document order: the earliest word wins even on a late
     element. Label, selector and attributes (names included) are searched.
-    Struct (selector, matched), null without a candidate.
+    Struct with selector and ``matched``, null without a candidate.
     """
-    def rank(e: Column) -> Column:
+    def place(e: Column) -> Column:
         hay = F.lower(F.concat(e.label, e.selector, e.attributes_text))
-        place = F.lit(len(words))
-        for i in reversed(range(len(words))):
-            place = F.when(hay.contains(words[i].lower()), F.lit(i)).otherwise(place)
-        return F.struct(place.alias("rank"), e.doc_pos.alias("doc_pos"), e.selector.alias("selector"))
+        hits = F.array(*[F.when(hay.contains(word.lower()), F.lit(i)) for i, word in enumerate(words)])
+        return F.struct(F.coalesce(F.array_min(hits), F.lit(len(words))).alias("rank"),
+                        e.doc_pos.alias("doc_pos"), e.selector.alias("selector"))
+
+    def mark(e: Column) -> Column:
+        return F.struct(e["rank"].alias("rank"), e.doc_pos.alias("doc_pos"), e.selector.alias("selector"),
+                        (e["rank"] < len(words)).alias("matched"))
 
     candidates = F.filter(elements, lambda e: e.role.isin(*roles))
-    best = F.array_min(F.transform(candidates, rank))
-    return F.when(best.isNotNull(), F.struct(best.getField("selector").alias("selector"),
-                                             (best.getField("rank") < len(words)).alias("matched")))
+    return F.array_min(F.transform(F.transform(candidates, place), mark))
 
 
 def pick_by_type(elements: Column, input_type: str) -> Column:
     """The first element whose ``type`` attribute is exactly ``input_type``, whatever its role."""
     found = F.filter(elements, lambda e: F.coalesce(e.attributes.getItem("type") == input_type, F.lit(False)))
-    best = F.array_min(F.transform(found, lambda e: F.struct(e.doc_pos.alias("doc_pos"), e.selector.alias("selector"))))
-    return F.when(best.isNotNull(), F.struct(best.getField("selector").alias("selector"),
-                                             F.lit(True).alias("matched")))
+    return F.array_min(F.transform(found, lambda e: F.struct(
+        e.doc_pos.alias("doc_pos"), e.selector.alias("selector"), F.lit(True).alias("matched"))))
 
 
 def step(action_type: str, description: str, pick: Column | None = None, value: Column | None = None,
@@ -97,10 +96,13 @@ def plan_login(pages: DataFrame, username: Column, secret_ref: Column, key: str
     ``secret_ref`` names a stored secret; plain passwords do not belong in a table.
     """
     elements = F.col("elements")
-    return assemble(pages, F.lit("login"), F.array(
-        step("fill", "Fill username / email", pick_by_words(elements, FIELD_ROLES, USER_WORDS), username),
-        step("fill", "Fill password", pick_by_type(elements, "password"), secret_ref),
-        step("click", "Click login / submit", pick_by_words(elements, ACTION_ROLES, LOGIN_ACTION_WORDS)),
+    picked = (pages.withColumn("_user", pick_by_words(elements, FIELD_ROLES, USER_WORDS))
+                   .withColumn("_password", pick_by_type(elements, "password"))
+                   .withColumn("_submit", pick_by_words(elements, ACTION_ROLES, LOGIN_ACTION_WORDS)))
+    return assemble(picked, F.lit("login"), F.array(
+        step("fill", "Fill username / email", F.col("_user"), username),
+        step("fill", "Fill password", F.col("_password"), secret_ref),
+        step("click", "Click login / submit", F.col("_submit")),
         step("wait", "Wait for navigation after login", timeout_ms=LOGIN_WAIT_MS)), key)
 
 
@@ -129,19 +131,20 @@ def plan_paginate(pages: DataFrame, max_pages: int = 50, key: str = "id") -> Dat
 
 def plan_download(pages: DataFrame, key: str = "id") -> DataFrame:
     """One download step, or no rows for a page without anything to click."""
-    pick = pick_by_words(F.col("elements"), ACTION_ROLES, DOWNLOAD_WORDS)
-    return assemble(pages, F.lit("download_file"),
-                    F.array(step("download", "Click download / export link", pick)), key)
+    picked = pages.withColumn("_link", pick_by_words(F.col("elements"), ACTION_ROLES, DOWNLOAD_WORDS))
+    return assemble(picked, F.lit("download_file"),
+                    F.array(step("download", "Click download / export link", F.col("_link"))), key)
 
 
 def plan_search(pages: DataFrame, query: Column, key: str = "id") -> DataFrame:
     """Fill the search field, submit, wait; no rows for a page without a field."""
-    pick = pick_by_words(F.col("elements"), FIELD_ROLES, SEARCH_WORDS)
+    picked = pages.withColumn("_field", pick_by_words(F.col("elements"), FIELD_ROLES, SEARCH_WORDS))
+    field = F.col("_field")
     wait = step("wait", "Wait for search results", timeout_ms=SEARCH_WAIT_MS)
-    return assemble(pages, F.concat(F.lit("search:"), query), F.array(
-        step("fill", "Enter search query", pick, query),
-        step("submit", "Submit search form", pick),
-        F.when(pick.isNotNull(), wait)), key)
+    return assemble(picked, F.concat(F.lit("search:"), query), F.array(
+        step("fill", "Enter search query", field, query),
+        step("submit", "Submit search form", field),
+        F.when(field.isNotNull(), wait)), key)
 
 
 def action_json(steps: DataFrame) -> DataFrame:

@@ -131,12 +131,12 @@ def page_runs(spark, sf):
 
 @query("P5", with_sql(TRAJECTORIES_SQL, select="SELECT page_id, id FROM trajectories WHERE status = 'success'"))
 def successful_runs(spark, sf):
-    return trajectories(spark, sf).filter(F.col("status") == "success").select("page_id", "id")
+    return S.runs_with_status(trajectories(spark, sf), "success").select("page_id", "id")
 
 
 @query("P6", with_sql(TRAJECTORIES_SQL, select="SELECT page_id, id FROM trajectories WHERE status = 'failed'"))
 def failed_runs(spark, sf):
-    return trajectories(spark, sf).filter(F.col("status") == "failed").select("page_id", "id")
+    return S.runs_with_status(trajectories(spark, sf), "failed").select("page_id", "id")
 
 
 @query("J6", with_sql(TRAJECTORIES_SQL, select="""
