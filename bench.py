@@ -34,7 +34,8 @@ def main() -> None:
              .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    REGISTRY["page_titles"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()  # start the workers
+    for name in ("page_types", "account_elements", "steps_until_failure"):  # start workers, warm up the JVM
+        REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.time()

@@ -21,18 +21,19 @@ from sitetable.session import checkpointed
 def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column) -> DataFrame:
     """Add ``previous`` (the value of the row before), ``changed`` and ``change_no``.
 
-    ``chunk`` must not decrease along ``order``, e.g. the day of the ordering
+    ``order`` should be unique within a key, or ties are placed arbitrarily. ``chunk`` must not decrease along ``order``, e.g. the day of the ordering
     timestamp. ``change_no`` counts changes so far, 0 on a key's first row.
     """
     # struct keys compare null-safely, so rows with a null key or order are kept
     by, key = "_by", "_by._key"
     inside = W.Window.partitionBy(by).orderBy(*order)
+    so_far = (W.Window.unboundedPreceding, W.Window.currentRow)
     rows = (df.withColumn(by, F.struct(F.struct(*keys).alias("_key"), F.struct(chunk).alias("_chunk")))
               .withColumn("_row", F.row_number().over(inside))
               .withColumn("_before", F.lag(value).over(inside)))
     differs = ~F.col("_before").eqNullSafe(F.col(value))
     rows = (rows.withColumn("_changed", F.when(F.col("_row") > 1, differs).otherwise(F.lit(False)))
-                .withColumn("_count", F.sum(F.col("_changed").cast("long")).over(inside)))
+                .withColumn("_count", F.sum(F.col("_changed").cast("long")).over(inside.rowsBetween(*so_far))))
 
     along = W.Window.partitionBy(key).orderBy("_by._chunk")
     edges = (rows.groupBy(by).agg(F.min_by(value, "_row").alias("_first"), F.max_by(value, "_row").alias("_last"),
@@ -40,8 +41,9 @@ def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
                  .withColumn("_edge", F.lag("_last").over(along))
                  .withColumn("_opens", F.row_number().over(along) > 1))
     edges = edges.withColumn("_step", (F.col("_opens") & ~F.col("_edge").eqNullSafe(F.col("_first"))).cast("long"))
-    so_far = F.sum(F.col("_inside") + F.col("_step")).over(along) - F.col("_inside")
-    edges = edges.select(by, "_edge", (F.col("_step") == 1).alias("_edge_changed"), so_far.alias("_offset"))
+    upto = F.sum(F.col("_inside") + F.col("_step")).over(along.rowsBetween(*so_far))
+    edges = edges.select(by, "_edge", (F.col("_step") == 1).alias("_edge_changed"),
+                         (upto - F.col("_inside")).alias("_offset"))
 
     first = F.col("_row") == 1
     return (rows.join(edges, by)
@@ -65,7 +67,7 @@ def running_total(df: DataFrame, order: Sequence[str], amount: str, out: str,
     along = W.Window.orderBy("_slice")  # one row per slice: as many as shuffle partitions
     before = (rows.groupBy("_slice").agg(F.sum(amount).alias("_sum"))
                   .select("_slice", (F.sum("_sum").over(along) - F.col("_sum")).alias("_offset")))
-    inside = W.Window.partitionBy("_slice").orderBy(*order)
+    inside = W.Window.partitionBy("_slice").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
     return (rows.join(before, "_slice")
                 .withColumn(out, F.col("_offset") + F.sum(amount).over(inside))
                 .drop("_slice", "_offset"))

@@ -92,18 +92,16 @@ def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     for name, df in tables.items():
         spec = TABLES[name]
-        required = [c for c in spec.required if c in df.columns]
-        if required:
-            nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
-            per_column = nulls.select(F.explode(F.array(*[
-                F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in required])).alias("r")).select("r.*")
-            found.append(per_column.filter("n > 0").select(
-                F.lit(name).alias("table_name"), F.lit("required").alias("rule"), F.col("c").alias("column_name"),
-                F.lit(None).cast("string").alias("key"), F.col("n").alias("n_rows")))
-        for column, domain in spec.domains.items():
-            if column in df.columns:
-                bad = df.filter(~F.col(column).isin(*domain)).groupBy(column).agg(F.count("*").alias("n"))
-                add(bad, name, "domain", column, F.col(column))
+        # required and domain rules in one pass: each row gives its few breaches, counted before they move
+        tests = [("required", c, F.col(c).isNull()) for c in spec.required if c in df.columns]
+        tests += [("domain", c, ~F.col(c).isin(*domain)) for c, domain in spec.domains.items() if c in df.columns]
+        if tests:
+            breaches = F.array_compact(F.array(*[F.when(test, F.struct(
+                F.lit(rule).alias("rule"), F.lit(c).alias("c"), F.col(c).cast("string").alias("key")))
+                for rule, c, test in tests]))
+            counted = df.select(F.explode(breaches).alias("b")).groupBy("b").agg(F.count("*").alias("n_rows"))
+            found.append(counted.select(F.lit(name).alias("table_name"), "b.rule", F.col("b.c").alias("column_name"),
+                                        "b.key", "n_rows"))
         for key in spec.unique:
             if set(key) <= set(df.columns):
                 twice = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")

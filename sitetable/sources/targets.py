@@ -1,11 +1,14 @@
 """Sync targets: CSV and Parquet folders, text-typed tables and JDBC databases.
 
 A target keeps one folder (or database table) per table name. Appends align
-columns by name; columns that are new to the table are added at its end.
+columns by name; columns that are new to the table are added at its end. Every
+append has its own subfolder, named by the caller's ``part`` if there is one: an
+append that is run again under the same name replaces itself instead of doubling.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -45,7 +48,10 @@ class FolderTarget:
     def _read(self, folder: str) -> DataFrame:
         raise NotImplementedError
 
-    def _write(self, df: DataFrame, folder: str, mode: str, rows: Observation | None) -> None:
+    def _append(self, df: DataFrame, folder: str, part: str, rows: Observation) -> None:
+        raise NotImplementedError
+
+    def _replace(self, df: DataFrame, folder: str) -> None:
         raise NotImplementedError
 
     def read(self, table: str, limit: int | None = None) -> DataFrame | None:
@@ -53,10 +59,10 @@ class FolderTarget:
         found = read_or_none(lambda: self._read(self.folder(table)))
         return found if found is None or limit is None else found.limit(limit)
 
-    def append(self, df: DataFrame, table: str) -> int:
+    def append(self, df: DataFrame, table: str, part: str | None = None) -> int:
         """Append rows; returns their number, counted while they are written."""
         rows = Observation()
-        self._write(self.prepare(df), self.folder(table), "append", rows)
+        self._append(self.prepare(df), self.folder(table), part or uuid.uuid4().hex, rows)
         return rows.get["rows"]
 
     def upsert(self, df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str] = ()) -> int:
@@ -73,7 +79,7 @@ class FolderTarget:
         merged = upsert(existing, _counted(rows, given), keys, [c for c in rows.columns if c not in keys], order)
         aside = scratch_dir(self.spark, f"upsert-{table}")
         merged.write.parquet(aside)
-        self._write(self.spark.read.parquet(aside), self.folder(table), "overwrite", None)
+        self._replace(self.spark.read.parquet(aside), self.folder(table))
         return given.get["rows"]
 
     def last_cursor(self, table: str, column: str = "updated_at") -> str | None:
@@ -86,10 +92,13 @@ class FolderTarget:
 
 class ParquetTarget(FolderTarget):
     def _read(self, folder):
-        return self.spark.read.option("mergeSchema", True).parquet(folder)
+        return self.spark.read.options(mergeSchema=True, recursiveFileLookup=True).parquet(folder)
 
-    def _write(self, df, folder, mode, rows):
-        _counted(df, rows).write.mode(mode).parquet(folder)
+    def _append(self, df, folder, part, rows):
+        _counted(df, rows).write.mode("overwrite").parquet(f"{folder}/part={part}")
+
+    def _replace(self, df, folder):
+        df.write.mode("overwrite").parquet(folder)
 
 
 class TextTarget(ParquetTarget):
@@ -102,7 +111,8 @@ class TextTarget(ParquetTarget):
 class CsvTarget(FolderTarget):
     """CSV files are read by position, so the column order is kept beside them, in ``_columns``."""
 
-    _OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    _OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+                "recursiveFileLookup": True}
 
     def prepare(self, df):
         return all_text(df)
@@ -128,29 +138,33 @@ class CsvTarget(FolderTarget):
         schema = ", ".join(f"`{c}` string" for c in columns)
         return self.spark.read.schema(schema).options(**self._OPTIONS, multiLine=True).csv(folder)
 
-    def _write(self, df, folder, mode, rows):
-        kept = self._kept(folder) if mode == "append" else []
-        known = kept or (self.columns(folder) or [] if mode == "append" else [])
+    def _append(self, df, folder, part, rows):
+        kept = self._kept(folder)
+        known = kept or self.columns(folder) or []
         columns = known + [c for c in df.columns if c not in known]
+        # the list goes first: a reader that knows more columns than the files have sees nulls
+        self._keep(folder, [(n, c) for n, c in enumerate(columns) if c not in kept])
         aligned = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c)
                               for c in columns])
-        # the list goes first: a reader that knows more columns than the files have sees nulls
-        if mode == "overwrite":
-            aligned.limit(0).write.mode(mode).options(**self._OPTIONS).csv(folder)
-        added = [(n, c) for n, c in enumerate(columns) if c not in kept]
-        if added:
-            self.spark.createDataFrame(added, "n int, name string").coalesce(1) \
+        _counted(aligned, rows).write.mode("overwrite").options(**self._OPTIONS).csv(f"{folder}/part={part}")
+
+    def _replace(self, df, folder):
+        df.write.mode("overwrite").options(**self._OPTIONS).csv(folder)
+        self._keep(folder, list(enumerate(df.columns)))
+
+    def _keep(self, folder: str, columns: list[tuple[int, str]]) -> None:
+        if columns:
+            self.spark.createDataFrame(columns, "n int, name string").coalesce(1) \
                 .write.mode("append").json(f"{folder}/_columns")
-        _counted(aligned, rows).write.mode("append").options(**self._OPTIONS).csv(folder)
 
 
 class JdbcTarget:
-    """A real database behind a JDBC url; tables are appended to in batches."""
+    """A real database behind a JDBC url; tables are appended to in batches, by tasks that may run twice."""
 
     def __init__(self, spark: SparkSession, url: str, batch_size: int = 500, **options: str):
         self.spark, self.url, self.batch_size, self.options = spark, url, batch_size, options
 
-    def append(self, df: DataFrame, table: str) -> int:
+    def append(self, df: DataFrame, table: str, part: str | None = None) -> int:
         rows = Observation()
         (_counted(df, rows).write.format("jdbc").mode("append").option("url", self.url).option("dbtable", table)
            .option("batchsize", self.batch_size).options(**self.options).save())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,15 +89,16 @@ def stream_sync(rows: DataFrame, kind: str, path: str, table: str, checkpoint: s
                 order: Sequence[str] = ()) -> StreamingQuery:
     """Incremental sync: new source files are mapped and appended, or upserted by key; the checkpoint is the cursor.
 
-    Appends of a batch that is run again would double its rows, so appended rows
-    carry no guarantee beyond at-least-once; upserts by key are repeatable.
+    A batch that is run again replaces its own part of the table, or upserts the same rows.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def save(batch: DataFrame, batch_id: int) -> None:
         target = open_target(batch.sparkSession, kind, path)
         mapped = map_fields(batch, mapping)
         if keys:
             target.upsert(mapped, table, keys, order)
         else:
-            target.append(mapped, table)
+            target.append(mapped, table, part=f"{stream}-{batch_id}")
     return (rows.writeStream.option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).foreachBatch(save).start())

@@ -6,9 +6,9 @@ from sitetable.operators import annotate as N
 from sitetable.operators import pages as P
 from sitetable.operators import steps as S
 from sitetable.operators import training as R
-from sitetable.schemas import conform
+from sitetable.schemas import TABLES, conform
 from sitetable.sources.audit import LOG_LINE, audit_events, audit_rows, write_audit
-from sitetable.sources.snapshots import boxed_elements, boxes, requests, to_pages
+from sitetable.sources.snapshots import boxed_elements, boxes, read_pages, requests, to_pages
 
 RUNS = [("p1", "buy", 10.5, 12.0, [(0, "click", "success"), (1, "wait", "failed"), (2, "extract", "success")]),
         ("p1", "look", 11.0, 11.5, [(0, "click", "success")]),
@@ -193,6 +193,14 @@ def test_to_pages_hashes_raw_html(spark):
     assert row["version"] == 1 and row["page_type"] == "unknown"
 
 
+def test_read_pages(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "u", "<p>x</p>"), ("s", "v", None)], "site_id string, url string, html string")
+    rows.write.parquet(str(tmp_path / "snaps"))
+    pages = read_pages(spark, str(tmp_path / "snaps"))
+    assert pages.count() == 2 and pages.filter("content_hash IS NULL").count() == 1
+    assert pages.schema.names == TABLES["pages"].schema.names
+
+
 def test_requests_and_boxes(spark, pages_of):
     har = "struct<requests:array<struct<url:string,method:string,resource_type:string,status:int>>>"
     page = spark.createDataFrame([("p", ([("u", "GET", "document", None), ("u", None, None, 301), ("u", None, None, 200),

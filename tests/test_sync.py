@@ -38,6 +38,25 @@ def test_target_upsert(spark, tmp_path, kind):
     assert got == [("a", 1, None), ("b", 3, "x"), ("c", 4, "y")]
 
 
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_repeated_part_does_not_double(spark, tmp_path, kind):
+    target = open_target(spark, kind, str(tmp_path))
+    for _ in range(2):
+        target.append(rows(spark, ("a", 1)), "t", part="p1")
+    target.append(rows(spark, ("b", 2)), "t")
+    assert sorted(r["name"] for r in target.read("t").collect()) == ["a", "b"]
+
+
+def test_append_stream(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema("name string, age int").parquet(src)
+    for batch in ([("a", 1)], [("a", 1), ("b", 3)]):
+        rows(spark, *batch).write.mode("append").parquet(src)
+        flows.stream_sync(stream, "csv", out, "t", state).awaitTermination()
+    assert sorted(map(tuple, open_target(spark, "csv", out).read("t").collect())) == [("a", "1"), ("a", "1"), ("b", "3")]
+
+
 def test_nested_values_become_json(spark, tmp_path):
     df = spark.createDataFrame([("n", {"k": 1}, [1, 2])], "name string, meta map<string,int>, tags array<int>")
     for kind in ("csv", "text"):
@@ -97,7 +116,7 @@ def test_run_task(spark, tmp_path):
     reports = [Y.run_sync(tasks, "t1", data, log), Y.run_sync(tasks, "t1", data, log), Y.run_sync(tasks, "t2", data, log)]
     assert [(r.status, r.rows_written) for r in reports] == [("success", 2), ("success", 2), ("failed", 0)]
     assert "odd" in reports[2].error
-    assert spark.read.parquet(str(tmp_path / "d" / "d_example_list")).columns == ["name", "age"]
+    assert open_target(spark, "parquet", str(tmp_path / "d")).read("d_example_list").columns == ["name", "age"]
     booked = {r["id"]: r for r in Y.apply_reports(tasks, Y.report_rows(spark, reports)).collect()}
     assert booked["t1"]["rows_synced"] == 4 and booked["t1"]["status"] == "success" and booked["t1"]["last_synced_at"]
     assert booked["t2"]["status"] == "failed" and booked["t2"]["error_message"] and booked["t2"]["last_synced_at"] is None

@@ -28,6 +28,10 @@ def later(seconds: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + seconds)
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 # -- pages as they were collected -------------------------------------------
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
