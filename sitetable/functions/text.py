@@ -63,6 +63,12 @@ def flat_list(values: Column | str) -> Column:
     return F.concat_ws(" ", _col(values))
 
 
+def in_share(key: Column | str, fraction: float) -> Column:
+    """True for a share of the keys, by hash: stable when other keys are added."""
+    place = F.conv(F.substring(F.md5(_col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return place < int(fraction * 2**32)
+
+
 def iso_utc(ts: Column | str) -> Column:
     """ISO timestamp with microseconds and a trailing Z (session zone UTC)."""
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitetable.functions.text import in_share
 from sitetable.operators.chunks import running_total
 from sitetable.sources.targets import all_text
 
@@ -73,16 +74,9 @@ def role_scores(pairs: DataFrame, predicted: str = "predicted", actual: str = "a
                         share(hit, real).alias("recall"), share(2 * hit, said + real).alias("f1"))
 
 
-def held_out(key: Column | str, fraction: float) -> Column:
-    """True for the keys of a held-out share, by hash: stable when other keys are added."""
-    key = F.col(key) if isinstance(key, str) else key
-    place = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
-    return place < int(fraction * 2**32)
-
-
 def held_out_success(trajectories: DataFrame, pages: DataFrame, fraction: float = 0.2) -> DataFrame:
     """Success rate on sites that were held out."""
-    per_site = task_success(trajectories, ["site_id"], pages).filter(held_out("site_id", fraction))
+    per_site = task_success(trajectories, ["site_id"], pages).filter(in_share("site_id", fraction))
     return per_site.agg(F.count("*").alias("n_sites"), F.sum("n_tasks").alias("n_tasks"),
                         F.sum("n_success").alias("n_success")) \
                    .withColumn("success_rate", F.col("n_success") / F.col("n_tasks"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sitetable.functions.text import content_key
+from sitetable.functions.text import content_key, in_share
 from sitetable.operators.chunks import in_slices
 from sitetable.operators.steps import success_rates
 from sitetable.schemas import conform
@@ -98,8 +98,7 @@ def split_train_val(rows: DataFrame, val_fraction: float = 0.1, method: str = "o
     which does not move rows when others are added.
     """
     if method == "hash":
-        share = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / F.lit(1_000_000.0)
-        return rows.filter(share >= val_fraction), rows.filter(share < val_fraction)
+        return rows.filter(~in_share(key, val_fraction)), rows.filter(in_share(key, val_fraction))
     if method != "ordinal":
         raise ValueError(f"unknown method: {method!r}")
     rank = F.when(F.col("split") == "train", 0).otherwise(1)

@@ -125,10 +125,10 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 
 STEPS_SQL = """steps AS (
   SELECT CAST(event_id AS VARCHAR) AS id, user_id || '-' || strftime(ts, '%Y%m%d') AS trajectory_id, user_id,
-         row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS step_index,
+         CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS INTEGER) AS step_index,
          event_type AS action_type, '#f' || user_id AS selector,
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
-         event_id % 4 AS retry_count, CAST(floor(value * 100.0::DOUBLE) AS BIGINT) AS duration_ms,
+         CAST(event_id % 4 AS INTEGER) AS retry_count, CAST(floor(value * 100.0::DOUBLE) AS INTEGER) AS duration_ms,
          md5(CAST(event_id // 4 AS VARCHAR)) AS before_dom_hash,
          md5(CAST((event_id + 1) // 4 AS VARCHAR)) AS after_dom_hash, ts AS executed_at
   FROM events)"""

@@ -72,7 +72,7 @@ _LINKS = f"""links AS (
         FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*') AS found FROM pages)))"""
 
 
-@query("E4 F9", with_sql(_LINKS, select=f"SELECT id AS page_id, link_pos, {_DECODE.format('href')} AS href, text FROM links"))
+@query("E4 F9", with_sql(_LINKS, select=f"SELECT id AS page_id, CAST(link_pos AS INTEGER) AS link_pos, {_DECODE.format('href')} AS href, text FROM links"))
 def page_links(spark, sf):
     return P.links(site_pages(spark, sf))
 
@@ -292,7 +292,7 @@ def _with_har(spark, sf):
 @query("S13", with_sql(SITE_PAGES_SQL, select="""
 SELECT id AS page_id, url, 'GET' AS method, 'document' AS resource_type,
        CAST(CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 404 ELSE 200 END AS INTEGER) AS status,
-       1 AS n_requests, 1 AS n_responses FROM site_pages
+       CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_responses FROM site_pages
 UNION ALL SELECT id, site_id || '/style.css', 'GET', 'stylesheet', NULL, 1, 0 FROM site_pages"""))
 def page_requests(spark, sf):
     return requests(_with_har(spark, sf))
@@ -359,7 +359,7 @@ def _login(spark, sf):
 
 
 @query("L1 L6 L7 W4", with_sql(_LOGIN, select="""
-SELECT page_id, goal, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS step_index, action_type, selector,
+SELECT page_id, goal, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS step_index, action_type, selector,
        value, description, timeout_ms, matched FROM login"""))
 def login_plans(spark, sf):
     return _login(spark, sf).select(*_STEP)

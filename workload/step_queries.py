@@ -267,7 +267,7 @@ def unexported_records(spark, sf):
 
 
 @query("P2", with_sql(RECORDS_SQL, select="""
-SELECT id, data_type AS type, split, json_object('text', text) AS input, json_object('role', role) AS output, reward FROM records"""))
+SELECT id, data_type AS type, split, CAST(json_object('text', text) AS VARCHAR) AS input, CAST(json_object('role', role) AS VARCHAR) AS output, reward FROM records"""))
 def record_lines(spark, sf):
     return R.record_lines(training_records(spark, sf)).withColumn("input", F.to_json("input")) \
             .withColumn("output", F.to_json("output"))
@@ -294,7 +294,7 @@ def exported_counts(spark, sf):
 
 
 @query("T4 S9 S10 U2", with_sql(RECORDS_SQL, select="""
-SELECT id, data_type AS type, split, json_object('text', text) AS input, reward FROM records WHERE NOT exported AND data_type = 'reward'"""))
+SELECT id, data_type AS type, split, CAST(json_object('text', text) AS VARCHAR) AS input, reward FROM records WHERE NOT exported AND data_type = 'reward'"""))
 def loaded_export(spark, sf):
     out, _, _ = _export(spark, sf)
     return R.load_exported(spark, out, "reward").select("id", "type", "split", F.to_json("input").alias("input"), "reward")
@@ -308,7 +308,9 @@ def train_val_parts(spark, sf):
     return train.select("id", F.lit("train").alias("part")).unionByName(val.select("id", F.lit("val").alias("part")))
 
 
-@query("T5")
+@query("T5", with_sql(RECORDS_SQL, select="""
+SELECT id, CASE WHEN CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) < 0.2 * 4294967296 THEN 'val' ELSE 'train' END AS part
+FROM records"""))
 def train_val_parts_by_hash(spark, sf):
     train, val = R.split_train_val(R.record_lines(training_records(spark, sf)), 0.2, method="hash")
     return train.select("id", F.lit("train").alias("part")).unionByName(val.select("id", F.lit("val").alias("part")))

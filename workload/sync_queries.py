@@ -34,7 +34,7 @@ def mapped_with_collisions(spark, sf):
     return Y.map_fields(rows, {"o_custkey": "o_custkey", "o_totalprice": "o_custkey"})
 
 
-@query("A2", with_sql(SYNC_ROWS_SQL, select="SELECT max(o_orderdate) AS last_cursor, NULL AS missing FROM sync_rows"))
+@query("A2", with_sql(SYNC_ROWS_SQL, select="SELECT max(o_orderdate) AS last_cursor, CAST(NULL AS VARCHAR) AS missing FROM sync_rows"))
 def sync_cursor(spark, sf):
     rows = Y.map_fields(sync_rows(spark, sf), MAPPING)
     missing = open_target(spark, "parquet", scratch_dir(spark, "nothing")).last_cursor("orders")
@@ -117,7 +117,7 @@ def _task_rows(spark, sf):
 
 
 @query("Y1", """SELECT CAST(r_regionkey AS VARCHAR) AS id, 'site-' || r_regionkey AS site_id, 'pending' AS status,
-  0 AS rows_synced, ['parquet', 'PARQUET', 'csv', 'sqlite', 'mystery'][r_regionkey % 5 + 1] AS target_type FROM region""")
+  CAST(0 AS BIGINT) AS rows_synced, ['parquet', 'PARQUET', 'csv', 'sqlite', 'mystery'][r_regionkey % 5 + 1] AS target_type FROM region""")
 def registered_tasks(spark, sf):
     return Y.register_tasks(_task_rows(spark, sf)).select("id", "site_id", "status", "rows_synced", "target_type")
 
@@ -125,7 +125,7 @@ def registered_tasks(spark, sf):
 @query("Y2 A6 S8 P1 S12", """
 SELECT CAST(r_regionkey AS VARCHAR) AS id, CASE WHEN r_regionkey = 4 THEN 'failed' ELSE 'success' END AS status,
        CASE WHEN r_regionkey = 4 THEN 0 ELSE 2 * n END AS rows_synced,
-       CASE WHEN r_regionkey = 4 THEN 'failure' ELSE 'success' END AS outcome, 2 AS n_audited
+       CASE WHEN r_regionkey = 4 THEN 'failure' ELSE 'success' END AS outcome, CAST(2 AS BIGINT) AS n_audited
 FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
   ON n_regionkey = r_regionkey""")
 def sync_runs(spark, sf):
@@ -222,7 +222,7 @@ def rule_violations(spark, sf):
     return K.violations(tables)
 
 
-@query("J8", "SELECT sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) AS n_source, count(*) AS n_target, "
+@query("J8", "SELECT CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) AS BIGINT) AS n_source, count(*) AS n_target, "
        "count(*) FILTER (o_totalprice <= 400000) AS n_matched, "
        "round(count(*) FILTER (o_totalprice <= 400000) / sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END), 6) AS fidelity FROM orders")
 def sync_fidelity(spark, sf):
