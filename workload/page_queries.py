@@ -16,7 +16,7 @@ from workload.inputs import (ACCOUNT_SQL, PAGE_SNAPSHOTS_SQL, SITE_PAGES_SQL, ac
 from workload.registry import query
 
 # text of a piece of html: entities decoded, outer space dropped
-_DECODE = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_DECODE = "regexp_replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 
 
 def _decoded(sql: str) -> str:
@@ -184,7 +184,7 @@ typed AS (
   SELECT id, site_id, CASE WHEN total = 0 THEN 'unknown' WHEN login = top THEN 'login' WHEN search = top THEN 'search'
               WHEN list = top THEN 'list' WHEN form = top THEN 'form' WHEN dashboard = top THEN 'dashboard'
               WHEN download = top THEN 'download' ELSE 'detail' END AS page_type,
-         CASE WHEN total = 0 THEN 0.0 ELSE round(top / total, 6) END AS confidence
+         CASE WHEN total = 0 THEN 0.0 ELSE top / total END AS share, round(share, 6) AS confidence
   FROM best)"""
 
 
@@ -209,7 +209,7 @@ def page_types(spark, sf):
 
 
 @query("E2 E9 E10", with_sql(SITE_PAGES_SQL, _SIGNALS, _TYPES, select="""
-SELECT page_type, count(*) AS n_pages, count(DISTINCT site_id) AS n_sites, round(avg(confidence), 6) AS avg_confidence
+SELECT page_type, count(*) AS n_pages, count(DISTINCT site_id) AS n_sites, round(avg(share), 6) AS avg_confidence
 FROM typed GROUP BY 1"""))
 def page_type_summary(spark, sf):
     return (P.classify_pages(site_pages(spark, sf)).groupBy("page_type")
