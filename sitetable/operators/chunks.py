@@ -24,33 +24,36 @@ def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     ``order`` should be unique within a key, or ties are placed arbitrarily. ``chunk`` must not decrease along ``order``, e.g. the day of the ordering
     timestamp. ``change_no`` counts changes so far, 0 on a key's first row.
     """
-    # struct keys compare null-safely, so rows with a null key or order are kept
-    by, key = "_by", "_by._key"
-    inside = W.Window.partitionBy(by).orderBy(*order)
+    # Struct keys compare null-safely, so rows with a null key or order are kept. The plain key columns
+    # are put back at the end: both uses of the shuffled rows then need the same columns and share it.
+    inside = W.Window.partitionBy("_by").orderBy(*order)
     so_far = (W.Window.unboundedPreceding, W.Window.currentRow)
-    rows = (df.withColumn(by, F.struct(F.struct(*keys).alias("_key"), F.struct(chunk).alias("_chunk")))
+    rows = (df.withColumn("_by", F.struct(F.struct(*keys).alias("_key"), F.struct(chunk).alias("_chunk")))
+              .drop(*keys)
               .withColumn("_row", F.row_number().over(inside))
               .withColumn("_before", F.lag(value).over(inside)))
     differs = ~F.col("_before").eqNullSafe(F.col(value))
     rows = (rows.withColumn("_changed", F.when(F.col("_row") > 1, differs).otherwise(F.lit(False)))
                 .withColumn("_count", F.sum(F.col("_changed").cast("long")).over(inside.rowsBetween(*so_far))))
 
-    along = W.Window.partitionBy(key).orderBy("_by._chunk")
-    edges = (rows.groupBy(by).agg(F.min_by(value, "_row").alias("_first"), F.max_by(value, "_row").alias("_last"),
-                                  F.max("_count").alias("_inside"))
+    along = W.Window.partitionBy("_key").orderBy("_chunk")
+    edges = (rows.groupBy("_by").agg(F.min_by(value, "_row").alias("_first"), F.max_by(value, "_row").alias("_last"),
+                                     F.max("_count").alias("_inside"))
+                 .withColumns({"_key": F.col("_by._key"), "_chunk": F.col("_by._chunk")})
                  .withColumn("_edge", F.lag("_last").over(along))
                  .withColumn("_opens", F.row_number().over(along) > 1))
     edges = edges.withColumn("_step", (F.col("_opens") & ~F.col("_edge").eqNullSafe(F.col("_first"))).cast("long"))
     upto = F.sum(F.col("_inside") + F.col("_step")).over(along.rowsBetween(*so_far))
-    edges = edges.select(by, "_edge", (F.col("_step") == 1).alias("_edge_changed"),
+    edges = edges.select("_by", "_edge", (F.col("_step") == 1).alias("_edge_changed"),
                          (upto - F.col("_inside")).alias("_offset"))
 
     first = F.col("_row") == 1
-    return (rows.join(edges, by)
+    return (rows.join(edges, "_by")
                 .withColumn("previous", F.when(first, F.col("_edge")).otherwise(F.col("_before")))
                 .withColumn("changed", F.when(first, F.col("_edge_changed")).otherwise(F.col("_changed")))
                 .withColumn("change_no", F.col("_offset") + F.col("_count"))
-                .drop(by, "_row", "_before", "_changed", "_count", "_edge", "_edge_changed", "_offset"))
+                .select(*[F.col(f"_by._key.{c}").alias(c) if c in keys else F.col(c) for c in df.columns],
+                        "previous", "changed", "change_no"))
 
 
 def in_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:

@@ -73,11 +73,12 @@ def until_first_failure(steps: DataFrame) -> DataFrame:
 
 def dom_changes(steps: DataFrame, chunk: int = 1000) -> DataFrame:
     """Did a step change the DOM, and did the DOM change since the step before? Null where a hash is missing."""
-    seen = changes(steps.select("trajectory_id", "step_index", "before_dom_hash", "after_dom_hash"),
-                   ["trajectory_id"], ["step_index"], "after_dom_hash",
+    slim = steps.select("trajectory_id", "step_index", "after_dom_hash",
+                        (F.col("before_dom_hash") != F.col("after_dom_hash")).alias("changed_by_step"))
+    # ordering by the flag too changes nothing, but lets both uses of the shuffled rows share it
+    seen = changes(slim, ["trajectory_id"], ["step_index", "changed_by_step"], "after_dom_hash",
                    F.floor(F.col("step_index") / F.lit(chunk)))
-    return seen.select("trajectory_id", "step_index",
-                       (F.col("before_dom_hash") != F.col("after_dom_hash")).alias("changed_by_step"),
+    return seen.select("trajectory_id", "step_index", "changed_by_step",
                        (F.col("previous") != F.col("after_dom_hash")).alias("changed_since_previous"))
 
 

@@ -38,10 +38,10 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols:
     Columns outside ``set_cols`` (id, created_at ...) keep the target's values.
     Several updates of one key: the last by ``order`` applies.
     """
-    new = one_per_key(updates, keys, order)
-    joined = target.withColumn("_old", F.lit(True)).alias("t").join(
-        new.withColumn("_new", F.lit(True)).alias("u"),
-        on=[F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys], how="full_outer")
+    # a struct key compares null-safely, and the updates, grouped by it, are joined without another shuffle
+    new = one_per_key(updates.withColumn("_key", F.struct(*keys)), ["_key"], order)
+    joined = target.withColumn("_old", F.lit(True)).withColumn("_key", F.struct(*keys)).alias("t").join(
+        new.withColumn("_new", F.lit(True)).alias("u"), "_key", "full_outer")
 
     def value(name: str) -> Column:
         if name not in new.columns:
