@@ -108,37 +108,50 @@ def find_pii(text: Column | str, types: Sequence[str] | None = None) -> Column:
     return F.map_filter(F.create_map(*entries), lambda _, found: F.size(found) > 0)
 
 
-def _is_named(name: str) -> bool:
-    return name.lower() in FIELD_NAMES
-
-
-def _value(column: Column, dtype: T.DataType, placeholder: str, in_list: bool = False) -> Column:
-    if isinstance(dtype, T.StringType):
-        return redact(column, placeholder=placeholder)
-    if isinstance(dtype, T.StructType):
-        rebuilt = F.struct(*[_field(column.getField(f.name), f, placeholder).alias(f.name) for f in dtype.fields])
-        return F.when(column.isNotNull(), rebuilt)
-    if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
-        return _map(column, dtype, placeholder)
-    if isinstance(dtype, T.ArrayType) and not in_list:
-        return F.transform(column, lambda item: _value(item, dtype.elementType, placeholder, in_list=True))
-    return column  # other types, and lists inside lists, pass through
-
-
-def _map(column: Column, dtype: T.MapType, placeholder: str) -> Column:
-    def value(key: Column, item: Column) -> Column:
+class _Rewrite:
+    """Rebuilds a value of a known type; in ``sparse`` records a null field is an absent one and stays so."""
+
+    def __init__(self, placeholder: str, sparse: bool = False):
+        self.placeholder, self.sparse = placeholder, sparse
+
+    def text(self, column: Column) -> Column:
+        return redact(column, placeholder=self.placeholder)
+
+    def field(self, column: Column, field: T.StructField) -> Column:
+        if field.name.lower() not in FIELD_NAMES:
+            return self.value(column, field.dataType)
+        return F.when(column.isNotNull(), F.lit(self.placeholder)) if self.sparse else F.lit(self.placeholder)
+
+    def value(self, column: Column, dtype: T.DataType, in_list: bool = False) -> Column:
+        if isinstance(dtype, T.StringType):
+            return self.text(column)
+        if isinstance(dtype, T.StructType):
+            rebuilt = F.struct(*[self.field(column.getField(f.name), f).alias(f.name) for f in dtype.fields])
+            return F.when(column.isNotNull(), rebuilt)
+        if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+            return F.transform_values(column, lambda key, item: self.entry(key, item, dtype.valueType))
+        if isinstance(dtype, T.ArrayType) and not in_list:
+            return F.transform(column, lambda item: self.value(item, dtype.elementType, in_list=True))
+        if isinstance(dtype, T.VariantType):
+            return self.variant(column)
+        return column  # other types, and lists inside lists, pass through
+
+    def entry(self, key: Column, item: Column, dtype: T.DataType) -> Column:
         named = F.lower(key).isin(*FIELD_NAMES)
-        if isinstance(dtype.valueType, T.StringType):
-            return F.when(named, F.lit(placeholder)).otherwise(redact(item, placeholder=placeholder))
-        if isinstance(dtype.valueType, T.StructType | T.MapType | T.ArrayType):
+        if isinstance(dtype, T.StructType | T.MapType | T.ArrayType):
             # one type per map: a named entry of a nested type is emptied, not replaced by text
-            return F.when(~named, _value(item, dtype.valueType, placeholder))
-        return F.when(named, F.lit(placeholder)).otherwise(item.cast("string"))
-    return F.transform_values(column, value)
-
+            return F.when(~named, self.value(item, dtype))
+        text = self.text(item) if isinstance(dtype, T.StringType) else item.cast("string")
+        return F.when(named, F.lit(self.placeholder)).otherwise(text)
 
-def _field(column: Column, field: T.StructField, placeholder: str) -> Column:
-    return F.lit(placeholder) if _is_named(field.name) else _value(column, field.dataType, placeholder)
+    def variant(self, column: Column) -> Column:
+        """A value whose type differs by row: strings are redacted, objects and lists by their JSON text."""
+        kind = F.schema_of_variant(column)
+        text = self.text(F.to_json(column))
+        return (F.when(kind == "STRING", self.text(F.variant_get(column, "$", "string")).cast("variant"))
+                 .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"),
+                       F.coalesce(F.try_parse_json(text), text.cast("variant")))
+                 .otherwise(column))
 
 
 def redact_record(df: DataFrame, columns: Sequence[str] | None = None, placeholder: str = PLACEHOLDER) -> DataFrame:
@@ -148,22 +161,30 @@ def redact_record(df: DataFrame, columns: Sequence[str] | None = None, placehold
     ``columns`` limits the rewrite to some top-level columns (default: all).
     """
     wanted = set(df.columns if columns is None else columns)
+    rewrite = _Rewrite(placeholder)
     return df.select(*[
-        (_field(F.col(f"`{f.name}`"), f, placeholder) if f.name in wanted else F.col(f"`{f.name}`")).alias(f.name)
+        (rewrite.field(F.col(f"`{f.name}`"), f) if f.name in wanted else F.col(f"`{f.name}`")).alias(f.name)
         for f in df.schema.fields])
 
 
 def redact_json(df: DataFrame, column: str, placeholder: str = PLACEHOLDER) -> DataFrame:
-    """Redact a column of JSON texts of unknown shape.
+    """Redact a column of JSON texts, or of variants, of unknown shape.
 
     One pass merges the shapes of all rows into a schema (a single string); the
     rows are then read with that schema, rewritten like ``redact_record`` and
-    written back as JSON. Keys absent from a row stay absent.
+    written back. Absent keys stay absent, null ones go; numbers keep their value,
+    not their spelling. Texts that are no objects are redacted as plain text.
     """
-    shape = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(column)))).first()[0]
-    if not shape or not shape.startswith("OBJECT<"):
-        return df.withColumn(column, redact(F.col(column), placeholder=placeholder))
-    ddl = shape.replace("OBJECT<", "STRUCT<")
-    dtype = T.StructType.fromDDL(f"v {ddl}").fields[0].dataType
-    parsed = F.from_json(F.col(column), dtype)
-    return df.withColumn(column, F.to_json(_value(parsed, dtype, placeholder)))
+    is_variant = isinstance(df.schema[column].dataType, T.VariantType)
+    text = F.to_json(column) if is_variant else F.col(column)
+    parsed = F.try_parse_json(text)
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    shape = df.select(F.schema_of_variant_agg(F.when(is_object, parsed))).first()[0]
+    plain = redact(text, placeholder=placeholder)
+    out = plain
+    if shape and shape.startswith("OBJECT<"):
+        ddl = shape.replace("OBJECT<", "STRUCT<")
+        dtype = T.StructType.fromDDL(f"v {ddl}").fields[0].dataType
+        rewritten = _Rewrite(placeholder, sparse=True).value(F.from_json(text, dtype), dtype)
+        out = F.when(is_object, F.to_json(rewritten)).otherwise(plain)
+    return df.withColumn(column, F.coalesce(F.try_parse_json(out), out.cast("variant")) if is_variant else out)

@@ -92,6 +92,20 @@ def test_records(spark):
     assert pii.redact_record(row).first().asDict(recursive=True) == brute_record(data)
 
 
+def test_json_of_mixed_shapes(spark):
+    import json
+    texts = ['{"a":"x.y@z.de","n":1}', '{"a":5,"n":2.5,"token":true}', '{"a":["x.y@z.de"],"list":[{"email":"e","o":"x.y@z.de"}]}',
+             '["x.y@z.de"]', "call x.y@z.de", None, '{}', '{"n":null}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["t"] for r in pii.redact_json(df, "t").orderBy("i").collect()]
+    box = pii.PLACEHOLDER
+    assert [json.loads(t) if t and t[0] in "{[" else t for t in got] == [
+        {"a": box, "n": 1}, {"a": 5, "n": 2.5, "token": box}, {"a": [box], "list": [{"email": box, "o": box}]},
+        [box], f"call {box}", None, {}, {}]
+    variants = pii.redact_json(df.filter("i < 4").withColumn("t", F.parse_json("t")), "t").orderBy("i")
+    assert [json.loads(r[0]) for r in variants.select(F.to_json("t")).collect()] == [json.loads(t) for t in got[:4]]
+
+
 def test_maps_and_json(spark):
     df = spark.sql("""SELECT map('token', 't', 'note', 'a.b@c.de') AS m, map('phone', 1, 'n', 2) AS counts,
                       '{"email":"x","k":{"v":"a.b@c.de","n":1}}' AS j""")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from sitetable.schemas import conform
 from sitetable.sources.snapshots import spread
@@ -107,12 +106,14 @@ ACCOUNT_SQL = """account AS (
 # -- runs of steps ----------------------------------------------------------
 
 def steps(spark: SparkSession, sf: str) -> DataFrame:
-    """``action_steps`` from events: a trajectory per user and day, errors are failed steps."""
+    """``action_steps`` from events: a trajectory per user and day, errors are failed steps.
+
+    A step's index is its time of day in milliseconds: it orders the steps without numbering them.
+    """
     rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = rows.withColumn("trajectory_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")))
-    order = W.Window.partitionBy("trajectory_id").orderBy("ts", "event_id")
     return conform(rows.select(
-        text("event_id").alias("id"), "trajectory_id", (F.row_number().over(order) - 1).alias("step_index"),
+        text("event_id").alias("id"), "trajectory_id", (F.unix_millis("ts") % 86400000).alias("step_index"),
         F.col("event_type").alias("action_type"),
         F.concat(F.lit("#f"), F.col("user_id").cast("string")).alias("selector"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
@@ -125,7 +126,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 
 STEPS_SQL = """steps AS (
   SELECT CAST(event_id AS VARCHAR) AS id, user_id || '-' || strftime(ts, '%Y%m%d') AS trajectory_id, user_id,
-         CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS INTEGER) AS step_index,
+         CAST(epoch_ms(ts) % 86400000 AS INTEGER) AS step_index,
          event_type AS action_type, '#f' || user_id AS selector,
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
          CAST(event_id % 4 AS INTEGER) AS retry_count, CAST(floor(value * 100.0::DOUBLE) AS INTEGER) AS duration_ms,

@@ -78,7 +78,7 @@ SELECT trajectory_id, step_index, before_dom_hash <> after_dom_hash AS changed_b
        lag(after_dom_hash) OVER (PARTITION BY trajectory_id ORDER BY step_index) <> after_dom_hash AS changed_since_previous
 FROM steps"""))
 def dom_changes(spark, sf):
-    return S.dom_changes(steps(spark, sf), chunk=2)
+    return S.dom_changes(steps(spark, sf), chunk=3_600_000)
 
 
 @query("A3", with_sql(STEPS_SQL, select="""

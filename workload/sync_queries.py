@@ -208,15 +208,16 @@ def cascaded_delete(spark, sf):
     return out
 
 
-@query("P12", with_sql(STEPS_SQL, select="""
+@query("P12", with_sql(STEPS_SQL, TRAJECTORIES_SQL, select="""
 SELECT 'action_steps' AS table_name, 'domain' AS rule, 'action_type' AS column_name, action_type AS key, count(*) AS n_rows
 FROM steps WHERE action_type NOT IN ('click', 'fill', 'select', 'submit', 'download', 'wait', 'navigate', 'scroll', 'hover', 'extract', 'sync') GROUP BY 4
-UNION ALL SELECT 'action_steps', 'reference', 'trajectory_id', trajectory_id, count(*) FROM steps WHERE user_id % 20 = 3 GROUP BY 4
+UNION ALL SELECT 'action_steps', 'reference', 'trajectory_id', trajectory_id, count(*) FROM steps
+  WHERE trajectory_id IN (SELECT id FROM trajectories WHERE goal = 'goal-1') GROUP BY 4
 UNION ALL SELECT 'annotation_tasks', 'required', 'annotation_type', NULL, count(DISTINCT user_id) FROM events
 UNION ALL SELECT 'annotation_tasks', 'unique', 'id', 'same', count(DISTINCT user_id) FROM events"""))
 def rule_violations(spark, sf):
     tables = _site_tables(spark, sf)
-    tables["trajectories"] = tables["trajectories"].filter("page_id % 20 <> 3")
+    tables["trajectories"] = tables["trajectories"].filter("goal <> 'goal-1'")
     tables["annotation_tasks"] = tables["annotation_tasks"].withColumn("id", F.lit("same")) \
         .withColumn("annotation_type", F.lit(None).cast("string"))
     return K.violations(tables)
