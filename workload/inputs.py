@@ -126,7 +126,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 
 STEPS_SQL = """steps AS (
   SELECT CAST(event_id AS VARCHAR) AS id, user_id || '-' || strftime(ts, '%Y%m%d') AS trajectory_id, user_id,
-         CAST(epoch_ms(ts) % 86400000 AS INTEGER) AS step_index,
+         CAST(epoch_us(ts) // 1000 % 86400000 AS INTEGER) AS step_index,
          event_type AS action_type, '#f' || user_id AS selector,
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
          CAST(event_id % 4 AS INTEGER) AS retry_count, CAST(floor(value * 100.0::DOUBLE) AS INTEGER) AS duration_ms,
