@@ -119,28 +119,24 @@ class CsvTarget(FolderTarget):
 
     def _kept(self, folder: str) -> list[str]:
         kept = read_or_none(lambda: self.spark.read.schema("n int, name string").json(f"{folder}/_columns"))
-        if kept is None:
-            return []
-        return [r["name"] for r in kept.groupBy("n").agg(F.max("name").alias("name")).orderBy("n").collect()]
+        places = {} if kept is None else {r["n"]: r["name"] for r in kept.collect()}  # one row per column
+        return [places[n] for n in sorted(places)]
 
-    def columns(self, folder: str) -> list[str] | None:
-        """Column order of a table; that of the header for files from elsewhere, None without any."""
-        plain = None
-        kept = self._kept(folder)
-        if not kept:
-            plain = read_or_none(lambda: self.spark.read.options(**self._OPTIONS).csv(folder))
-        return kept or (None if plain is None else plain.columns)
+    def _header(self, folder: str) -> list[str]:
+        """Columns of files from elsewhere, by their header."""
+        plain = read_or_none(lambda: self.spark.read.options(**self._OPTIONS).csv(folder))
+        return [] if plain is None else plain.columns
 
     def _read(self, folder):
-        columns = self.columns(folder)
-        if columns is None:
-            return self.spark.read.options(**self._OPTIONS).csv(folder)
+        columns = self._kept(folder)
+        if not columns:
+            return self.spark.read.options(**self._OPTIONS, multiLine=True).csv(folder)
         schema = ", ".join(f"`{c}` string" for c in columns)
         return self.spark.read.schema(schema).options(**self._OPTIONS, multiLine=True).csv(folder)
 
     def _append(self, df, folder, part, rows):
         kept = self._kept(folder)
-        known = kept or self.columns(folder) or []
+        known = kept or self._header(folder)
         columns = known + [c for c in df.columns if c not in known]
         # the list goes first: a reader that knows more columns than the files have sees nulls
         self._keep(folder, [(n, c) for n, c in enumerate(columns) if c not in kept])
