@@ -183,6 +183,11 @@ class _Page(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not used
 
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find(">", i)  # <![ ... > is skipped like a comment, whatever it says
+        self._flush()
+        return end + 1 if end >= 0 else -1
+
     def finish(self) -> None:
         self.close()
         self._flush()

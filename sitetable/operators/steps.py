@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetable.functions.text import content_key
@@ -21,6 +21,11 @@ def _ok() -> Column:
     return F.coalesce(F.col("status") == "success", F.lit(False))
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Run logs as JSON lines, one run with its steps per line."""
+    return spark.read.schema(RUN_LOG).json(path)
+
+
 def run_id() -> Column:
     return content_key("page_id", "goal", "started_at")
 

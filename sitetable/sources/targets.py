@@ -150,8 +150,8 @@ class CsvTarget(FolderTarget):
 
     def _keep(self, folder: str, columns: list[tuple[int, str]]) -> None:
         if columns:
-            self.spark.createDataFrame(columns, "n int, name string").coalesce(1) \
-                .write.mode("append").json(f"{folder}/_columns")
+            listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("name")) for n, c in columns])
+            self.spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("append").json(f"{folder}/_columns")
 
 
 class JdbcTarget:

@@ -1,3 +1,5 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitetable.functions.html import ELEMENT_TAGS, parse_page
@@ -94,6 +96,25 @@ def test_tree_repairs():
     assert selectors("<body>x</p><p><a href=1>l</a>", "a") == ["p:nth-of-type(2) > a"]  # a stray end makes an empty p
 
 
+TOKENS = ["<", ">", "</", "/>", "<!--", "-->", "<![", "]]>", "<!", "<?", "&", "&#", ";", '"', "'", "=", " ", "x", "\x00", "é",
+          "<p>", "</p>", "<td>", "<tr>", "<table>", "</table>", "<a href=x>", "</a>", "<div id=d>", "</div>", "<script>",
+          "</script>", "<body>", "</body>", "</html>", "<html>", "<head>", "<title>", "<form>", "<input type=text>", "<li>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(TOKENS), max_size=40))
+def test_no_source_breaks_the_parser(tokens):
+    page = parse_page("".join(tokens))
+    positions = [e["doc_pos"] for e in page["elements"]]
+    assert positions == sorted(set(positions))
+    assert all(e["selector"] for e in page["elements"])
+    assert len(page["links"]) == sum(e["tag"] == "a" and "href" in dict(e["attributes"]) for e in page["elements"])
+
+
+def test_marked_sections_are_skipped():
+    assert parse_page("<body>a<![if IE]>b<![endif]>c<![odd x]>d", ("text",)) == {"text": "a b c d"}
+
+
 def test_cut_off_source():
     page = parse_page('<p>one <a href="/x">two</a> three <a href="/y', ("text", "links"))
     assert page["text"] == "one two three" and len(page["links"]) == 1

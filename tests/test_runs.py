@@ -43,6 +43,15 @@ def test_ingest_and_rates(spark):
         k for k, v in goals.items() if v == "buy"]
 
 
+def test_run_logs_from_files(spark, tmp_path):
+    (tmp_path / "runs.jsonl").write_text(json.dumps({"page_id": "p", "goal": "g", "started_at": 1.5, "finished_at": 2, "steps": [
+        {"step_index": 0, "action_type": "click", "status": "success", "duration_ms": 3}]}) + "\n", encoding="utf-8")
+    logs = S.read_runs(spark, str(tmp_path))
+    step = S.steps_from_logs(logs).first()
+    assert step["status"] == "success" and step["retry_count"] == 0
+    assert S.trajectories_from_logs(logs).first()["id"] == step["trajectory_id"]
+
+
 def test_dom_changes(spark):
     steps = spark.createDataFrame([("t", 0, "a", "a"), ("t", 1, "a", "b"), ("t", 2, "b", None), ("t", 5, "b", "c")],
                                   "trajectory_id string, step_index int, before_dom_hash string, after_dom_hash string")
