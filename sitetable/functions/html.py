@@ -1,22 +1,26 @@
 """Page HTML -> one nested record per page: the only Python stage of the library.
 
-Spark has no HTML operator, so ``parse_html`` is an Arrow UDF around the standard
-library tokenizer. Only the html column travels to Python; the rest of the row
-stays in the JVM. The tree is built leniently, the way C HTML parsers repair pages:
+Spark has no HTML operator, so ``parse_html`` is an Arrow UDF around one regular
+expression for tokens and a small tree builder; both take time linear in the page,
+also on broken ones (the standard library's tokenizer does not, and one such page
+would hold up a whole job). Only the html column travels to Python; the rest of the
+row stays in the JVM. The tree is built leniently, the way C HTML parsers repair pages:
 
 * ``html`` / ``head`` / ``body`` are implied, bare text under them opens a ``p``;
 * an open ``p``, ``li``, ``td``, ``option`` ... is closed by the tags in ``_CLOSES``;
 * an end tag closes what is open above its match, unless something of a higher
   structural rank (a table cell, a row, a ``div`` ...) lies in between;
 * end tags without a match are dropped, except ``</p>``, which is an empty ``p``;
-* a tag that the end of the source cuts off is dropped.
+* a tag or comment that is never closed takes the rest of the source with it;
+* below 512 levels, the depth at which browsers stop too, elements become siblings.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -91,6 +95,8 @@ _CLOSES |= {
 for _t in ("tbody", "thead", "tfoot"):
     _CLOSES[_t] = frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "p", "caption", "colgroup"})
 
+_MAX_DEPTH = 512
+
 # structural rank: an end tag never reaches past an open tag of a higher rank
 _RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
          "head": 200, "body": 200, "html": 220}
@@ -126,37 +132,74 @@ class _Node:
         return node
 
 
-class _Page(HTMLParser):
+# A quote delimits a value only after an equals sign. Nothing here backtracks over what it has read.
+_TOKEN = re.compile(r"""
+    <!-- (?: >|->|.*?(?:-->|\Z) )
+  | <[!?] [^>]*+ (?:>|\Z)
+  | < (?P<end>/?) (?P<tag>[a-zA-Z][^\s/>]*+)
+      (?P<body>(?: [^>"'=]++ | =\s*+"[^"]*+" | =\s*+'[^']*+' | ["'=] )*+) (?P<close>>|\Z)
+""", re.S | re.X)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in ("script", "style")}
+
+
+class _Page:
     """Flat document-order node list; a node spans [pos, end) nodes and [text_from, text_to) strings."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str) -> None:
         self.nodes: list[_Node] = []
         self.strings: list[str] = []
         self.open: list[_Node] = []
         self._pending: list[str] = []
+        self._n_open: dict[str, int] = {}
         self._unread = 0
         self._seen_head = self._seen_body = False
-
-    # -- tokenizer events -------------------------------------------------
-    def handle_starttag(self, tag, attrs):
+        self._read(html)
         self._flush()
-        self._start(tag, attrs)
-        if tag in _VOID:
+        while self.open:
             self._pop()
 
-    def handle_startendtag(self, tag, attrs):
-        self._flush()
+    def _read(self, html: str) -> None:
+        at = 0
+        while (token := _TOKEN.search(html, at)) is not None:
+            if token.start() > at:
+                self._pending.append(html[at:token.start()])
+            at = token.end()
+            tag = token["tag"]
+            if tag is None:
+                self._flush()
+            elif token["close"]:
+                tag = tag.lower()
+                if token["end"]:
+                    self._end(tag)
+                elif not self._begin(tag, token["body"]) and tag in _RAW_END:
+                    at = _RAW_END[tag].search(html, at).start()
+        self._pending.append(html[at:])
+
+    # -- tags -------------------------------------------------------------
+    def _begin(self, tag: str, body: str) -> bool:
+        """Open an element; True if it is closed again at once."""
+        attrs: dict[str, str] = {}
+        read = 0
+        for found in _ATTRIBUTE.finditer(body):
+            read = found.end()
+            name = found[1].lower()
+            if name not in attrs:
+                value = found[2] or found[3] or found[4] or ""
+                if "&" in value:
+                    value = unescape(value)
+                attrs[name] = " ".join(value.split()) if name in _LIST_ATTRS else value
+        closed = tag in _VOID or body[read:].rstrip().endswith("/")
         self._start(tag, attrs)
-        if self.open and self.open[-1].tag == tag and tag not in ("html", "head", "body"):
+        if closed and tag not in ("html", "head", "body"):
             self._pop()
+        return closed
 
-    def handle_endtag(self, tag):
-        self._flush()
+    def _end(self, tag: str) -> None:
         if tag in _VOID or tag in ("html", "body"):
             return
         rank = _RANK.get(tag, 100)
-        for depth in range(len(self.open) - 1, -1, -1):
+        for depth in range(len(self.open) - 1, -1, -1) if self._n_open.get(tag) else ():
             found = self.open[depth].tag
             if found == tag:
                 while len(self.open) > depth:
@@ -165,48 +208,26 @@ class _Page(HTMLParser):
             if _RANK.get(found, 100) > rank:
                 break
         if tag == "p":
-            self._start("p", ())
-            self._pop()
-
-    def handle_data(self, data):
-        self._pending.append(data)
-
-    def handle_comment(self, data):
-        self._flush()
-
-    def handle_decl(self, decl):
-        self._flush()
-
-    def handle_pi(self, data):
-        self._flush()
-
-    def updatepos(self, i, j):
-        return j  # line numbers are not used
-
-    def parse_marked_section(self, i, report=1):
-        end = self.rawdata.find(">", i)  # <![ ... > is skipped like a comment, whatever it says
-        self._flush()
-        return end + 1 if end >= 0 else -1
-
-    def finish(self) -> None:
-        self.close()
-        self._flush()
-        while self.open:
+            self._start("p", {})
             self._pop()
 
     # -- tree -------------------------------------------------------------
     def _flush(self) -> None:
         if not self._pending:
             return
-        text = "".join(self._pending).strip()
+        text = "".join(self._pending)
         self._pending.clear()
-        if not text or self._unread:
+        if self._unread:
+            return
+        text = (unescape(text) if "&" in text else text).strip()
+        if not text:
             return
         if not self.open or self.open[-1].tag in ("html", "head"):
-            self._start("p", ())
+            self._start("p", {})
         self.strings.append(text)
 
-    def _start(self, tag: str, attrs) -> None:
+    def _start(self, tag: str, attrs: dict[str, str]) -> None:
+        self._flush()
         if tag in ("html", "head", "body"):
             if not self._outer(tag):
                 return
@@ -216,17 +237,15 @@ class _Page(HTMLParser):
                 self._pop()
             if tag in _HEAD and not self._seen_body:
                 if not self._seen_head:
-                    self._start("head", ())
+                    self._start("head", {})
             elif not self._seen_body:
-                self._start("body", ())
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            value = value or ""
-            if name not in values:
-                values[name] = " ".join(value.split()) if name in _LIST_ATTRS else value
-        node = _Node(tag, values, self.open[-1] if self.open else None, len(self.nodes), len(self.strings))
+                self._start("body", {})
+            if len(self.open) >= _MAX_DEPTH:
+                self._pop()
+        node = _Node(tag, attrs, self.open[-1] if self.open else None, len(self.nodes), len(self.strings))
         self.nodes.append(node)
         self.open.append(node)
+        self._n_open[tag] = self._n_open.get(tag, 0) + 1
         self._unread += tag in _UNREAD
 
     def _outer(self, tag: str) -> bool:
@@ -234,7 +253,7 @@ class _Page(HTMLParser):
         if tag == "html":
             return not self.nodes
         if not self.nodes:
-            self._start("html", ())
+            self._start("html", {})
         if self._seen_body or (tag == "head" and self._seen_head):
             return False
         while len(self.open) > 1:
@@ -244,8 +263,10 @@ class _Page(HTMLParser):
         return True
 
     def _pop(self) -> None:
+        self._flush()
         node = self.open.pop()
         node.end, node.text_to = len(self.nodes), len(self.strings)
+        self._n_open[node.tag] -= 1
         self._unread -= node.tag in _UNREAD
 
     # -- results ----------------------------------------------------------
@@ -296,12 +317,7 @@ def _tables(page: _Page) -> list[dict]:
 
 def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS) -> dict:
     """Parse one page; ``parts`` limits what is built."""
-    page = _Page()
-    last = html.rfind("<")
-    if last >= 0 and html.find(">", last) < 0 and (html[last + 1:last + 2].isalpha() or html[last + 1:last + 2] in "/!"):
-        html = html[:last]
-    page.feed(html)
-    page.finish()
+    page = _Page(html)
     record: dict = {}
     for part in parts:
         if part == "title":

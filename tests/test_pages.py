@@ -115,6 +115,34 @@ def test_marked_sections_are_skipped():
     assert parse_page("<body>a<![if IE]>b<![endif]>c<![odd x]>d", ("text",)) == {"text": "a b c d"}
 
 
+def test_broken_pages_take_linear_time():
+    import time
+    start = time.time()
+    for piece in ("<!--", "<a ", "<a b='", '<a b="', "<p a", "<![", "<?", "</", "<", "&", "<b></i>", "<script>", "<td><table>"):
+        parse_page(piece * 5000 + ">")
+        parse_page(piece * 5000)
+    assert time.time() - start < 20
+
+
+def test_deep_pages_keep_all_elements():
+    page = parse_page("<div>" * 2000 + "<a href=x>y</a>", ("elements", "links"))
+    assert page["links"] == [{"href": "x", "text": "y"}] and page["elements"][0]["selector"].count(">") < 512
+
+
+def test_quotes_only_delimit_values():
+    page = parse_page("""<p title=it's>one</p><a href='x"y'>two</a><a href="p>q" id=b/>three<br/>four</x>five""",
+                      ("text", "links", "elements"))
+    assert page["text"] == "one two three fourfive"
+    assert [x["href"] for x in page["links"]] == ['x"y', "p>q"]
+    assert page["elements"][1]["selector"] == "#b/"  # an unquoted value takes the slash
+
+
+def test_entities_in_values_and_raw_text():
+    page = parse_page("<script>if (a < b) { x('<p>') }</SCRIPT ><style>p > a {}</style><a href='?a=1&amp;b=2'>&lt;x&gt;</a>",
+                      ("text", "links"))
+    assert page == {"text": "<x>", "links": [{"href": "?a=1&b=2", "text": "<x>"}]}
+
+
 def test_cut_off_source():
     page = parse_page('<p>one <a href="/x">two</a> three <a href="/y', ("text", "links"))
     assert page["text"] == "one two three" and len(page["links"]) == 1
