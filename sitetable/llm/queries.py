@@ -86,3 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_ordinal_quality, op2_kmeans_tree, op3_histogram_packing, op4_maglev_shards, op5_zip_warc,
     op6_weighted_minhash, op7_host_trust, op8_risk_rules, op9_threshold_mixing, op10_secret_owners)}
 
+ORACLES: dict[str, str] = {}
