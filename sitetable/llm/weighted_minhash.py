@@ -142,7 +142,7 @@ def _idf(docs: DataFrame) -> np.ndarray:
 
 
 def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _banded(docs: DataFrame, id_col: str, text_col: str, table) -> DataFrame:
@@ -158,13 +158,17 @@ def _banded(docs: DataFrame, id_col: str, text_col: str, table) -> DataFrame:
                                              ["id", "key", "bands"])
 
     rows = docs.select(col(id_col).cast("long").alias("id"), text_key(col(text_col)).alias("key"), col(text_col).alias("text"))
-    return rows.mapInArrow(sample, "id long, key string, bands array<long>")
+    return rows.mapInArrow(sample, "id long, key binary, bands array<long>")
 
 
 def _centred(buckets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(bucket, key) -> buckets of two or more with their centre: bucket, key, centre."""
+    """(bucket, key) -> buckets of two or more with their centre: bucket, key, centre.
+
+    Most buckets have one member: a semi join, whose large side Spark can split, drops these before the rest is dealt.
+    """
     sizes = scratch.store(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-sizes")
-    members = scratch.store(salted_join(buckets, sizes, "bucket", F.xxhash64("key")), f"{name}-members")
+    shared = scratch.store(buckets.join(sizes, "bucket", "left_semi"), f"{name}-shared")
+    members = scratch.store(salted_join(shared, sizes, "bucket", F.xxhash64("key")), f"{name}-members")
     weight = members.groupBy("key").agg(F.sum("n").alias("weight"))
     members = scratch.store(members.join(weight, "key"), f"{name}-weighed")
     centres = members.groupBy("bucket").agg(F.max_by("key", F.struct("weight", "key")).alias("centre"))
@@ -197,7 +201,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name:
     pairs = scratch.store(pairs.join(texts, "key"), f"{name}-left")
     right = texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text"))
     both = salted_join(pairs, right, "centre", F.xxhash64("key"))
-    return scratch.store(both.mapInArrow(compare, "centre string, key string, alike double"), f"{name}-verified")
+    return scratch.store(both.mapInArrow(compare, "centre binary, key binary, alike double"), f"{name}-verified")
 
 
 def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -235,9 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.store(texts.select("key", F.posexplode("bands")).select(
         "key", F.xxhash64("pos", "col").alias("bucket")), "buckets")
     first = _centred(buckets, scratch, "bands")
-    needed = scratch.store(first.select("key").distinct(), "needed")
-    bodies = scratch.store(docs.select(text_key(col(text_col)).alias("key"), col(text_col).alias("text")).join(
-        needed, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+    # of equal texts the one with the smallest id is fetched, so that the copies of a text do not meet
+    needed = scratch.store(first.select("key").distinct().join(texts.select("key", "id"), "key"), "needed")
+    whole = docs.select(text_key(col(text_col)).alias("key"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    bodies = whole.join(needed, (whole.key == needed.key) & whole.id.eqNullSafe(needed.id), "left_semi")
+    bodies = scratch.store(bodies.dropDuplicates(["key", "id"]).select("key", "text"), "bodies")
     pairs = first.filter("key <> centre").select("centre", "key").distinct()
     seen = _verified(pairs, bodies, table, scratch, "first")
     # members unlike their centre meet again where a second band agrees
@@ -257,11 +263,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "root", F.col("m.id").alias("class_id"), F.col("m.key").alias("class_key"), "n_texts")
     named = scratch.store(salted_join(classed.select("key", "root"), names, "root", F.xxhash64("key")).drop("root"), "named", result=True)
     scratch.clear()
+    hexed = F.lower(F.hex("key")).alias("text_key")
     worded, wordless = rows.filter("bands IS NOT NULL"), rows.filter("bands IS NULL")
     return salted_join(worded.select("id", "key"), named, "key", F.xxhash64("id")).select(
-        F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "class_key", "n_texts").unionByName(
-        wordless.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("id").alias("class_id"),
-                        F.col("key").alias("class_key"), F.lit(1).cast("long").alias("n_texts")))
+        F.col("id").alias(id_col), hexed, "class_id", F.lower(F.hex("class_key")).alias("class_key"), "n_texts").unionByName(
+        wordless.select(F.col("id").alias(id_col), hexed, F.col("id").alias("class_id"),
+                        F.lower(F.hex("key")).alias("class_key"), F.lit(1).cast("long").alias("n_texts")))
 
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -272,6 +279,6 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         .select(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "text_key").alias("row_key")).distinct()
     keep = Scratch(docs.sparkSession, "unique").store(keep, "keep", result=True)
     packed = docs.select(F.struct(*[col(c) for c in names]).alias("row"))
-    key = F.concat_ws(":", F.coalesce(F.col("row")[id_col].cast("string"), F.lit("null")), text_key(F.col("row")[text_col]))
+    key = F.concat_ws(":", F.coalesce(F.col("row")[id_col].cast("string"), F.lit("null")), F.lower(F.hex(text_key(F.col("row")[text_col]))))
     kept = packed.withColumn("row_key", key).join(keep, "row_key", "left_semi").dropDuplicates(["row_key"])
     return kept.select(*[F.col("row")[c].alias(c) for c in names])
