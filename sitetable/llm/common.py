@@ -79,7 +79,8 @@ def fresh(taken: list[str], wanted: str) -> str:
     return name
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salt: Column, salts: int = 64) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt: Column, salts: int = 64,
+                hint: str | None = None) -> DataFrame:
     """Inner join on ``key`` (unique in ``right``) that deals the rows of a hot key to ``salts`` groups.
 
     The right row is copied once per salt that occurs with its key, so never more often than the left has rows.
@@ -87,4 +88,4 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salt: Column, salts
     """
     left = left.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     copies = left.select(key, "_salt").distinct().join(right, key)
-    return left.join(copies, [key, "_salt"]).drop("_salt")
+    return left.join(copies.hint(hint) if hint else copies, [key, "_salt"]).drop("_salt")

@@ -198,9 +198,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name:
             yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("key"), pa.array(out, pa.float64())],
                                              ["centre", "key", "alike"])
 
-    pairs = scratch.store(pairs.join(texts, "key"), f"{name}-left")
+    # texts always move by key, as they must at scale: a broadcast that only a small corpus allows tells nothing of a large one
+    pairs = scratch.store(pairs.join(texts.hint("merge"), "key"), f"{name}-left")
     right = texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text"))
-    both = salted_join(pairs, right, "centre", F.xxhash64("key"))
+    both = salted_join(pairs, right, "centre", F.xxhash64("key"), hint="merge")
     return scratch.store(both.mapInArrow(compare, "centre binary, key binary, alike double"), f"{name}-verified")
 
 
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of equal texts the one with the smallest id is fetched, so that the copies of a text do not meet
     needed = scratch.store(first.select("key").distinct().join(texts.select("key", "id"), "key"), "needed")
     whole = docs.select(text_key(col(text_col)).alias("key"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    bodies = whole.join(needed, (whole.key == needed.key) & whole.id.eqNullSafe(needed.id), "left_semi")
+    bodies = whole.join(needed.hint("merge"), (whole.key == needed.key) & whole.id.eqNullSafe(needed.id), "left_semi")
     bodies = scratch.store(bodies.dropDuplicates(["key", "id"]).select("key", "text"), "bodies")
     pairs = first.filter("key <> centre").select("centre", "key").distinct()
     seen = _verified(pairs, bodies, table, scratch, "first")
