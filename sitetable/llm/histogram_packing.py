@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, col
 
 SIZE, END_ID = 2048, 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 PIECES_PER_CHUNK = 20_000
+MARKS = frozenset(".,")
 
 
 def _blanks(text: str) -> str:
@@ -49,16 +50,30 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_blanks(t).split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
+            self.known.clear()
+        known = self.known
+        new = set().union(*split).difference(known)
+        cores = {w: _core(w) for w in new}
+        missing = list({c for c, _ in cores.values()}.union(MARKS).difference(known))
+        for at in range(0, len(missing), 10_000):
+            part = missing[at:at + 10_000]
             coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-        get = self.known.__getitem__
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+        known.update((w, known[c] + known[mark] if mark else known[c]) for w, (c, mark) in cores.items())
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+def _core(word: str) -> tuple[str, str]:
+    """A word with the same ids, and a sign after it that the tokenizer keeps apart: letters, then one sign.
+
+    ASCII is looked up in lower case, as the tokenizer takes it; other letters' rules are left to the tokenizer.
+    """
+    mark = word[-1:] if word[-1:] in MARKS and word[:-1].isalpha() else ""
+    core = word[:-1] if mark else word
+    return core.lower() if core.isascii() and core.isalpha() else core, mark
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
            end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
