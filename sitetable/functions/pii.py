@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitetable.functions.json_names import mask_names
+
 # The PII patterns, in the order in which they apply.
 PATTERNS: dict[str, str] = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Z|a-z]{2,}\b",
@@ -145,7 +147,10 @@ class _Rewrite:
         return F.when(named, F.lit(self.placeholder)).otherwise(text)
 
     def variant(self, column: Column) -> Column:
-        """A value whose type differs by row: strings are redacted, objects and lists by their JSON text."""
+        """A value whose type differs by row: strings are redacted, objects and lists by their JSON text.
+
+        Named fields were masked before, by ``_names_masked``.
+        """
         kind = F.schema_of_variant(column)
         text = self.text(F.to_json(column))
         return (F.when(kind == "STRING", self.text(F.variant_get(column, "$", "string")).cast("variant"))
@@ -154,6 +159,22 @@ class _Rewrite:
                  .otherwise(column))
 
 
+def _has_variant(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_variant(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_variant(dtype.elementType)
+    return isinstance(dtype, T.VariantType) or isinstance(dtype, T.MapType) and _has_variant(dtype.valueType)
+
+
+def _names_masked(column: Column, dtype: T.DataType, placeholder: str) -> Column:
+    """A column that is or holds variants, the named fields within them masked; other columns as they are."""
+    if not _has_variant(dtype):
+        return column
+    text = mask_names(F.to_json(column), FIELD_NAMES, placeholder)
+    return F.try_parse_json(text) if isinstance(dtype, T.VariantType) else F.from_json(text, dtype)
+
+
 def redact_record(df: DataFrame, columns: Sequence[str] | None = None, placeholder: str = PLACEHOLDER) -> DataFrame:
     """Redact a table by field name and by value, down through structs, maps and lists.
 
@@ -163,7 +184,7 @@ def redact_record(df: DataFrame, columns: Sequence[str] | None = None, placehold
     wanted = set(df.columns if columns is None else columns)
     rewrite = _Rewrite(placeholder)
     return df.select(*[
-        (rewrite.field(F.col(f"`{f.name}`"), f) if f.name in wanted else F.col(f"`{f.name}`")).alias(f.name)
+        (rewrite.field(_names_masked(F.col(f"`{f.name}`"), f.dataType, placeholder), f) if f.name in wanted else F.col(f"`{f.name}`")).alias(f.name)
         for f in df.schema.fields])
 
 
@@ -176,7 +197,8 @@ def redact_json(df: DataFrame, column: str, placeholder: str = PLACEHOLDER) -> D
     not their spelling. Texts that are no objects are redacted as plain text.
     """
     is_variant = isinstance(df.schema[column].dataType, T.VariantType)
-    text = F.to_json(column) if is_variant else F.col(column)
+    # named fields go first, whatever the shape around them: lists, mixed types, objects of one row only
+    text = mask_names(F.to_json(column) if is_variant else F.col(column), FIELD_NAMES, placeholder)
     parsed = F.try_parse_json(text)
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     shape = df.select(F.schema_of_variant_agg(F.when(is_object, parsed))).first()[0]

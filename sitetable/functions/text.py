@@ -64,9 +64,9 @@ def flat_list(values: Column | str) -> Column:
 
 
 def in_share(key: Column | str, fraction: float) -> Column:
-    """True for a share of the keys, by hash: stable when other keys are added."""
+    """True for a share of the keys, by hash: stable when other keys are added. False for a null key."""
     place = F.conv(F.substring(F.md5(_col(key).cast("string")), 1, 8), 16, 10).cast("long")
-    return place < int(fraction * 2**32)
+    return F.coalesce(place < int(fraction * 2**32), F.lit(False))
 
 
 def iso_utc(ts: Column | str) -> Column:

@@ -113,7 +113,7 @@ def table_rows(pages: DataFrame, key: str = "id") -> DataFrame:
     """One row per table row found in the pages, as a header -> cell map.
 
     Tables without a header row get the names c0, c1, ...; cells beyond the header too.
-    A repeated header name keeps its first cell.
+    A repeated header name gets the number of its occurrence: P, P_2, ...; no cell is lost.
     """
     parsed = parse_pages(pages.select(key, "html"), ("tables",))
     rows = (parsed.select(F.col(key).alias("page_id"), F.posexplode("parsed.tables").alias("table_pos", "t"))
@@ -122,9 +122,18 @@ def table_rows(pages: DataFrame, key: str = "id") -> DataFrame:
     named = F.transform("cells", lambda cell, i: F.struct(
         F.coalesce(F.nullif(F.get("header", i), F.lit("")), F.concat(F.lit("c"), i.cast("string"))).alias("name"),
         cell.alias("cell")))
-    first = F.filter(named, lambda pair, i: i == F.array_position(
-        F.transform(named, lambda p: p["name"]), pair["name"]).cast("int") - 1)
-    return rows.select("page_id", "table_pos", "row_pos", F.map_from_entries(first).alias("fields"))
+
+    def numbered(pairs: Column, mark: Column) -> Column:
+        def rename(pair: Column, i: Column) -> Column:
+            n = F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda p: p["name"] == pair["name"]))
+            return F.struct(F.when(n == 1, pair["name"]).otherwise(F.concat(pair["name"], mark, n.cast("string"))).alias("name"),
+                            pair["cell"].alias("cell"))
+        return F.transform(pairs, rename)
+
+    # a numbered name may meet one that was there; the second mark starts with a character no trimmed header has
+    rows = rows.withColumn("pairs", named).withColumn("pairs", numbered(F.col("pairs"), F.lit("_")))
+    rows = rows.withColumn("pairs", numbered(F.col("pairs"), F.lit("\n")))
+    return rows.select("page_id", "table_pos", "row_pos", F.map_from_entries("pairs").alias("fields"))
 
 
 def classify_pages(pages: DataFrame, strict: bool = False,

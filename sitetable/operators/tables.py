@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 from sitetable.schemas import CASCADE, TABLES
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their literal names, dots included."""
+    return [F.col(f"`{name}`") for name in names]
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), last: bool = True) -> DataFrame:
     """One row per key: the last (or first) by ``order``. Aggregated partially, so copies never pile up."""
     if not order:
         return df.dropDuplicates(list(keys))
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
-    best = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    best = df.groupBy(*quoted(keys)).agg(pick(F.struct(*quoted(rest)), F.struct(*quoted(order))).alias("_row"))
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The rows whose key is not in ``target`` yet, one per key (the first by ``order``); append them."""
-    return one_per_key(rows, keys, order, last=False).join(target.select(*keys), list(keys), "left_anti") \
-        .select(*rows.columns)
+    return one_per_key(rows, keys, order, last=False).join(target.select(*quoted(keys)), list(keys), "left_anti") \
+        .select(*quoted(rows.columns))
 
 
 def get_or_create(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -39,16 +44,16 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols:
     Several updates of one key: the last by ``order`` applies.
     """
     # a struct key compares null-safely, and the updates, grouped by it, are joined without another shuffle
-    new = one_per_key(updates.withColumn("_key", F.struct(*keys)), ["_key"], order)
-    joined = target.withColumn("_old", F.lit(True)).withColumn("_key", F.struct(*keys)).alias("t").join(
+    new = one_per_key(updates.withColumn("_key", F.struct(*quoted(keys))), ["_key"], order)
+    joined = target.withColumn("_old", F.lit(True)).withColumn("_key", F.struct(*quoted(keys))).alias("t").join(
         new.withColumn("_new", F.lit(True)).alias("u"), "_key", "full_outer")
 
     def value(name: str) -> Column:
         if name not in new.columns:
-            return F.col(f"t.{name}")
+            return F.col(f"t.`{name}`")
         if name in set_cols:
-            return F.when(F.col("_new"), F.col(f"u.{name}")).otherwise(F.col(f"t.{name}"))
-        return F.when(F.col("_old"), F.col(f"t.{name}")).otherwise(F.col(f"u.{name}"))
+            return F.when(F.col("_new"), F.col(f"u.`{name}`")).otherwise(F.col(f"t.`{name}`"))
+        return F.when(F.col("_old"), F.col(f"t.`{name}`")).otherwise(F.col(f"u.`{name}`"))
 
     return joined.select(*[value(c).alias(c) for c in target.columns])
 

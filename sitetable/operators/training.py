@@ -56,12 +56,16 @@ def export_records(records: DataFrame, out_dir: str, ledger_path: str, data_type
 
     Records go to ``p_export=<id>/p_type=…/p_split=…`` without a shuffle. Counts
     and the ledger entry are read from the written files, and both steps
-    overwrite their own export id only, so a failed export can be repeated under
-    the same id without doubling a line, and marks nothing before it is whole.
+    overwrite their own export id only. The ledger's entries of the same id do not
+    count as exported, so an export can be repeated under its id, after a failure
+    or a success, and writes the same lines again.
     """
     spark = records.sparkSession
     export_id = export_id or uuid.uuid4().hex
-    pending = unexported(records, data_type, limit, read_ledger(spark, ledger_path))
+    ledger = read_ledger(spark, ledger_path)
+    if ledger is not None:
+        ledger = ledger.filter(F.col("p_export") != export_id)
+    pending = unexported(records, data_type, limit, ledger)
     lines = record_lines(pending).withColumn("p_type", F.col("type")).withColumn("p_split", F.col("split"))
     target = f"{out_dir}/p_export={export_id}"
     (lines.write.mode("overwrite").option("ignoreNullFields", "false")
@@ -111,7 +115,9 @@ def split_train_val(rows: DataFrame, val_fraction: float = 0.1, method: str = "o
             along = W.Window.partitionBy("_slice").orderBy("_rank", "_key")
             cut = (sliced.filter(F.col("_slice") == number).withColumn("_n", F.row_number().over(along))
                          .filter(F.col("_n") == left).first())
-            before = (rank < cut["_rank"]) | ((rank == cut["_rank"]) & (F.col(key) <= cut["_key"]))
+            # structs compare null keys too (first), so every row is on one side
+            last = F.struct(F.lit(cut["_rank"]), F.lit(cut["_key"]).cast(rows.schema[key].dataType))
+            before = F.struct(rank, F.col(key)) <= last
             return rows.filter(before), rows.filter(~before)
         left -= n
     return rows, rows.limit(0)

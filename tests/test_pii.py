@@ -114,3 +114,18 @@ def test_maps_and_json(spark):
     assert out["counts"] == {"phone": pii.PLACEHOLDER, "n": "2"}
     import json
     assert json.loads(out["j"]) == {"email": pii.PLACEHOLDER, "k": {"v": pii.PLACEHOLDER, "n": 1}}
+
+
+def test_named_secrets_go_in_any_shape(spark):
+    texts = ['{"password":"hunter2","user":{"token":"abc"}}', '{"user":"bob"}', '[{"api_key":1},"x",[{"token":"kept"}]]',
+             '{"list":[{"password":{"a":"deep9"}},"b",3]}', '{"user":{"password":["p1","p2"]}}', 'no json "token"', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string")
+    out = {r["i"]: r["body"] for r in pii.redact_json(rows, "body").collect()}
+    variants = rows.filter("i <> 5").select("i", F.parse_json("body").alias("body"))
+    whole = {r["i"]: r["j"] for r in pii.redact_record(variants).select("i", F.to_json("body").alias("j")).collect()}
+    for found in (out, whole):
+        joined = "\n".join(x for x in found.values() if x)
+        for secret in ("hunter2", "abc", "deep9", "p1", "p2"):
+            assert secret not in joined, (secret, joined)
+        assert "bob" in found[1] and found[6] is None
+    assert out[5] == 'no json "token"'
