@@ -4,7 +4,8 @@ A text is its multiset of five-word shingles (lower case, white space apart; sho
 shingle weighs its count times 1 + ln(N / df) / ln(N / floor), between one and two times the count: document
 frequencies of all documents are counted in a fixed table of hashed counters, whose mean load is the floor. The
 sampling (Ioffe, 2010) draws SAMPLES weighted shingles per text; two texts draw the same one with the probability
-of their weighted Jaccard similarity. Its random numbers come from a fixed table addressed by the shingle's hash.
+of their weighted Jaccard similarity. Its random numbers come from fixed tables, addressed by two parts of a hash of
+shingle and sample, so that there are 2 ** 32 combinations of them.
 
 Texts that agree in a band of ROWS samples are compared with the band's centre: the member whose bands have the
 most members in all, which in a family of copies is the common original. So a group of any size makes one pair per
@@ -97,7 +98,8 @@ class Sampler:
         rows = np.arange(SAMPLES)
         for low in range(0, len(hashes), BLOCK):
             h, ln_w = hashes[low:low + BLOCK], np.log(w[low:low + BLOCK]).astype(np.float32)
-            at = ((h[None, :] * self.mult) >> _U(64 - POOL_BITS)).astype(np.int32)
+            product = h[None, :] * self.mult
+            at = ((product >> _U(64 - 2 * POOL_BITS)) & _U((1 << POOL_BITS) - 1)).astype(np.int32)
             r, beta = self.r.take(at), self.beta.take(at)
             t = self.inverse.take(at)
             t *= ln_w
@@ -107,7 +109,7 @@ class Sampler:
             beta -= t
             beta -= 1
             beta *= r
-            beta += self.ln_c.take(at)
+            beta += self.ln_c.take((product >> _U(64 - POOL_BITS)).astype(np.int32))
             k = beta.argmin(axis=1)
             least, steps = beta[rows, k], t[rows, k].astype(np.int64).astype(np.uint64)
             new = least < best
