@@ -123,9 +123,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         "row_id", "key", F.coalesce("spans", empty).alias("spans"))
     out = rest.unionByName(hits)
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+
+    def n_of(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     return out.select(
-        F.col("row_id").alias(id_col), "key", *count, F.sha2(_joined(base), 256).alias("base_sha256"),
+        F.col("row_id").alias(id_col), "key", *map(n_of, range(4)), F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.col("spans").alias("found"))
 
