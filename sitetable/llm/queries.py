@@ -86,4 +86,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_ordinal_quality, op2_kmeans_tree, op3_histogram_packing, op4_maglev_shards, op5_zip_warc,
     op6_weighted_minhash, op7_host_trust, op8_risk_rules, op9_threshold_mixing, op10_secret_owners)}
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(b), {1 + 5 * i}, 5))::BIGINT >> {15 - 5 * j}) & 31)::INT, 1)"
+    for i in range(8) for j in range(4))
+
+ORACLES: dict[str, str] = {
+    "op5_zip_warc": f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (b)""",
+    # caps by closed form: sources in the order of cap per weight are capped while the rest's share is above their cap
+    "op9_threshold_mixing": f"""
+WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY n::DOUBLE / w, source) AS k FROM w),
+c AS (SELECT *, sum(2 * n) OVER (ORDER BY k) AS capped, sum(w) OVER () - sum(w) OVER (ORDER BY k) AS open_w,
+             sum(n) OVER () AS total FROM o),
+l AS (SELECT k, capped, open_w, total, lead(2 * n) OVER (ORDER BY k) AS next_cap, lead(w) OVER (ORDER BY k) AS next_w FROM c
+      UNION ALL SELECT 0, 0, sum(w), sum(n), arg_min(2 * n, k), arg_min(w, k) FROM o),
+cut AS (SELECT k AS upto, (3 * total - 2 * capped)::BIGINT AS num, (2 * open_w)::BIGINT AS den FROM l
+        WHERE open_w > 0 AND (3 * total - 2 * capped) * next_w <= next_cap * 2 * open_w ORDER BY k LIMIT 1),
+t AS (SELECT source, n, CASE WHEN k <= upto THEN (2 * n)::DOUBLE ELSE (w * num)::DOUBLE / den::DOUBLE END AS target FROM o, cut),
+e AS (SELECT source, n, target, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole FROM t),
+m AS (SELECT d.*, e.n, e.target, e.whole, e.target - e.whole * e.n AS rest,
+             sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, n AS source_size, target, whole + (upto <= rest)::BIGINT AS copies,
+       ((whole + (upto <= rest)::BIGINT) * size)::BIGINT AS taken FROM m""",
+}
