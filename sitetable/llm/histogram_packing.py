@@ -17,7 +17,9 @@ empty table gives an empty result; other columns are not looked at; a document o
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, col
 
 SIZE, END_ID = 2048, 1
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 PIECES_PER_CHUNK = 20_000
 MARKS = frozenset(".,")
 
@@ -43,6 +45,8 @@ class WordIds:
     """Little-endian 32-bit ids of words, kept for the words seen last."""
 
     def __init__(self, path: str):
+        # Spark runs a task per core: threads of a task's own would only contend
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
@@ -74,13 +78,19 @@ def _core(word: str) -> tuple[str, str]:
     return core.lower() if core.isascii() and core.isalpha() else core, mark
 
 
+@functools.cache
+def _kept(path: str) -> WordIds:
+    """A worker process keeps its words from task to task."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
            end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_path)
+        ids = _kept(tokenizer_path)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
