@@ -11,8 +11,11 @@ row stays in the JVM. The tree is built leniently, the way C HTML parsers repair
 * an end tag closes what is open above its match, unless something of a higher
   structural rank (a table cell, a row, a ``div`` ...) lies in between;
 * end tags without a match are dropped, except ``</p>``, which is an empty ``p``;
-* a tag or comment that is never closed takes the rest of the source with it;
-* below 512 levels, the depth at which browsers stop too, elements become siblings.
+* a tag or comment that is never closed takes the rest of the source with it.
+
+Nesting has no limit: nothing here recurses, and an end tag finds its match without walking the open elements.
+Selectors spell out the whole path, so the elements of an endlessly nested page take space quadratic in its depth;
+``max_depth`` bounds that where pages are not trusted: deeper elements become siblings and ``cut`` tells so.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ DATA_TAGS = ("table", "tr", "td", "th")
 ELEMENT_TAGS = INTERACTIVE_TAGS + DATA_TAGS
 TEXT_LIMIT = 300
 
-PARTS = ("title", "text", "elements", "links", "forms", "tables")
+PARTS = ("title", "text", "elements", "links", "forms", "tables")  # and "cut", where max_depth is given
 
 _DDL = {
     "title": "string",
@@ -47,6 +50,7 @@ _DDL = {
     "forms": "array<struct<action:string,method:string,inputs:array<struct<"
              "tag:string,name:string,type:string,placeholder:string,required:boolean>>>>",
     "tables": "array<struct<header:array<string>,rows:array<array<string>>>>",
+    "cut": "boolean",
 }
 _ARROW = {
     "title": pa.string(),
@@ -62,6 +66,7 @@ _ARROW = {
             ("placeholder", pa.string()), ("required", pa.bool_())])))])),
     "tables": pa.list_(pa.struct([
         ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])),
+    "cut": pa.bool_(),
 }
 
 _VOID = frozenset("area base basefont br col embed frame hr img input isindex link meta param source track wbr".split())
@@ -95,8 +100,6 @@ _CLOSES |= {
 for _t in ("tbody", "thead", "tfoot"):
     _CLOSES[_t] = frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "p", "caption", "colgroup"})
 
-_MAX_DEPTH = 512
-
 # structural rank: an end tag never reaches past an open tag of a higher rank
 _RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
          "head": 200, "body": 200, "html": 220}
@@ -125,12 +128,6 @@ class _Node:
             node = node.parent
         return " > ".join(reversed(parts))
 
-    def above(self, tag: str) -> _Node | None:
-        node = self.parent
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node
-
 
 # A quote delimits a value only after an equals sign. Nothing here backtracks over what it has read.
 _TOKEN = re.compile(r"""
@@ -146,12 +143,14 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in ("script"
 class _Page:
     """Flat document-order node list; a node spans [pos, end) nodes and [text_from, text_to) strings."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, max_depth: int | None = None) -> None:
+        self.max_depth, self.cut = max_depth, False
         self.nodes: list[_Node] = []
         self.strings: list[str] = []
         self.open: list[_Node] = []
         self._pending: list[str] = []
-        self._n_open: dict[str, int] = {}
+        self._open_at: dict[str, list[int]] = {}  # tag -> depths at which it is open
+        self._ranked_at: dict[int, list[int]] = {rank: [] for rank in set(_RANK.values())}
         self._unread = 0
         self._seen_head = self._seen_body = False
         self._read(html)
@@ -198,15 +197,13 @@ class _Page:
     def _end(self, tag: str) -> None:
         if tag in _VOID or tag in ("html", "body"):
             return
-        rank = _RANK.get(tag, 100)
-        for depth in range(len(self.open) - 1, -1, -1) if self._n_open.get(tag) else ():
-            found = self.open[depth].tag
-            if found == tag:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            if _RANK.get(found, 100) > rank:
-                break
+        own = _RANK.get(tag, 100)
+        barrier = max((at[-1] for rank, at in self._ranked_at.items() if rank > own and at), default=-1)
+        if (at := self._open_at.get(tag)) and at[-1] > barrier:
+            depth = at[-1]
+            while len(self.open) > depth:
+                self._pop()
+            return
         if tag == "p":
             self._start("p", {})
             self._pop()
@@ -240,12 +237,15 @@ class _Page:
                     self._start("head", {})
             elif not self._seen_body:
                 self._start("body", {})
-            if len(self.open) >= _MAX_DEPTH:
+            if self.max_depth is not None and len(self.open) >= self.max_depth:
+                self.cut = True
                 self._pop()
         node = _Node(tag, attrs, self.open[-1] if self.open else None, len(self.nodes), len(self.strings))
+        self._open_at.setdefault(tag, []).append(len(self.open))
+        if tag in _RANK:
+            self._ranked_at[_RANK[tag]].append(len(self.open))
         self.nodes.append(node)
         self.open.append(node)
-        self._n_open[tag] = self._n_open.get(tag, 0) + 1
         self._unread += tag in _UNREAD
 
     def _outer(self, tag: str) -> bool:
@@ -266,25 +266,29 @@ class _Page:
         self._flush()
         node = self.open.pop()
         node.end, node.text_to = len(self.nodes), len(self.strings)
-        self._n_open[node.tag] -= 1
+        self._open_at[node.tag].pop()
+        if node.tag in _RANK:
+            self._ranked_at[_RANK[node.tag]].pop()
         self._unread -= node.tag in _UNREAD
 
     # -- results ----------------------------------------------------------
     def full_text(self, node: _Node) -> str:
         return "".join(self.strings[node.text_from:node.text_to])
 
-    def short_text(self, node: _Node) -> str:
+    def short_text(self, node: _Node, limit: int | None) -> str:
+        if limit is None:
+            return self.full_text(node)
         out, size = [], 0
         for i in range(node.text_from, node.text_to):
             out.append(self.strings[i])
             size += len(self.strings[i])
-            if size >= TEXT_LIMIT:
+            if size >= limit:
                 break
-        return "".join(out)[:TEXT_LIMIT]
+        return "".join(out)[:limit]
 
 
-def _elements(page: _Page, tags: frozenset[str]) -> list[dict]:
-    return [{"doc_pos": n.pos, "tag": n.tag, "text": page.short_text(n), "selector": n.selector(),
+def _elements(page: _Page, tags: frozenset[str], text_limit: int | None) -> list[dict]:
+    return [{"doc_pos": n.pos, "tag": n.tag, "text": page.short_text(n, text_limit), "selector": n.selector(),
              "attributes": list(n.attrs.items()), "attributes_text": str(n.attrs)}
             for n in page.nodes if n.tag in tags]
 
@@ -300,12 +304,18 @@ def _forms(page: _Page) -> list[dict]:
 def _tables(page: _Page) -> list[dict]:
     rows: dict[int, list[_Node]] = {n.pos: [] for n in page.nodes if n.tag == "table"}
     cells: dict[int, list[_Node]] = {}
+    # the table and the row each node lies in, passed on from its parent
+    in_table: list[int | None] = []
+    in_row: list[int | None] = []
     for n in page.nodes:
-        if n.tag == "tr" and (table := n.above("table")) is not None:
-            rows[table.pos].append(n)
+        up = n.parent
+        in_table.append(None if up is None else up.pos if up.tag == "table" else in_table[up.pos])
+        in_row.append(None if up is None else up.pos if up.tag == "tr" else in_row[up.pos])
+        if n.tag == "tr" and in_table[-1] is not None:
+            rows[in_table[-1]].append(n)
             cells[n.pos] = []
-        elif n.tag in ("td", "th") and (row := n.above("tr")) is not None and row.pos in cells:
-            cells[row.pos].append(n)
+        elif n.tag in ("td", "th") and in_row[-1] in cells:
+            cells[in_row[-1]].append(n)
     out = []
     for table_rows in rows.values():
         grid = [(cells[r.pos], [page.full_text(c) for c in cells[r.pos]]) for r in table_rows]
@@ -315,9 +325,10 @@ def _tables(page: _Page) -> list[dict]:
     return out
 
 
-def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS) -> dict:
+def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS,
+               text_limit: int | None = TEXT_LIMIT, max_depth: int | None = None) -> dict:
     """Parse one page; ``parts`` limits what is built."""
-    page = _Page(html)
+    page = _Page(html, max_depth)
     record: dict = {}
     for part in parts:
         if part == "title":
@@ -326,7 +337,7 @@ def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = EL
         elif part == "text":
             record[part] = " ".join(page.strings)
         elif part == "elements":
-            record[part] = _elements(page, frozenset(tags))
+            record[part] = _elements(page, frozenset(tags), text_limit)
         elif part == "links":
             record[part] = [{"href": n.attrs["href"], "text": page.full_text(n)}
                             for n in page.nodes if n.tag == "a" and "href" in n.attrs]
@@ -334,6 +345,8 @@ def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = EL
             record[part] = _forms(page)
         elif part == "tables":
             record[part] = _tables(page)
+        elif part == "cut":
+            record[part] = page.cut
     return record
 
 
@@ -341,21 +354,25 @@ def parsed_type(parts: Iterable[str] = PARTS) -> str:
     return "struct<" + ",".join(f"{p}:{_DDL[p]}" for p in parts) + ">"
 
 
-def parse_html(html: Column | str, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS) -> Column:
+def parse_html(html: Column | str, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS,
+               text_limit: int | None = TEXT_LIMIT, max_depth: int | None = None) -> Column:
     """Column of parsed pages, a struct with the asked-for ``parts``; null html gives null.
 
+    Element texts are cut at ``text_limit`` characters; None keeps them whole. ``max_depth`` bounds the nesting, off
+    by default; the part ``cut`` marks the pages it changed.
+
     Marked non-deterministic so that the optimizer evaluates it once per page
     instead of repeating it below every filter and projection that reads it.
     """
     parts, tags = tuple(parts), tuple(tags)
-    unknown = set(parts) - set(PARTS)
+    unknown = set(parts) - set(_DDL)
     if unknown:
         raise ValueError(f"unknown page parts: {sorted(unknown)}")
     arrow_type = pa.struct([(p, _ARROW[p]) for p in parts])
 
     def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([None if html is None else parse_page(html, parts, tags) for html in batch.to_pylist()],
+            yield pa.array([None if html is None else parse_page(html, parts, tags, text_limit, max_depth) for html in batch.to_pylist()],
                            type=arrow_type)
 
     # the evaluated hints tell Spark that this is an iterator-of-arrays UDF

@@ -1,4 +1,4 @@
-"""Masking values by field name in JSON texts of any shape."""
+"""Redacting JSON texts of any shape, by field name and by value."""
 
 from __future__ import annotations
 
@@ -15,33 +15,40 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _masked(value, names: frozenset[str], placeholder: str, in_list: bool = False):
-    """The value with every named entry replaced, objects within lists included; lists within lists are left alone."""
+def _cleaned(value, names: frozenset[str], patterns: list[re.Pattern], placeholder: str, in_list: bool = False):
+    """The value with named entries replaced and texts redacted, within lists too; lists within lists are left alone."""
     if isinstance(value, dict):
-        return {k: placeholder if k.lower() in names else _masked(v, names, placeholder) for k, v in value.items()}
+        return {k: placeholder if k.lower() in names else _cleaned(v, names, patterns, placeholder) for k, v in value.items()}
     if isinstance(value, list) and not in_list:
-        return [_masked(v, names, placeholder, in_list=True) for v in value]
+        return [_cleaned(v, names, patterns, placeholder, in_list=True) for v in value]
+    if isinstance(value, str):
+        for pattern in patterns:
+            value = pattern.sub(lambda _: placeholder, value)
     return value
 
 
-def mask_names(text: Column, names, placeholder: str) -> Column:
-    """A JSON text whose named entries, at any depth and of any type, hold the placeholder; other texts unchanged.
+def redact_json_text(text: Column, names, patterns, hint: str, placeholder: str) -> Column:
+    """A JSON text whose named entries, at any depth and of any type, hold the placeholder, and whose other texts are
+    redacted by ``patterns`` in their order; keys and numbers stay. A text that is no JSON is unchanged.
 
-    Only texts that hold one of the names in quotes go to Python (the rest are passed as null).
+    Only texts that hold one of the names in quotes, or match ``hint``, go to Python (the rest are passed as null).
     """
     wanted = frozenset(n.lower() for n in names)
+    patterns = list(patterns)
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
+        compiled = [re.compile(p) for p in patterns]
+
         def one(t):
             if t is None:
                 return None
             try:
-                return json.dumps(_masked(json.loads(t), wanted, placeholder), ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(_cleaned(json.loads(t), wanted, compiled, placeholder), ensure_ascii=False, separators=(",", ":"))
             except ValueError:
                 return t
         return texts.map(one, na_action=None)
 
     # an escaped spelling of a name cannot be seen in the text, so escapes count as a hint too
-    hint = r'(?i)"(?:' + "|".join(sorted(map(re.escape, wanted))) + r')"|\\u'
-    return F.coalesce(mask(F.when(text.rlike(hint), text)), text)
+    named = r'(?i)"(?:' + "|".join(sorted(map(re.escape, wanted))) + r')"|\\u'
+    return F.coalesce(mask(F.when(text.rlike(named) | text.rlike(hint), text)), text)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetable.functions.json_names import mask_names
+from sitetable.functions.json_names import redact_json_text
 
 # The PII patterns, in the order in which they apply.
 PATTERNS: dict[str, str] = {
@@ -111,10 +111,10 @@ def find_pii(text: Column | str, types: Sequence[str] | None = None) -> Column:
 
 
 class _Rewrite:
-    """Rebuilds a value of a known type; in ``sparse`` records a null field is an absent one and stays so."""
+    """Rebuilds a value of a known type."""
 
-    def __init__(self, placeholder: str, sparse: bool = False):
-        self.placeholder, self.sparse = placeholder, sparse
+    def __init__(self, placeholder: str):
+        self.placeholder = placeholder
 
     def text(self, column: Column) -> Column:
         return redact(column, placeholder=self.placeholder)
@@ -122,7 +122,7 @@ class _Rewrite:
     def field(self, column: Column, field: T.StructField) -> Column:
         if field.name.lower() not in FIELD_NAMES:
             return self.value(column, field.dataType)
-        return F.when(column.isNotNull(), F.lit(self.placeholder)) if self.sparse else F.lit(self.placeholder)
+        return F.lit(self.placeholder)
 
     def value(self, column: Column, dtype: T.DataType, in_list: bool = False) -> Column:
         if isinstance(dtype, T.StringType):
@@ -134,9 +134,7 @@ class _Rewrite:
             return F.transform_values(column, lambda key, item: self.entry(key, item, dtype.valueType))
         if isinstance(dtype, T.ArrayType) and not in_list:
             return F.transform(column, lambda item: self.value(item, dtype.elementType, in_list=True))
-        if isinstance(dtype, T.VariantType):
-            return self.variant(column)
-        return column  # other types, and lists inside lists, pass through
+        return column  # other types, lists inside lists and variants (redacted before) pass through
 
     def entry(self, key: Column, item: Column, dtype: T.DataType) -> Column:
         named = F.lower(key).isin(*FIELD_NAMES)
@@ -146,18 +144,6 @@ class _Rewrite:
         text = self.text(item) if isinstance(dtype, T.StringType) else item.cast("string")
         return F.when(named, F.lit(self.placeholder)).otherwise(text)
 
-    def variant(self, column: Column) -> Column:
-        """A value whose type differs by row: strings are redacted, objects and lists by their JSON text.
-
-        Named fields were masked before, by ``_names_masked``.
-        """
-        kind = F.schema_of_variant(column)
-        text = self.text(F.to_json(column))
-        return (F.when(kind == "STRING", self.text(F.variant_get(column, "$", "string")).cast("variant"))
-                 .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"),
-                       F.coalesce(F.try_parse_json(text), text.cast("variant")))
-                 .otherwise(column))
-
 
 def _has_variant(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StructType):
@@ -167,11 +153,15 @@ def _has_variant(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.VariantType) or isinstance(dtype, T.MapType) and _has_variant(dtype.valueType)
 
 
-def _names_masked(column: Column, dtype: T.DataType, placeholder: str) -> Column:
-    """A column that is or holds variants, the named fields within them masked; other columns as they are."""
+def _json_redacted(text: Column, placeholder: str) -> Column:
+    return redact_json_text(text, FIELD_NAMES, PATTERNS.values(), f"{_EMAIL_HINT}|{_NUMBER_HINT}", placeholder)
+
+
+def _variants_redacted(column: Column, dtype: T.DataType, placeholder: str) -> Column:
+    """A column that is or holds variants, redacted within as JSON of any shape; other columns as they are."""
     if not _has_variant(dtype):
         return column
-    text = mask_names(F.to_json(column), FIELD_NAMES, placeholder)
+    text = _json_redacted(F.to_json(column), placeholder)
     return F.try_parse_json(text) if isinstance(dtype, T.VariantType) else F.from_json(text, dtype)
 
 
@@ -184,29 +174,20 @@ def redact_record(df: DataFrame, columns: Sequence[str] | None = None, placehold
     wanted = set(df.columns if columns is None else columns)
     rewrite = _Rewrite(placeholder)
     return df.select(*[
-        (rewrite.field(_names_masked(F.col(f"`{f.name}`"), f.dataType, placeholder), f) if f.name in wanted else F.col(f"`{f.name}`")).alias(f.name)
+        (rewrite.field(_variants_redacted(F.col(f"`{f.name}`"), f.dataType, placeholder), f) if f.name in wanted else F.col(f"`{f.name}`")).alias(f.name)
         for f in df.schema.fields])
 
 
 def redact_json(df: DataFrame, column: str, placeholder: str = PLACEHOLDER) -> DataFrame:
-    """Redact a column of JSON texts, or of variants, of unknown shape.
+    """Redact a column of JSON texts, or of variants, of any shape, row by row.
 
-    One pass merges the shapes of all rows into a schema (a single string); the
-    rows are then read with that schema, rewritten like ``redact_record`` and
-    written back. Absent keys stay absent, null ones go; numbers keep their value,
-    not their spelling. Texts that are no objects are redacted as plain text.
+    Named fields become the placeholder at any depth, other texts are redacted; lists inside lists, keys and
+    numbers stay (numbers keep their value, not their spelling). Texts that are no JSON objects are redacted as
+    plain text too.
     """
     is_variant = isinstance(df.schema[column].dataType, T.VariantType)
-    # named fields go first, whatever the shape around them: lists, mixed types, objects of one row only
-    text = mask_names(F.to_json(column) if is_variant else F.col(column), FIELD_NAMES, placeholder)
-    parsed = F.try_parse_json(text)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    shape = df.select(F.schema_of_variant_agg(F.when(is_object, parsed))).first()[0]
-    plain = redact(text, placeholder=placeholder)
-    out = plain
-    if shape and shape.startswith("OBJECT<"):
-        ddl = shape.replace("OBJECT<", "STRUCT<")
-        dtype = T.StructType.fromDDL(f"v {ddl}").fields[0].dataType
-        rewritten = _Rewrite(placeholder, sparse=True).value(F.from_json(text, dtype), dtype)
-        out = F.when(is_object, F.to_json(rewritten)).otherwise(plain)
+    own = F.col(f"`{column}`")
+    text = _json_redacted(F.to_json(own) if is_variant else own, placeholder)
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    out = F.when(is_object, text).otherwise(redact(text, placeholder=placeholder))
     return df.withColumn(column, F.coalesce(F.try_parse_json(out), out.cast("variant")) if is_variant else out)

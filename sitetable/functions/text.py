@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +27,15 @@ def content_key(*columns: Column | str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
-def table_name(url: Column | str, default: str = "site_table") -> Column:
-    """Table name for a source URL: scheme dropped, other characters folded to ``_``, 64 at most."""
+def table_name(url: Column | str, default: str = "site_table", limit: int = 64) -> Column:
+    """Table name for a source URL: scheme dropped, other characters folded to ``_``, cut at ``limit``.
+
+    Long URLs may share a cut name; ``operators.sync.task_table`` keeps them apart.
+    """
     name = F.regexp_replace(_col(url), "https?://", "")
     name = F.regexp_replace(name, "[^a-zA-Z0-9_]", "_")
     name = F.btrim(F.regexp_replace(name, "_+", "_"), F.lit("_"))
-    return F.coalesce(F.nullif(clip(name, 64), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(clip(name, limit), F.lit("")), F.lit(default))
 
 
 def clip(text: Column | str, limit: int) -> Column:
@@ -42,15 +43,6 @@ def clip(text: Column | str, limit: int) -> Column:
     return F.substring(_col(text), 1, limit)
 
 
-def has_any(text: Column | str, keywords: Iterable[str]) -> Column:
-    """True if any keyword occurs in the lower-cased text."""
-    low = F.lower(_col(text))
-    hit = F.lit(False)
-    for word in keywords:
-        hit = hit | low.contains(word)
-    return hit
-
-
 def count_of(text: Column | str, part: str) -> Column:
     """Non-overlapping occurrences of ``part``."""
     text = _col(text)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitetable.functions import roles
-from sitetable.functions.html import DATA_TAGS, ELEMENT_TAGS, INTERACTIVE_TAGS, PARTS, parse_html
+from sitetable.functions.html import DATA_TAGS, ELEMENT_TAGS, INTERACTIVE_TAGS, PARTS, TEXT_LIMIT, parse_html
 from sitetable.functions.page_types import page_signals, page_type
 from sitetable.functions.text import content_hash, content_key
 from sitetable.operators.chunks import changes
@@ -17,9 +17,9 @@ SIGNAL_PARTS = ("title", "elements", "forms")
 
 
 def parse_pages(pages: DataFrame, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS,
-                html: str = "html") -> DataFrame:
+                html: str = "html", text_limit: int | None = TEXT_LIMIT, max_depth: int | None = None) -> DataFrame:
     """Add ``parsed``; every table below is a projection of it. Write it out when several jobs follow."""
-    return pages.withColumn("parsed", parse_html(F.col(html), parts, tags))
+    return pages.withColumn("parsed", parse_html(F.col(html), parts, tags, text_limit, max_depth))
 
 
 def titles(pages: DataFrame, key: str = "id") -> DataFrame:
@@ -51,14 +51,14 @@ def _aria(attributes: Column) -> Column:
 
 
 def elements_table(pages: DataFrame, key: str = "id", tags: Sequence[str] | None = None,
-                   parsed: Column | None = None) -> DataFrame:
+                   parsed: Column | None = None, text_limit: int | None = TEXT_LIMIT) -> DataFrame:
     """One row per element of the wanted tags, in document order (``doc_pos``), with role and confidence.
 
     Pages that already carry a ``parsed`` column are not parsed again when ``parsed`` names it.
     """
     wanted = tuple(tags) if tags else ELEMENT_TAGS
     if parsed is None:
-        pages = parse_pages(pages.select(key, "html"), ("elements",), wanted)
+        pages = parse_pages(pages.select(key, "html"), ("elements",), wanted, text_limit=text_limit)
         parsed = F.col("parsed")
     rows = pages.select(F.col(key).alias("page_id"), F.explode(parsed.getField("elements")).alias("e"))
     role = roles.known_role(roles.infer_role(F.col("e.tag"), F.col("e.attributes")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,14 +22,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where it is unset and local."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; on a local master without one, a folder of the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="sitetable-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sitetable"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -40,6 +39,28 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it lies."""
+    system, target = _hadoop(spark, path)
+    system.delete(target, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    system, target = _hadoop(spark, path)
+    system.create(target, True).close()
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, in order."""
+    system, target = _hadoop(spark, pattern)
+    return sorted(status.getPath().toString() for status in system.globStatus(target) or ())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: rows are written once to the shared folder and read from there."""
     spark = df.sparkSession

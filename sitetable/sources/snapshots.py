@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetable.functions.pii import redact
+from sitetable.functions.pii import redact_record
 from sitetable.functions.text import content_hash, content_key
 from sitetable.schemas import conform
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A plain scan over fewer splits than there are cores, dealt out to all of them; larger scans as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+# what a page says; its keys, times and url are not texts of the page
+PAGE_TEXTS = ("title", "html", "rendered_dom", "accessibility_tree", "har", "bounding_boxes", "meta")
 
 
 def to_pages(df: DataFrame, redacted: bool = False) -> DataFrame:
-    """Snapshots as rows of ``pages``; the content hash is that of the raw html, also when it is redacted."""
+    """Snapshots as rows of ``pages``; the content hash is that of the raw html, also when it is redacted.
+
+    ``redacted`` covers every column that holds texts of the page (``PAGE_TEXTS``).
+    """
     rows = df
     if "content_hash" not in rows.columns:
         rows = rows.withColumn("content_hash", content_hash("html"))
@@ -26,16 +26,13 @@ def to_pages(df: DataFrame, redacted: bool = False) -> DataFrame:
         rows = rows.withColumn("id", content_key("url", "content_hash", *when))
     if "created_at" not in rows.columns and "collected_at" in rows.columns:
         rows = rows.withColumn("created_at", F.col("collected_at")).withColumn("updated_at", F.col("collected_at"))
-    if redacted:
-        for column in ("html", "rendered_dom"):
-            if column in rows.columns:
-                rows = rows.withColumn(column, redact(column))
-    return conform(rows, "pages")
+    pages = conform(rows, "pages")
+    return redact_record(pages, PAGE_TEXTS) if redacted else pages
 
 
 def read_pages(spark: SparkSession, path: str, redacted: bool = False) -> DataFrame:
     """Pages from a folder of Parquet snapshots."""
-    return to_pages(spread(spark.read.parquet(path)), redacted)
+    return to_pages(spark.read.parquet(path), redacted)
 
 
 def requests(pages: DataFrame, key: str = "id") -> DataFrame:
@@ -72,5 +69,3 @@ def boxed_elements(elements: DataFrame, page_boxes: DataFrame) -> DataFrame:
     if "bounding_box" in marked.columns:
         marked = marked.drop("bounding_box")
     return marked.join(first, ["page_id", "_mark"], "left").drop("_mark")
-
-

@@ -4,6 +4,8 @@ A target keeps one folder (or database table) per table name. Appends align
 columns by name; columns that are new to the table are added at its end. Every
 append has its own subfolder, named by the caller's ``part`` if there is one: an
 append that is run again under the same name replaces itself instead of doubling.
+An upsert writes a new version beside the table and switches to it once it is whole,
+so readers never see a gap; one writer at a time may upsert a table.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitetable.functions.text import as_text
 from sitetable.operators.tables import upsert
-from sitetable.session import read_or_none, scratch_dir
+from sitetable.session import matching, read_or_none, remove, touch
 
 
 def all_text(df: DataFrame) -> DataFrame:
@@ -29,6 +32,36 @@ def append_union(existing: DataFrame, rows: DataFrame) -> DataFrame:
     return existing.unionByName(rows, allowMissingColumns=True)
 
 
+_WIDER = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DoubleType())
+
+
+def _fits(given: T.DataType, stored: T.DataType) -> bool:
+    """May a value of one type be stored as the other without loss?"""
+    if given == stored or isinstance(given, T.NullType):
+        return True
+    if isinstance(stored, T.StringType):
+        return isinstance(given, T.AtomicType)
+    if isinstance(given, T.LongType) or given not in _WIDER:
+        return isinstance(given, T.FloatType) and isinstance(stored, T.DoubleType)
+    return stored in _WIDER[_WIDER.index(given):]
+
+
+def aligned(rows: DataFrame, stored: T.StructType) -> DataFrame:
+    """Rows in the types of the stored columns; a column that would lose something is refused."""
+    known = {f.name: f.dataType for f in stored.fields}
+    bad = [f"{f.name}: {f.dataType.simpleString()} into {known[f.name].simpleString()}" for f in rows.schema.fields
+           if f.name in known and not _same(f.dataType, known[f.name]) and not _fits(f.dataType, known[f.name])]
+    if bad:
+        raise ValueError("column types do not fit the table: " + "; ".join(bad))
+    return rows.select(*[(F.col(f"`{f.name}`").cast(known[f.name]) if f.name in known and not _same(f.dataType, known[f.name])
+                          else F.col(f"`{f.name}`")).alias(f.name) for f in rows.schema.fields])
+
+
+def _same(one: T.DataType, other: T.DataType) -> bool:
+    """Equal types, whatever they say about nulls."""
+    return one.simpleString() == other.simpleString()
+
+
 def _counted(df: DataFrame, rows: Observation | None) -> DataFrame:
     return df if rows is None else df.observe(rows, F.count(F.lit(1)).alias("rows"))
 
@@ -39,8 +72,14 @@ class FolderTarget:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _versions(self, table: str) -> list[str]:
+        """The whole versions of an upserted table, oldest first; one without its mark was never finished."""
+        marks = matching(self.spark, f"{self.path}/{table}.versions/v=*/_READY")
+        return [mark.rsplit("/", 1)[0] for mark in marks]
+
     def folder(self, table: str) -> str:
-        return f"{self.path}/{table}"
+        versions = self._versions(table)
+        return versions[-1] if versions else f"{self.path}/{table}"
 
     def prepare(self, df: DataFrame) -> DataFrame:
         return df
@@ -48,10 +87,7 @@ class FolderTarget:
     def _read(self, folder: str) -> DataFrame:
         raise NotImplementedError
 
-    def _append(self, df: DataFrame, folder: str, part: str, rows: Observation) -> None:
-        raise NotImplementedError
-
-    def _replace(self, df: DataFrame, folder: str) -> None:
+    def _append(self, df: DataFrame, folder: str, part: str, rows: Observation | None) -> None:
         raise NotImplementedError
 
     def read(self, table: str, limit: int | None = None) -> DataFrame | None:
@@ -60,26 +96,36 @@ class FolderTarget:
         return found if found is None or limit is None else found.limit(limit)
 
     def append(self, df: DataFrame, table: str, part: str | None = None) -> int:
-        """Append rows; returns their number, counted while they are written."""
-        rows = Observation()
-        self._append(self.prepare(df), self.folder(table), part or uuid.uuid4().hex, rows)
+        """Append rows; returns their number, counted while they are written.
+
+        Values go into the stored column types; ones that do not fit are refused before anything is written.
+        """
+        given, existing, rows = self.prepare(df), self.read(table), Observation()
+        given = given if existing is None else aligned(given, existing.schema)
+        self._append(given, self.folder(table), part or uuid.uuid4().hex, rows)
         return rows.get["rows"]
 
     def upsert(self, df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str] = ()) -> int:
         """Insert or replace by key; returns the number of rows given.
 
-        The new table is written aside first: a folder is never read and replaced at once.
+        The new version is written beside the old one, which stays for those who still read it until the next
+        upsert. A crash leaves the old version in force.
         """
         rows, existing = self.prepare(df), self.read(table)
         if existing is None:
             existing = rows.limit(0)
+        rows = aligned(rows, existing.schema)
         missing = [f for f in rows.schema.fields if f.name not in existing.columns]
         existing = existing.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
         given = Observation()
         merged = upsert(existing, _counted(rows, given), keys, [c for c in rows.columns if c not in keys], order)
-        aside = scratch_dir(self.spark, f"upsert-{table}")
-        merged.write.parquet(aside)
-        self._replace(self.spark.read.parquet(aside), self.folder(table))
+        old = self._versions(table)
+        number = 1 + (int(old[-1].rsplit("=", 1)[1]) if old else 0)
+        new = f"{self.path}/{table}.versions/v={number:08d}"
+        self._append(merged, new, "merged", None)
+        touch(self.spark, f"{new}/_READY")
+        for gone in old[:-1] + ([f"{self.path}/{table}"] if old else []):
+            remove(self.spark, gone)
         return given.get["rows"]
 
     def last_cursor(self, table: str, column: str = "updated_at") -> str | None:
@@ -97,9 +143,6 @@ class ParquetTarget(FolderTarget):
     def _append(self, df, folder, part, rows):
         _counted(df, rows).write.mode("overwrite").parquet(f"{folder}/part={part}")
 
-    def _replace(self, df, folder):
-        df.write.mode("overwrite").parquet(folder)
-
 
 class TextTarget(ParquetTarget):
     """Every column is text, nested values are JSON; new columns appear on append."""
@@ -109,7 +152,11 @@ class TextTarget(ParquetTarget):
 
 
 class CsvTarget(FolderTarget):
-    """CSV files are read by position, so the column order is kept beside them, in ``_columns``."""
+    """CSV files are read by position, so every append keeps its own column list, in ``_columns/part=…``.
+
+    The list is written after the rows: an append counts once it is there. Files from elsewhere, beside the
+    appended parts, are read by their header.
+    """
 
     _OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
                 "recursiveFileLookup": True}
@@ -117,41 +164,39 @@ class CsvTarget(FolderTarget):
     def prepare(self, df):
         return all_text(df)
 
-    def _kept(self, folder: str) -> list[str]:
-        kept = read_or_none(lambda: self.spark.read.schema("n int, name string").json(f"{folder}/_columns"))
-        places = {} if kept is None else {r["n"]: r["name"] for r in kept.collect()}  # one row per column
-        return [places[n] for n in sorted(places)]
+    def _lists(self, folder: str) -> dict[tuple[str, ...], list[str]]:
+        """Column lists, shortest first, with the parts that were written by them (one row per append)."""
+        kept = read_or_none(lambda: self.spark.read.schema("columns array<string>, part string").json(f"{folder}/_columns"))
+        lists: dict[tuple[str, ...], list[str]] = {}
+        for row in [] if kept is None else kept.collect():
+            lists.setdefault(tuple(row["columns"]), []).append(row["part"])
+        return dict(sorted(lists.items(), key=lambda x: (len(x[0]), x[0])))
 
-    def _header(self, folder: str) -> list[str]:
-        """Columns of files from elsewhere, by their header."""
-        plain = read_or_none(lambda: self.spark.read.options(**self._OPTIONS).csv(folder))
-        return [] if plain is None else plain.columns
+    def _foreign(self, folder: str, lists: dict) -> DataFrame | None:
+        reader = self.spark.read.options(**self._OPTIONS, multiLine=True)
+        return read_or_none(lambda: reader.csv(f"{folder}/*.csv" if lists else folder))
 
     def _read(self, folder):
-        columns = self._kept(folder)
-        if not columns:
+        lists = self._lists(folder)
+        if not lists:
             return self.spark.read.options(**self._OPTIONS, multiLine=True).csv(folder)
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        return self.spark.read.schema(schema).options(**self._OPTIONS, multiLine=True).csv(folder)
+        out = self._foreign(folder, lists)
+        for columns, parts in lists.items():
+            schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in columns)
+            rows = self.spark.read.schema(schema).options(**self._OPTIONS, multiLine=True).csv(
+                [f"{folder}/part={part}" for part in sorted(parts)])
+            out = rows if out is None else append_union(out, rows)
+        return out
 
     def _append(self, df, folder, part, rows):
-        kept = self._kept(folder)
-        known = kept or self._header(folder)
+        existing = read_or_none(lambda: self._read(folder))
+        known = [] if existing is None else existing.columns
         columns = known + [c for c in df.columns if c not in known]
-        # the list goes first: a reader that knows more columns than the files have sees nulls
-        self._keep(folder, [(n, c) for n, c in enumerate(columns) if c not in kept])
-        aligned = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c)
+        ordered = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c)
                               for c in columns])
-        _counted(aligned, rows).write.mode("overwrite").options(**self._OPTIONS).csv(f"{folder}/part={part}")
-
-    def _replace(self, df, folder):
-        df.write.mode("overwrite").options(**self._OPTIONS).csv(folder)
-        self._keep(folder, list(enumerate(df.columns)))
-
-    def _keep(self, folder: str, columns: list[tuple[int, str]]) -> None:
-        if columns:
-            listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("name")) for n, c in columns])
-            self.spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("append").json(f"{folder}/_columns")
+        _counted(ordered, rows).write.mode("overwrite").options(**self._OPTIONS).csv(f"{folder}/part={part}")
+        listed = F.array(*[F.lit(c) for c in columns]).alias("columns")
+        self.spark.range(0, 1, 1, 1).select(listed).write.mode("overwrite").json(f"{folder}/_columns/part={part}")
 
 
 class JdbcTarget:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sitetable.functions.pii import redact
+from sitetable.functions.pii import redact_record
 from sitetable.functions.text import content_hash, content_key
 from sitetable.operators.pages import classify_parsed, elements_table, parse_pages
 from sitetable.operators.sync import map_fields
 from sitetable.schemas import conform
+from sitetable.session import read_or_none, remove
 from sitetable.sources.audit import LOG_LINE
+from sitetable.sources.snapshots import PAGE_TEXTS
 from sitetable.sources.targets import open_target
 
 
@@ -48,39 +50,49 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("n_events", "batch").alias("n_events"))
 
 
-def fresh_snapshots(pages: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Snapshots with their content hash, those sent again dropped.
+def fresh_snapshots(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Snapshots with content hash, id and day; those sent again, here or in ``stored`` (id, day), are dropped.
 
-    A page that changes and changes back is a new snapshot each time, since the
-    time of collection is part of the key.
+    The id covers url, content and time of collection, so a page that changes and changes back is a new snapshot
+    each time, and however late a snapshot comes it is kept. Of ``stored`` only the days at hand are read.
     """
     keyed = pages.withColumn("content_hash", content_hash("html"))
-    if pages.isStreaming:
-        return keyed.withWatermark("collected_at", lateness) \
-                    .dropDuplicatesWithinWatermark(["url", "content_hash", "collected_at"])
-    return keyed.dropDuplicates(["url", "content_hash", "collected_at"])
+    keyed = keyed.withColumn("id", content_key("url", "content_hash", "collected_at")) \
+                 .withColumn("day", F.coalesce(F.date_format("collected_at", "yyyy-MM-dd"), F.lit("none"))) \
+                 .dropDuplicates(["id"])
+    if stored is None:
+        return keyed
+    days = [r[0] for r in keyed.select("day").distinct().collect()]  # one row per day of collection
+    return keyed.join(stored.filter(F.col("day").isin(*days)).select("id"), "id", "left_anti") if days else keyed
 
 
 def understand(snapshots: DataFrame, redacted: bool = True) -> DataFrame:
-    """Redact, parse and classify: stateless, one Python stage. Keeps ``parsed`` for the elements."""
-    rows = snapshots.withColumn("html", redact("html")) if redacted else snapshots
-    rows = rows.withColumn("id", content_key("url", "content_hash", "collected_at"))
+    """Redact, parse and classify: stateless, one parse per page. Keeps ``parsed`` for the elements."""
+    columns = [c for c in PAGE_TEXTS if c in snapshots.columns]
+    rows = redact_record(snapshots, columns) if redacted else snapshots
     return classify_parsed(parse_pages(rows, ("title", "elements", "forms")))
 
 
 def write_pages(snapshots: DataFrame, pages_path: str, elements_path: str, checkpoint: str,
                 redacted: bool = True) -> StreamingQuery:
-    """Stream of snapshots -> ``pages`` and ``elements`` folders; a repeated batch replaces its own folder."""
+    """Stream of snapshots -> ``pages`` (batch=…/day=…) and ``elements`` (batch=…) folders.
+
+    Snapshots that other batches have stored are left out by their id, in the sink: there is no state that grows and
+    no lateness after which a snapshot is lost. A batch that runs again replaces its own folders.
+    """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        known = read_or_none(lambda: spark.read.schema("id string, batch long, day string").parquet(pages_path))
+        known = None if known is None else known.filter(F.col("batch") != batch_id)
         staged = f"{pages_path}-parsed/batch={batch_id}"
-        understand(batch, redacted).write.mode("overwrite").parquet(staged)
+        understand(fresh_snapshots(batch, known), redacted).write.mode("overwrite").parquet(staged)
         parsed = spark.read.parquet(staged)
-        conform(parsed, "pages").drop("meta", "accessibility_tree") \
-            .write.mode("overwrite").parquet(f"{pages_path}/batch={batch_id}")
+        conform(parsed, "pages").withColumn("day", F.coalesce(F.date_format("collected_at", "yyyy-MM-dd"), F.lit("none"))) \
+            .write.mode("overwrite").partitionBy("day").parquet(f"{pages_path}/batch={batch_id}")
         elements_table(parsed, parsed=F.col("parsed")) \
             .write.mode("overwrite").parquet(f"{elements_path}/batch={batch_id}")
-    return (fresh_snapshots(snapshots).writeStream.option("checkpointLocation", checkpoint)
+        remove(spark, staged)
+    return (snapshots.writeStream.option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(save).start())
 
 

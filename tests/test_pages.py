@@ -118,15 +118,35 @@ def test_marked_sections_are_skipped():
 def test_broken_pages_take_linear_time():
     import time
     start = time.time()
-    for piece in ("<!--", "<a ", "<a b='", '<a b="', "<p a", "<![", "<?", "</", "<", "&", "<b></i>", "<script>", "<td><table>"):
-        parse_page(piece * 5000 + ">")
-        parse_page(piece * 5000)
+    for piece in ("<!--", "<a ", "<a b='", '<a b="', "<p a", "<![", "<?", "</", "<", "&", "<b></i>", "<script>", "<b><div><i></b>"):
+        parse_page(piece * 5000 + ">", ("title", "text", "links", "forms", "tables"))
+        parse_page(piece * 5000, ("title", "text", "links", "forms", "tables"))
+    # paths in the output are as long as the nesting is deep: bounded on request
+    assert parse_page("<td><table>" * 5000, max_depth=512)["tables"]
     assert time.time() - start < 20
 
 
 def test_deep_pages_keep_all_elements():
-    page = parse_page("<div>" * 2000 + "<a href=x>y</a>", ("elements", "links"))
-    assert page["links"] == [{"href": "x", "text": "y"}] and page["elements"][0]["selector"].count(">") < 512
+    source = "<div>" * 2000 + "<a href=x>y</a>"
+    page = parse_page(source, ("elements", "links", "cut"))
+    assert page["links"] == [{"href": "x", "text": "y"}] and not page["cut"]
+    assert page["elements"][0]["selector"] == " > ".join(["div"] * 2000 + ["a"])
+    bounded = parse_page(source, ("elements", "links", "cut"), max_depth=512)
+    assert bounded["links"] == page["links"] and bounded["cut"]
+    assert bounded["elements"][0]["selector"].count(">") < 512
+
+
+def test_end_tags_stop_at_higher_ranks():
+    page = parse_page("<b>one<div>two</b>three</div>four</b>five", ("text", "links"))
+    assert page["text"] == "one twothree four five"
+    page = parse_page("<table><tr><td><b>x</table></b><a href=u>y</a>", ("elements",), ("a",))
+    assert page["elements"][0]["selector"] == "a"
+
+
+def test_text_limit_is_an_argument():
+    source = "<a href=x>" + "y" * 1000 + "</a>"
+    for limit, size in ((300, 300), (10, 10), (None, 1000)):
+        assert len(parse_page(source, ("elements",), text_limit=limit)["elements"][0]["text"]) == size
 
 
 def test_quotes_only_delimit_values():
@@ -172,7 +192,7 @@ def test_table_rows(pages_of):
     rows = P.table_rows(pages_of(LISTING, "<table><tr><th>A<th>A<tr><td>1<td>2<td>3</table>")).collect()
     by_page = {(r["page_id"], r["row_pos"]): r["fields"] for r in rows}
     assert by_page[("0", 0)] == {"Part": "bolt", "Count": "7"}
-    assert by_page[("1", 0)] == {"A": "1", "c2": "3"}
+    assert by_page[("1", 0)] == {"A": "1", "A_2": "2", "c2": "3"}
 
 
 def test_roles_and_confidence(pages_of):

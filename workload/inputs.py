@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetable.schemas import conform
-from sitetable.sources.snapshots import spread
 
 START = "2024-01-01 00:00:00"
 
@@ -28,14 +27,14 @@ def later(seconds: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 # -- pages as they were collected -------------------------------------------
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     """``pages`` with id, site_id (the origin) and collected_at."""
-    return spread(table(spark, sf, "pages")).select(
+    return table(spark, sf, "pages").select(
         text("page_id").alias("id"), F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("site_id"), "url", "html",
         later(F.col("page_id")).alias("collected_at"))
 
@@ -48,7 +47,7 @@ SITE_PAGES_SQL = f"""site_pages AS (
 
 def page_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Three snapshots of every page, a day apart, with a revision comment that changes or not."""
-    rows = spread(table(spark, sf, "pages")).withColumn("v", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    rows = table(spark, sf, "pages").withColumn("v", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     return rows.select(
         F.concat_ws("-", "page_id", "v").alias("id"), "url", F.col("v").alias("version"),
         F.concat(F.col("html"), F.lit("<!-- "), (F.col("page_id") % F.col("v")).cast("string"), F.lit(" -->"))
@@ -86,7 +85,7 @@ def account_pages(spark: SparkSession, sf: str) -> DataFrame:
         "<table><tr><th>key</th><th>name</th><th>segment</th></tr><tr><td>", key, "</td><td>", F.col("c_name"),
         "</td><td>", F.col("c_mktsegment"), "</td></tr><tr><td>nation</td><td>", text("c_nationkey"),
         "</td><td></td></tr></table></body></html>"]
-    return spread(table(spark, sf, "customer")).select(
+    return table(spark, sf, "customer").select(
         key.alias("id"), F.concat(F.lit("site-"), text("c_nationkey")).alias("site_id"),
         F.concat(F.lit("https://shop.example/account/"), key).alias("url"),
         F.concat(*[F.lit(p) if isinstance(p, str) else p for p in html]).alias("html"))
