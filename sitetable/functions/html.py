@@ -39,7 +39,7 @@ DATA_TAGS = ("table", "tr", "td", "th")
 ELEMENT_TAGS = INTERACTIVE_TAGS + DATA_TAGS
 TEXT_LIMIT = 300
 
-PARTS = ("title", "text", "elements", "links", "forms", "tables")  # and "cut", where max_depth is given
+PARTS = ("title", "text", "elements", "links", "forms", "tables")  # besides: "signals" for page types, "cut" where max_depth is given
 
 _DDL = {
     "title": "string",
@@ -50,6 +50,7 @@ _DDL = {
     "forms": "array<struct<action:string,method:string,inputs:array<struct<"
              "tag:string,name:string,type:string,placeholder:string,required:boolean>>>>",
     "tables": "array<struct<header:array<string>,rows:array<array<string>>>>",
+    "signals": "struct<inputs:int,submit:boolean,form_inputs:array<string>>",
     "cut": "boolean",
 }
 _ARROW = {
@@ -66,6 +67,7 @@ _ARROW = {
             ("placeholder", pa.string()), ("required", pa.bool_())])))])),
     "tables": pa.list_(pa.struct([
         ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])),
+    "signals": pa.struct([("inputs", pa.int32()), ("submit", pa.bool_()), ("form_inputs", pa.list_(pa.string()))]),
     "cut": pa.bool_(),
 }
 
@@ -301,6 +303,16 @@ def _forms(page: _Page) -> list[dict]:
             for form in page.nodes if form.tag == "form"]
 
 
+def _signals(page: _Page) -> dict:
+    """What page types are told by: inputs, a submit button, the types of inputs in forms."""
+    fields = ("input", "select", "textarea")
+    kinds = {n.attrs["type"] for form in page.nodes if form.tag == "form"
+             for n in page.nodes[form.pos + 1:form.end] if n.tag in fields and "type" in n.attrs}
+    return {"inputs": sum(n.tag == "input" for n in page.nodes),
+            "submit": any(n.tag == "button" or n.tag in INTERACTIVE_TAGS and n.attrs.get("type") == "submit" for n in page.nodes),
+            "form_inputs": sorted(kinds)}
+
+
 def _tables(page: _Page) -> list[dict]:
     rows: dict[int, list[_Node]] = {n.pos: [] for n in page.nodes if n.tag == "table"}
     cells: dict[int, list[_Node]] = {}
@@ -345,6 +357,8 @@ def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = EL
             record[part] = _forms(page)
         elif part == "tables":
             record[part] = _tables(page)
+        elif part == "signals":
+            record[part] = _signals(page)
         elif part == "cut":
             record[part] = page.cut
     return record

@@ -11,7 +11,6 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitetable.functions.html import INTERACTIVE_TAGS
 
 # Signal, page type, weight. Ties go to the type named first.
 SIGNAL_RULES: tuple[tuple[str, str, float], ...] = (
@@ -44,9 +43,9 @@ def _any(text: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{word}')" for word in words) + ")"
 
 
-def page_signals(html: str = "html", title: str = "title", url: str = "url", forms: str = "parsed.forms",
-                 elements: str = "parsed.elements", strict: bool = False) -> Column:
-    """Struct of the 12 signals.
+def page_signals(html: str = "html", title: str = "title", url: str = "url", facts: str = "parsed.signals",
+                 strict: bool = False) -> Column:
+    """Struct of the 12 signals; ``facts`` is the parsed part ``signals``.
 
     ``strict`` repairs two loose tests: any quoted link counting as a download
     and ``<link`` counting as a list item.
@@ -58,10 +57,9 @@ def page_signals(html: str = "html", title: str = "title", url: str = "url", for
         return f"(length({low}) - length(replace({low}, '{part}', ''))) div {len(part)}"
 
     def form_input(kind: str) -> str:
-        return f"exists({forms}, form -> exists(form.inputs, field -> coalesce(field.type = '{kind}', false)))"
+        return f"array_contains({facts}.form_inputs, '{kind}')"
 
     items = f"({count('<li')}) - ({count('<link')})" if strict else count("<li")
-    interactive = ", ".join(f"'{tag}'" for tag in INTERACTIVE_TAGS)
     tests = {
         "has_password_field": form_input("password"),
         "has_login_keyword": _any(named, LOGIN_WORDS),
@@ -69,9 +67,8 @@ def page_signals(html: str = "html", title: str = "title", url: str = "url", for
         "has_table": f"contains({low}, '<table')",
         "has_list_items": f"{items} > 5",
         "has_pagination": _any(low, PAGINATION_WORDS),
-        "has_many_inputs": f"size(filter({elements}, e -> e.tag = 'input')) >= 4",
-        "has_submit_button": f"exists({elements}, e -> e.tag IN ({interactive}) AND "
-                             "(e.tag = 'button' OR coalesce(e.attributes['type'] = 'submit', false)))",
+        "has_many_inputs": f"{facts}.inputs >= 4",
+        "has_submit_button": f"{facts}.submit",
         "has_charts": _any(low, CHART_WORDS),
         "has_dashboard_keyword": _any(named, DASHBOARD_WORDS),
         "has_download_link": _any(low, DOWNLOAD_WORDS[1:] if strict else DOWNLOAD_WORDS),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitetable.functions.text import in_share
 from sitetable.operators.chunks import running_total
+from sitetable.session import checkpointed
 from sitetable.sources.targets import all_text
 
 
@@ -82,9 +83,12 @@ def held_out_success(trajectories: DataFrame, pages: DataFrame, fraction: float
                    .withColumn("success_rate", F.col("n_success") / F.col("n_tasks"))
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Average rank of each distinct value over all rows: equal values share the mean of their places."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+def average_ranks(df: DataFrame, value: str, times: str | None = None) -> DataFrame:
+    """Average rank of each distinct value over all rows: equal values share the mean of their places.
+
+    ``times`` names a column that says how many rows a row stands for.
+    """
+    counts = df.groupBy(value).agg((F.count("*") if times is None else F.sum(times)).alias("_n"))
     placed = running_total(counts, [value], "_n", "_upto")
     return placed.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"))
 
@@ -95,10 +99,10 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Works on counted (x, y) pairs, so repeated values cost one row; ranks come
     from range slices, never from one ordered partition.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_c"))
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = (pairs.join(average_ranks(rows, x).withColumnRenamed("rank", "_rx"), x)
-                   .join(average_ranks(rows, y).withColumnRenamed("rank", "_ry"), y))
+    # written once: both rankings and the sums read the counted pairs, the source is read once
+    pairs = checkpointed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_c")))
+    ranked = (pairs.join(average_ranks(pairs, x, "_c").withColumnRenamed("rank", "_rx"), x)
+                   .join(average_ranks(pairs, y, "_c").withColumnRenamed("rank", "_ry"), y))
     n = F.sum("_c")
     sx, sy = F.sum(F.col("_c") * F.col("_rx")), F.sum(F.col("_c") * F.col("_ry"))
     sums = ranked.agg(

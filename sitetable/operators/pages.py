@@ -13,7 +13,7 @@ from sitetable.functions.page_types import page_signals, page_type
 from sitetable.functions.text import content_hash, content_key
 from sitetable.operators.chunks import changes
 
-SIGNAL_PARTS = ("title", "elements", "forms")
+SIGNAL_PARTS = ("title", "signals")
 
 
 def parse_pages(pages: DataFrame, parts: Iterable[str] = PARTS, tags: Iterable[str] = ELEMENT_TAGS,
@@ -142,7 +142,7 @@ def classify_pages(pages: DataFrame, strict: bool = False,
 
     A stored title is kept; the parsed one fills in where it is null or absent.
     """
-    return classify_parsed(parse_pages(pages, SIGNAL_PARTS, INTERACTIVE_TAGS), strict, score_cols).drop("parsed")
+    return classify_parsed(parse_pages(pages, SIGNAL_PARTS), strict, score_cols).drop("parsed")
 
 
 def classify_parsed(parsed: DataFrame, strict: bool = False,

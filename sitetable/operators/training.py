@@ -133,6 +133,7 @@ def step_examples(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("id").alias("trajectory_id"), "page_id", "goal")
     rows = steps.join(good, "trajectory_id")
     return create_records(rows.select(
+        content_key(F.lit("sft"), "trajectory_id", "step_index", "executed_at").alias("id"),
         "trajectory_id", F.lit("sft").alias("data_type"),
         _payload("page_id", "goal", "step_index").alias("input_payload"),
         _payload("action_type", "selector", "value").alias("output_payload"), F.col("executed_at").alias("created_at")))
@@ -143,6 +144,7 @@ def reward_examples(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
     rates = success_rates(steps, trajectories).select(F.col("trajectory_id").alias("id"), "success_rate")
     rows = trajectories.join(rates, "id")
     return create_records(rows.select(
+        content_key(F.lit("reward"), "id", "finished_at").alias("id"),
         F.col("id").alias("trajectory_id"), F.lit("reward").alias("data_type"),
         _payload("page_id", "goal").alias("input_payload"), _payload("status").alias("output_payload"),
         F.col("success_rate").alias("reward"), F.col("finished_at").alias("created_at")))
@@ -156,6 +158,7 @@ def failure_examples(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
     rows = trajectories.filter(F.col("status") == "failed").withColumnRenamed("id", "trajectory_id") \
                        .join(first, "trajectory_id", "left")
     return create_records(rows.select(
+        content_key(F.lit("failure"), "trajectory_id", "finished_at").alias("id"),
         "trajectory_id", F.lit("failure").alias("data_type"),
         _payload("trajectory_id", "page_id", "goal").alias("input_payload"),
         _payload("failed_step").alias("output_payload"), F.col("finished_at").alias("created_at")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitetable.functions.html import INTERACTIVE_TAGS
 from sitetable.functions.page_types import page_signals, page_type
-from sitetable.operators.pages import SIGNAL_PARTS, parse_pages, with_roles
+from sitetable.operators.pages import parse_pages, with_roles
 
 # Keyword lists by priority, and waits in milliseconds.
 USER_WORDS = ("email", "user", "username", "account", "login")
@@ -32,7 +32,7 @@ STEP_TYPE = ("struct<action_type:string,selector:string,value:string,description
 
 def page_elements(pages: DataFrame) -> DataFrame:
     """Pages with ``elements`` (interactive, with roles) and ``page_type``: the input of the plans."""
-    parsed = parse_pages(pages, SIGNAL_PARTS, INTERACTIVE_TAGS)
+    parsed = parse_pages(pages, ("title", "elements", "signals"), INTERACTIVE_TAGS)
     return (parsed.withColumns({"_signals": page_signals(title="parsed.title"),
                                 "elements": with_roles(F.col("parsed.elements"))})
                   .withColumn("page_type", page_type("_signals").getField("page_type"))

@@ -70,7 +70,7 @@ def understand(snapshots: DataFrame, redacted: bool = True) -> DataFrame:
     """Redact, parse and classify: stateless, one parse per page. Keeps ``parsed`` for the elements."""
     columns = [c for c in PAGE_TEXTS if c in snapshots.columns]
     rows = redact_record(snapshots, columns) if redacted else snapshots
-    return classify_parsed(parse_pages(rows, ("title", "elements", "forms")))
+    return classify_parsed(parse_pages(rows, ("title", "elements", "signals")))
 
 
 def write_pages(snapshots: DataFrame, pages_path: str, elements_path: str, checkpoint: str,
