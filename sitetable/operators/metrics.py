@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from sitetable.functions.text import in_share
 from sitetable.operators.chunks import running_total
@@ -144,9 +145,7 @@ def fidelity(source: DataFrame, target: DataFrame, columns: Sequence[str] | None
                .withColumn("fidelity", F.col("n_matched") / F.nullif(F.col("n_source"), F.lit(0)))
 
 
-def most_similar(vectors: DataFrame, query: Sequence[float], k: int = 10, column: str = "embedding",
-                 key: str = "id") -> DataFrame:
-    """The k vectors closest to ``query`` by cosine; a top-k over one scored scan."""
+def _cosine(column: str, query: Sequence[float]) -> Column:
     q = F.array(*[F.lit(float(v)) for v in query])
     v = F.transform(F.col(column), lambda a: a.cast("double"))
 
@@ -154,5 +153,24 @@ def most_similar(vectors: DataFrame, query: Sequence[float], k: int = 10, column
         return F.aggregate(F.zip_with(a, b, lambda p, r: p * r), F.lit(0.0), lambda s, p: s + p)
 
     norms = F.sqrt(dot(v, v)) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5)
-    scored = vectors.withColumn("similarity", dot(v, q) / F.nullif(norms, F.lit(0.0)))
-    return scored.orderBy(F.desc("similarity"), key).limit(k)
+    return dot(v, q) / F.nullif(norms, F.lit(0.0))
+
+
+def most_similar(vectors: DataFrame, query: Sequence[float], k: int = 10, column: str = "embedding",
+                 key: str = "id") -> DataFrame:
+    """The k vectors closest to ``query`` by cosine; a top-k over one scored scan."""
+    return vectors.withColumn("similarity", _cosine(column, query)).orderBy(F.desc("similarity"), key).limit(k)
+
+
+def most_similar_each(vectors: DataFrame, queries: Mapping[object, Sequence[float]], k: int = 10,
+                      column: str = "embedding", key: str = "id") -> DataFrame:
+    """The k closest vectors for each of a small batch of queries (name -> vector), ranked from 1.
+
+    The batch goes into the plan as literals, so it should stay below some dozens; every vector is scored against
+    all of them in its own row, and each task passes on only its k best per query.
+    """
+    scores = F.array(*[F.struct(F.lit(name).alias("query"), _cosine(column, q).alias("similarity"))
+                       for name, q in queries.items()])
+    rows = vectors.select(key, F.inline(scores))
+    best = W.Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitetable.functions.html import INTERACTIVE_TAGS
 from sitetable.functions.page_types import page_signals, page_type
+from sitetable.functions.text import content_key
 from sitetable.operators.pages import parse_pages, with_roles
 
 # Keyword lists by priority, and waits in milliseconds.
@@ -153,5 +154,10 @@ def action_json(steps: DataFrame) -> DataFrame:
     return steps.withColumn("action", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
 
 
+def replayable(plans: DataFrame) -> DataFrame:
+    """Plan steps with the ``id`` by which ``operators.steps.replay`` reports on them."""
+    return plans.withColumn("id", content_key("page_id", "goal", "step_index"))
+
+
 def plan_lengths(steps: DataFrame) -> DataFrame:
     return steps.groupBy("page_id", "goal").agg(F.count("*").alias("n_steps"))

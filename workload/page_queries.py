@@ -365,6 +365,17 @@ def login_plans(spark, sf):
     return _login(spark, sf).select(*_STEP)
 
 
+@query("J7 L1", with_sql(_LOGIN, select="""
+SELECT page_id, description, CASE WHEN selector IS NOT NULL THEN action_type <> 'click' END AS resolved,
+       CASE WHEN selector IS NOT NULL AND action_type <> 'click' THEN selector END AS resolved_selector,
+       CASE WHEN selector IS NOT NULL AND action_type <> 'click' THEN 0 END AS selector_rank FROM login"""))
+def replayed_plans(spark, sf):
+    """Login plans replayed on later snapshots, whose buttons are gone."""
+    plans = A.replayable(_login(spark, sf))
+    later = P.elements_table(account_pages(spark, sf)).filter("tag <> 'button'")
+    return replay(plans, later).join(plans.select("id", "description"), "id").drop("id")
+
+
 @query("P3", with_sql(_LOGIN, select="""
 SELECT page_id, action_type, '{"action_type":"' || action_type || '","selector":' || coalesce('"' || selector || '"', 'null')
   || ',"value":' || coalesce('"' || value || '"', 'null') || ',"description":"' || description || '","timeout_ms":'

@@ -275,6 +275,19 @@ def most_similar_vectors(spark, sf):
         "vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+@query("K4", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT vec_id AS query, v AS w FROM v ORDER BY vec_id LIMIT 5)
+SELECT query, vec_id, round(list_cosine_similarity(v, w), 6) AS similarity,
+       CAST(row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(v, w) DESC, vec_id) AS INTEGER) AS rank
+FROM v, q QUALIFY rank <= 10""")
+def most_similar_to_each(spark, sf):
+    """A batch of five query vectors over all vectors."""
+    vectors = table(spark, sf, "embeddings")
+    batch = {r["vec_id"]: r["embedding"] for r in vectors.orderBy("vec_id").select("vec_id", "embedding").limit(5).collect()}
+    return M.most_similar_each(vectors, batch, 10, key="vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 # -- streams ---------------------------------------------------------------------
 
 _HOURS = """
