@@ -8,14 +8,19 @@ of their weighted Jaccard similarity. Its random numbers come from fixed tables,
 shingle and sample, so that there are 2 ** 32 combinations of them.
 
 Texts that agree in a band of ROWS samples are compared with the band's centre: the member whose bands have the
-most members in all, which in a family of copies is the common original. So a group of any size makes one pair per
-member, never all pairs. Members unlike their centre meet again where two bands agree, around new centres. Every
-pair is verified on its texts: they are linked when the weighted Jaccard similarity, or the plain one of the
-shingle sets (copies that fill much of a corpus make their own shingles common), is at least THRESHOLD. Classes
-are the connected components of the links, and equal texts are one from the start.
+most members in all, which in a family of copies is the common original. So a group of copies of any size makes one
+pair per member. Every pair is verified on its texts: they are linked when the weighted Jaccard similarity, or the
+plain one of the shingle sets (copies that fill much of a corpus make their own shingles common), is at least
+THRESHOLD. Classes are the connected components of the links, and equal texts are one from the start.
 
-Of two texts 0.8 alike, with their original in reach, all 16 bands miss with a chance below 0.0001; at a weighted
-0.67 (the least that a plain 0.8 can give) below 0.004. No band, group or partner count is capped.
+Every two texts that agree in a band are covered: of one class, compared, or unlike by the triangle inequality (both
+distances are metrics, so texts whose distances to a centre differ by more than 1 - THRESHOLD in both are unlike). A
+band's members that a centre leaves open gather around new centres while that halves the open pairs; then all
+pairs of different classes are compared, in blocks of bounded size, each pair in the first band it agrees in. That
+part grows with the square of a family whose members are like each other in bands but not linked.
+
+Of two texts 0.8 alike all 16 bands miss with a chance below 0.0001; at a weighted 0.67 (the least that a plain 0.8
+can give) below 0.004. No band, group or partner count is capped.
 
 Cases: null and blank texts are alike to nothing, themselves included; texts of under five words are one shingle;
 repeated rows are one text and one class; a class is named by its smallest non-null id; an empty table gives an
@@ -39,6 +44,7 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 DF_BITS, POOL_BITS = 17, 16
 BLOCK = 1 << 15  # shingles sampled at once
+BLOCK_TEXTS, BLOCK_CHARS = 128, 4_000_000  # texts of a block that is compared with all others of its bucket
 CACHE_WORDS = 300_000
 _U = np.uint64
 
@@ -178,7 +184,7 @@ def _centred(buckets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name: str) -> DataFrame:
-    """(centre, key) -> centre, key, alike: the similarity of their whole texts."""
+    """(centre, key) -> centre, key, weighted, plain: the similarities of their whole texts."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, idf, last = Shingles(), table.value, (None, None)
 
@@ -187,7 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name:
             return h, weights(h, n, idf)
 
         for batch in batches:
-            out = []
+            out, plain = [], []
             for one, other, centre in zip(batch.column("text").to_pylist(), batch.column("centre_text").to_pylist(),
                                           batch.column("centre").to_pylist(), strict=True):
                 if last[0] != centre:
@@ -195,16 +201,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name:
                 (h, w), (g, v) = weighed(one), last[1]
                 both, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
                 common = np.minimum(w[i], v[j]).sum()
-                weighted = common / (w.sum() + v.sum() - common)
-                out.append(max(weighted, len(both) / (len(h) + len(g) - len(both))))
-            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("key"), pa.array(out, pa.float64())],
-                                             ["centre", "key", "alike"])
+                out.append(common / (w.sum() + v.sum() - common))
+                plain.append(len(both) / (len(h) + len(g) - len(both)))
+            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("key"), pa.array(out, pa.float64()),
+                                              pa.array(plain, pa.float64())], ["centre", "key", "weighted", "plain"])
 
     # texts always move by key, as they must at scale: a broadcast that only a small corpus allows tells nothing of a large one
     pairs = scratch.store(pairs.join(texts.hint("merge"), "key"), f"{name}-left")
     right = texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text"))
     both = salted_join(pairs, right, "centre", F.xxhash64("key"), hint="merge")
-    return scratch.store(both.mapInArrow(compare, "centre binary, key binary, alike double"), f"{name}-verified")
+    return scratch.store(both.mapInArrow(compare, "centre binary, key binary, weighted double, plain double"), f"{name}-verified")
+
+
+def _uncovered(members: DataFrame, seen: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(bucket, key, centre), similarities to the centres, (key, root) -> bucket, key, root of the members that may
+    have a partner in their bucket which is of another class and which they were not compared with.
+
+    A member of the centre's class may only have one if, in either similarity, the most similar member of another
+    class is within 1 - threshold of it.
+    """
+    told = members.join(seen, ["centre", "key"], "left").join(roots, "key", "left").select(
+        "bucket", "key", "centre", F.coalesce("root", "key").alias("root"), "weighted", "plain")
+    told = scratch.store(told, "told")
+    own = told.filter("key = centre").select("bucket", F.col("root").alias("own"))
+    told = scratch.store(salted_join(told, own, "bucket", F.xxhash64("key")).filter("key <> centre"), "owned")
+    others = told.filter("root <> own").groupBy("bucket").agg(F.max("weighted").alias("w"), F.max("plain").alias("p"))
+    reach = 1 - threshold + 1e-9
+    left = salted_join(told, others, "bucket", F.xxhash64("key")).filter(
+        (F.col("root") != F.col("own")) | (F.col("weighted") <= F.col("w") + reach) | (F.col("plain") <= F.col("p") + reach))
+    left = scratch.store(left.select("bucket", "key", "root"), "reached")
+    mixed = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return scratch.store(left.join(scratch.store(mixed.select("bucket"), "mixed"), "bucket", "left_semi"), "left")
+
+
+def _all_pairs(left: DataFrame, places: DataFrame, texts: DataFrame, table, threshold: float, scratch: Scratch) -> DataFrame:
+    """(bucket, key, root) -> the links (a, b) between members of different classes that meet in a bucket.
+
+    Members are dealt to blocks, and every two blocks of a bucket are a group, so that a bucket of any size is many
+    small tasks. ``places`` has every text's buckets: a pair is compared in the first one it agrees in.
+    """
+    def links_of(rows: pa.Table) -> pa.Table:
+        bucket, lo, hi = (rows.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+        keys, block = rows.column("key").to_pylist(), rows.column("block").to_numpy()
+        root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
+        place = np.array(rows.column("places").to_pylist(), np.int64)
+        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        out = []
+        if len(first) and len(second):
+            same = place[first][:, None, :] == place[second][None, :, :]
+            met = np.take_along_axis(place[first], same.argmax(axis=2), axis=1) == bucket
+            met &= root[first][:, None] != root[second][None, :]
+            if lo == hi:
+                met &= first[:, None] < second[None, :]
+            shingles = Shingles()
+            sets = [shingles(t) for t in rows.column("text").to_pylist()]
+            starts = np.cumsum([0] + [len(h) for h, _ in sets])
+            hashes, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+            w = weights(hashes[at], np.concatenate([n for _, n in sets]), table.value)
+            n, total = np.diff(starts), np.add.reduceat(w, starts[:-1])
+            dense = np.zeros(len(hashes))
+            for i in np.flatnonzero(met.any(axis=1)):
+                one = first[i]
+                mine = slice(starts[one], starts[one + 1])
+                dense[at[mine]] = w[mine]
+                held = dense[at]
+                common, both = np.add.reduceat(np.minimum(held, w), starts[:-1]), np.add.reduceat((held > 0).astype(np.int64), starts[:-1])
+                dense[at[mine]] = 0
+                alike = np.maximum(common / (total + total[one] - common), both / (n + n[one] - both))
+                out += [(keys[one], keys[j]) for j in second[met[i]] if alike[j] >= threshold]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    whole = left.join(places, "key").join(texts.hint("merge"), "key")
+    whole = scratch.store(whole, "open-texts")
+    sizes = whole.groupBy("bucket").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = salted_join(whole, scratch.store(sizes, "blocks"), "bucket", F.xxhash64("key")).withColumn(
+        "block", F.pmod(F.xxhash64("key", "bucket"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "root", "places", "text")
+    return scratch.store(dealt.groupBy("bucket", "lo", "hi").applyInArrow(links_of, "a binary, b binary"), "more")
 
 
 def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -224,7 +299,7 @@ def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
         step = scratch.store(roots.join(offered, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root")), f"step{rounds}")
         jump = step.select(F.col("key").alias("root"), F.col("root").alias("far"))
         new = salted_join(step, jump, "root", F.xxhash64("key")).select("key", "old", F.least("root", "far").alias("root"))
-        new = scratch.store(new, f"roots{rounds}", result=True)
+        new = scratch.store(new, f"roots{rounds}")
         if not new.filter("root <> old").limit(1).count():
             return new.select("key", "root")
         roots = new.select("key", "root")
@@ -239,27 +314,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal texts have equal bands: any of them stands for all
     texts = scratch.store(rows.filter("bands IS NOT NULL").groupBy("key").agg(
         F.min("id").alias("id"), F.first("bands").alias("bands")), "texts")
-    buckets = scratch.store(texts.select("key", F.posexplode("bands")).select(
-        "key", F.xxhash64("pos", "col").alias("bucket")), "buckets")
-    first = _centred(buckets, scratch, "bands")
+    places = texts.select("key", F.transform("bands", lambda band, i: F.xxhash64(i, band)).alias("places"))
+    buckets = scratch.store(places.select("key", F.explode("places").alias("bucket")), "buckets")
+    members = _centred(buckets, scratch, "bands")
     # of equal texts the one with the smallest id is fetched, so that the copies of a text do not meet
-    needed = scratch.store(first.select("key").distinct().join(texts.select("key", "id"), "key"), "needed")
+    needed = scratch.store(members.select("key").distinct().join(texts.select("key", "id"), "key"), "needed")
     whole = docs.select(text_key(col(text_col)).alias("key"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     bodies = whole.join(needed.hint("merge"), (whole.key == needed.key) & whole.id.eqNullSafe(needed.id), "left_semi")
     bodies = scratch.store(bodies.dropDuplicates(["key", "id"]).select("key", "text"), "bodies")
-    pairs = first.filter("key <> centre").select("centre", "key").distinct()
-    seen = _verified(pairs, bodies, table, scratch, "first")
-    # members unlike their centre meet again where a second band agrees
-    unlike = seen.filter(F.col("alike") < threshold).select("centre", "key")
-    open_ = scratch.store(first.join(unlike, ["centre", "key"], "left_semi").select("bucket", "key"), "open")
-    bands = texts.select("key", F.posexplode("bands")).select("key", F.xxhash64("pos", "col").alias("other"))
-    again = open_.join(bands, "key").filter("bucket <> other").select("key", F.xxhash64(
-        F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
-    second = _centred(scratch.store(again, "again"), scratch, "pairs")
-    pairs = second.filter("key <> centre").select("centre", "key").distinct().join(seen, ["centre", "key"], "left_anti")
-    more = _verified(pairs, bodies, table, scratch, "second")
-    links = seen.union(more).filter(F.col("alike") >= threshold).select(F.col("centre").alias("a"), F.col("key").alias("b"))
-    roots = _components(links, scratch)
+    alike = F.greatest("weighted", "plain") >= threshold
+    seen, before = None, float("inf")
+    while True:
+        pairs = members.filter("key <> centre").select("centre", "key").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["centre", "key"], "left_anti")
+        found = _verified(pairs, bodies, table, scratch, "round")
+        seen = found if seen is None else seen.union(found)
+        links = seen.filter(alike).select(F.col("centre").alias("a"), F.col("key").alias("b"))
+        roots = _components(links, scratch)
+        left = _uncovered(members, seen, roots, threshold, scratch)
+        most, open_ = left.groupBy("bucket").agg(F.count("*").cast("double").alias("n")).agg(F.max("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not most or most <= BLOCK_TEXTS or open_ > before / 2:
+            break
+        members, before = _centred(left.select("bucket", "key"), scratch, "open"), open_
+    if most:
+        more = _all_pairs(left, places, bodies, table, threshold, scratch)
+        if more.limit(1).count():
+            roots = _components(links.union(more), scratch)
     classed = scratch.store(texts.select("key", "id").join(roots, "key", "left").select(
         "key", "id", F.coalesce("root", "key").alias("root")), "classed")
     names = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m"), F.count("*").alias("n_texts")).select(
