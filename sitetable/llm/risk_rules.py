@@ -1,13 +1,19 @@
 """Quality rules whose cutoffs carry a risk guarantee, in DataFrame functions only.
 
 Every rule compares two counts of a text: it rejects where 100 * numerator > cutoff * denominator. Which cutoff of
-a rule's grid may be used in a stratum (language, length band) is decided on labelled documents: with n good ones
-in the stratum of which k would be rejected, the cutoff is admitted when the exact binomial test at the risk r
-rejects "the false rejection rate is above r", P(Bin(n, r) <= k) <= delta / tests. ``tests`` counts every
-(stratum, rule, cutoff), so all admitted cutoffs hold at once with probability 1 - delta (Bonferroni), and r is
-the allowed false rejection divided by the number of rules, so a stratum loses at most ``risk`` of its good
-documents. Of the admitted cutoffs the one that rejects most bad documents is taken (ties: fewest good ones, then
-the mildest); a rule that rejects no bad one, or has too few labels, stays off in that stratum.
+a rule's grid may be used is decided on labelled documents, in a pool: a stratum (language, length band) that has
+enough good ones to admit a cutoff at all, else its language if that has, else all labels. With n good ones in the
+pool of which k would be rejected, the exact binomial test at the rate r gives p = P(Bin(n, r) <= k) for "the false
+rejection rate is above r"; r is the allowed false rejection divided by the number of rules that reject a bad
+document of the pool, so a pool loses at most ``risk`` of its good documents.
+
+A rule's cutoffs are tested from mild to strict up to the first failure, which needs no correction for the grid. The
+pairs of pool and rule share ``delta`` by Holm's method: with m pairs of which c have admitted their whole grid, the
+others are tested at delta / (m - c). So all admitted cutoffs hold at once with probability 1 - delta. Which rules
+take part depends on the bad documents alone, not on the good ones that are tested. A stratum that uses its
+language's cutoffs, or all labels', has the guarantee for that whole pool, not for itself. Of the admitted cutoffs
+the one that rejects most bad documents is taken (ties: fewest good ones, then the mildest); a rule that rejects no
+bad one, or has too few labels, stays off.
 
 Cases: null and blank texts have no words and fail the base rule; a null or unlisted language counts as ``other``;
 contradicting labels of an id count as bad, null labels not at all; without labels only the base rule works; an
@@ -16,6 +22,8 @@ empty table gives an empty result; repeated rows are judged alike; other columns
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +45,7 @@ RULES = {
 LANGS = ("de", "en", "es", "fr")
 BANDS = (200, 1000)
 RISK, DELTA = 0.01, 0.05
-TESTS = (len(LANGS) + 1) * (len(BANDS) + 1) * sum(len(c) for _, _, c in RULES.values())
+STRATA = [(lang, f"{lang}/{band}") for lang in (*LANGS, "other") for band in range(len(BANDS) + 1)]
 
 
 def base_stats(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -79,7 +87,7 @@ def base_failed() -> Column:
 
 
 def stratum(lang: Column, n_words: Column) -> Column:
-    """One of at most (languages + 1) * (bands + 1) names."""
+    """One of STRATA's names."""
     name = F.when(lang.isin(*LANGS), lang).otherwise("other")
     band = sum(((n_words >= b).cast("int") for b in BANDS), F.lit(0))
     return F.concat_ws("/", name, band.cast("string"))
@@ -100,7 +108,7 @@ def _ln_gamma(x: Column) -> Column:
     return series
 
 
-def binomial_tail(n: Column, k: Column, rate: float) -> Column:
+def binomial_tail(n: Column, k: Column, rate: float | Column) -> Column:
     """P(Bin(n, rate) <= k) for k <= n * rate, summed down from k until the terms are below 1e-20 of the sum."""
     n, k = n.cast("double"), k.cast("double")
     top = F.exp(_ln_gamma(n + 1) - _ln_gamma(k + 1) - _ln_gamma(n - k + 1) + k * F.ln(F.lit(rate))
@@ -120,12 +128,13 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 
 def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
             risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one cutoff per rule or null) from labelled documents' stats; a row per stratum with labels.
+    """(stratum, one cutoff per rule or null) from labelled documents' stats; a row per stratum.
 
-    The tests, a row per stratum and cutoff, are stored before their tails are computed: the optimizer would
+    The tests, a row per pool and cutoff, are stored before their tails are computed: the optimizer would
     otherwise carry the long formula through every rule.
     """
-    scratch = Scratch(stats.sparkSession, "tests")
+    spark = stats.sparkSession
+    scratch = Scratch(spark, "tests")
     marks = labels.filter(col(quality_col).isNotNull()).groupBy(col(id_col).alias(id_col)) \
         .agg(F.min(col(quality_col)).alias("_good"))
     held = stats.join(marks, id_col)
@@ -136,15 +145,33 @@ def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality
         F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"),
                            F.sum((good & _over(rule, c)).cast("long")).alias("k"),
                            F.sum((bad & _over(rule, c)).cast("long")).alias("bad")) for rule, c in tests]).alias("t"))
-    rate = risk / len(RULES)
-    tail = F.when(F.col("k") <= F.col("n") * rate, binomial_tail(F.col("n"), F.col("k"), rate)).otherwise(1.0)
-    rows = scratch.store(counts.select("stratum", "n", F.inline("t")), "counts")
+    counts = scratch.store(counts.select("stratum", "n", F.inline("t")), "counts")
+    lang = F.substring_index("stratum", "/", 1)
+    pooled = counts.withColumn("pool", F.explode(F.array("stratum", lang, F.lit("all")))).groupBy("pool", "rule", "cutoff").agg(
+        *[F.sum(c).alias(c) for c in ("n", "k", "bad")])
+    pooled = scratch.store(pooled, "pooled")
+    # good documents that admit a cutoff without false rejections whatever the other pairs do
+    least = math.ceil(math.log(delta / (len(STRATA) * len(RULES))) / math.log(1 - risk / len(RULES)))
+    large = pooled.filter(F.col("n") >= least).select("pool").distinct()
+    strata = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("lang"), F.lit(b).alias("stratum")) for a, b in STRATA])))
+    strata = strata.join(F.broadcast(large.select(F.col("pool").alias("stratum"), F.col("pool").alias("own"))), "stratum", "left") \
+        .join(F.broadcast(large.select(F.col("pool").alias("lang"), F.col("pool").alias("wider"))), "lang", "left")
+    strata = scratch.store(strata.select("stratum", F.coalesce("own", "wider", F.lit("all")).alias("pool")), "strata")
+    rows = pooled.filter("bad > 0").join(F.broadcast(strata.select("pool").distinct()), "pool", "left_semi")
+    active = rows.groupBy("pool").agg(F.count_distinct("rule").alias("rules"))
+    rows = scratch.store(rows.join(F.broadcast(active), "pool").withColumn("rate", F.lit(float(risk)) / F.col("rules")), "rated")
+    tail = F.when(F.col("k") <= F.col("n") * F.col("rate"), binomial_tail(F.col("n"), F.col("k"), F.col("rate"))).otherwise(1.0)
     rows = scratch.store(rows.withColumn("p", tail), "tails")
-    chosen = rows.filter((F.col("p") <= delta / TESTS) & (F.col("bad") > 0)).groupBy("stratum", "rule") \
+    # stricter cutoffs reject what milder ones do, so p grows along a grid and its largest is the last test
+    pairs = rows.groupBy("pool", "rule").agg(F.max("p").alias("last")).agg(F.sort_array(F.collect_list("last")).alias("lasts"))
+    whole = F.aggregate("lasts", F.lit(0), lambda c, p: F.when(
+        p <= delta / (F.size("lasts") - c), c + 1).otherwise(c))
+    level = pairs.select((delta / F.greatest(F.size("lasts") - whole, F.lit(1))).alias("level"))
+    chosen = rows.crossJoin(F.broadcast(level)).filter("p <= level").groupBy("pool", "rule") \
         .agg(F.max_by("cutoff", F.struct(F.col("bad"), -F.col("k"), F.col("cutoff"))).alias("cutoff"))
-    found = scratch.store(chosen.groupBy("stratum").agg(*[
-        F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES]), "cutoffs",
-        result=True)
+    chosen = chosen.groupBy("pool").agg(*[
+        F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES])
+    found = scratch.store(strata.join(F.broadcast(chosen), "pool", "left").drop("pool"), "cutoffs", result=True)
     scratch.clear()
     return found
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sitetable.llm import weighted_minhash
+from sitetable.llm import risk_rules, weighted_minhash
 
 
 def roots_of(n, links):
@@ -53,3 +53,21 @@ def test_links_inside_a_family_of_unlike_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+# --- quality rules ---
+
+def test_cutoffs_are_admitted_on_ordinary_label_counts(spark):
+    # as many labels as the table of 10,000 documents has, no stratum above 1,200 good ones
+    langs = ["en"] * 6 + ["de", "es", None, "pt"]
+    def text(i):  # noqa: E306
+        # the first 300 are junk; three good ones have symbols too
+        return " ".join(("a#%d" if i < 300 or i in (500, 1500, 2500) else "word") + str(j) for j in range((60, 250)[i // 10 % 2]))
+    docs = spark.createDataFrame([(i, text(i), langs[i % 10]) for i in range(3600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(3600)], "doc_id long, quality int")
+    told = {r["doc_id"]: r["kept"] for r in risk_rules.judge(docs, labels).collect()}
+    assert not any(told[i] for i in range(300))
+    assert sum(not told[i] for i in range(300, 3600)) == 3
+    # a rate that the labels do not support is not admitted: one good document in 30 like the junk
+    worse = labels.selectExpr("doc_id", "int(doc_id >= 190) AS quality")
+    assert all(r["kept"] for r in risk_rules.judge(docs, worse).collect())
