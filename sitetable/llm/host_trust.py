@@ -5,7 +5,9 @@ pages, counted per pair of hosts): trust starts at hosts with allowed pages and
 PageRank; distrust starts at hosts with blocked pages and follows links backwards, to those who link there. Both
 masses are counted in seed pages, so they compare: a page that no rule fits is blocked when its host's distrust
 exceeds ``RATIO`` times its trust, and allowed otherwise, also when no walk reaches the host. Every step is a join
-and an aggregation, stored between steps; walks end when a step moves less than ``TOLERANCE`` of the seeds' mass.
+and an aggregation, stored between steps. The walks end when no host is newly reached and the mass still under way
+cannot turn any host's verdict; a host whose two masses tie is settled when a walk moves less than ``PRECISION`` of
+its seeds' mass, seeds without links left out. The number of steps is not limited.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule; a null html has no links; links
 of a host to itself do not count; repeated rows are judged alike; an empty table gives an empty result.
@@ -20,7 +22,7 @@ from .common import Scratch, col, salted_join
 
 # fixed values: (verdict, rule)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, STEPS, TOLERANCE, RATIO = 0.85, 30, 1e-4, 2.0
+DAMPING, PRECISION, RATIO = 0.85, 1e-15, 2.0
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,23 +58,49 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return each.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, steps: int = STEPS,
-              tolerance: float = TOLERANCE) -> DataFrame:
-    """edges (kind, src, dst, share: of the source's links), seeds (kind, host, mass) -> (kind, host, mass).
+def _settled(total: DataFrame, moved: dict[str, float], damping: float, ratio: float) -> bool:
+    """No host's verdict can change: what is under way, with all it will still pass on, is added to one side.
 
-    What a host without links holds is not passed on. ``moved`` is the part of the mass still under way.
+    Every host that a walk can reach is reached, so a walk adds nothing to the others.
     """
+    rest = {kind: moved.get(kind, 0.0) * damping / (1 - damping) for kind in ("trust", "distrust")}
+    hosts = total.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == kind, F.col("mass"))).alias(kind) for kind in rest])
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    most_trust = trust + F.when(F.col("trust").isNotNull(), rest["trust"]).otherwise(0.0)
+    most_distrust = distrust + F.when(F.col("distrust").isNotNull(), rest["distrust"]).otherwise(0.0)
+    open_ = F.when(distrust > ratio * trust, distrust <= ratio * most_trust).otherwise(most_distrust > ratio * trust)
+    return not hosts.filter(open_).limit(1).count()
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, ratio: float = RATIO,
+              precision: float = PRECISION) -> DataFrame:
+    """edges (kind, from, dst, share: of the source's links), seeds (kind, host, mass) -> (kind, host, mass).
+
+    What a host without links holds is not passed on. ``moving`` is the mass still under way.
+    """
+    spark = seeds.sparkSession
     total = moving = seeds
-    start = seeds.agg(F.sum("mass")).first()[0] or 0.0
-    for step in range(steps):
+    start, last = None, None
+    while True:
+        step = Scratch(spark, "trust-step")
         out = moving.select(F.concat_ws("\x00", "kind", "host").alias("from"), "mass")
         sent = salted_join(edges, out, "from", F.xxhash64("dst")).groupBy("kind", F.col("dst").alias("host")).agg(
             (damping * F.sum(F.col("mass") * F.col("share"))).alias("mass"))
-        moving = scratch.store(sent, f"moving{step}")
-        moved = moving.agg(F.sum("mass")).first()[0] or 0.0
-        total = scratch.store(total.unionByName(moving).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), f"total{step}")
-        if moved <= tolerance * start:
+        moving = step.store(sent, "moving")
+        moved = {r["kind"]: r["mass"] for r in moving.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
+        if start is None:
+            # a seed with links passes on all its mass, so the first step tells what the seeds with links hold
+            start = {kind: mass / damping for kind, mass in moved.items()}
+        new = moving.join(total, ["kind", "host"], "left_anti").limit(1).count()
+        total = step.store(total.unionByName(moving).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "total")
+        if last:
+            last.clear()
+        last = step
+        if not new and (all(mass <= precision * start[kind] for kind, mass in moved.items())
+                        or _settled(total, moved, damping, ratio)):
             break
+    total = scratch.store(total, "total")
+    last.clear()
     return total
 
 
@@ -93,7 +121,7 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = F.when(F.col("ruled") == "allow", "trust").otherwise("distrust")
     seeds = scratch.store(slim.filter("ruled IS NOT NULL").groupBy(kind.alias("kind"), "host").agg(
         F.count("*").cast("double").alias("mass")), "seeds")
-    mass = propagate(edges, seeds, scratch, **options)
+    mass = propagate(edges, seeds, scratch, ratio=ratio, **options)
     hosts = slim.select("host").distinct()
     told = hosts.join(mass, "host", "left").groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"),

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sitetable.llm import risk_rules, weighted_minhash
+from sitetable.llm import host_trust, risk_rules, weighted_minhash
 
 
 def roots_of(n, links):
@@ -71,3 +71,23 @@ def test_cutoffs_are_admitted_on_ordinary_label_counts(spark):
     # a rate that the labels do not support is not admitted: one good document in 30 like the junk
     worse = labels.selectExpr("doc_id", "int(doc_id >= 190) AS quality")
     assert all(r["kept"] for r in risk_rules.judge(docs, worse).collect())
+
+
+# --- URL rules and link graph ---
+
+def test_verdicts_do_not_depend_on_unlinked_seeds(spark):
+    link = '<a href="http://{}/p">'
+    graph = [(i, "http://bad.com/de/1", None) for i in range(3)] + [(10, "http://a.net/", link.format("bad.com")), (11, "http://b.net/", link.format("a.net"))]
+    # a cycle of two that distrust walks into, and a host behind it
+    graph += [(12, "http://c.net/", link.format("b.net") + link.format("d.net")), (13, "http://d.net/", link.format("c.net")), (14, "http://e.net/", link.format("d.net"))]
+    # trust that wins over distrust: t.net links to bad.com and is linked by allowed pages
+    graph += [(20 + i, f"http://good{i}.org/", link.format("t.net")) for i in range(9)] + [(30, "http://t.net/", link.format("bad.com"))]
+    alone = spark.createDataFrame(graph, "page_id long, url string, html string")
+    crowd = spark.range(1_000_000).selectExpr("id + 1000 AS page_id", "'http://lone.org/' AS url", "CAST(NULL AS string) AS html")
+
+    def told(pages):
+        return {r["page_id"]: r["verdict"] for r in host_trust.judge_pages(pages).filter("page_id < 1000").collect()}
+
+    want = told(alone)
+    assert [want[i] for i in (10, 11, 12, 13, 14, 30)] == ["block"] * 5 + ["allow"]
+    assert told(alone.unionByName(crowd)) == want
