@@ -9,7 +9,8 @@ corpus the true neighbours are computed over all rows, and the visits are widene
 
 Leaves are cut into blocks of about ``BLOCK_ROWS`` rows, and the queries of a leaf into as many, so that a leaf with
 a third of all rows, or one that all queries visit, is many tasks. Blocks give their own nearest, found by exact
-distances in double precision, and a query's best of those are ranked.
+distances in double precision, and a query's best of those are ranked. A block keeps k ids, not rows, and the rows of
+one id are dealt to all blocks of their leaf.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do those of
 another length than most of the sample; rows that repeat an id are all searched, and an id is listed once, by its
@@ -103,19 +104,25 @@ def fit_tree(sample: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, rounds:
 
 
 def nearest(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, distances) of the k nearest rows by (distance, id), the query's own id left out."""
+    """(query, rows, distances) of the k nearest ids by (distance, id), each by its nearest row, the query's own id left out."""
+    # rows by id, so that each id's are side by side
+    by_id = np.argsort(ids, kind="stable")
+    ids, rows = ids[by_id], rows[by_id]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     for low in range(0, len(queries), 256):
         part = queries[low:low + 256]
         rough = _squares(part, rows)
         scale = 1e-9 * (1 + (part * part).sum(1) + (rows * rows).sum(1).max(initial=0))
         for i, q in enumerate(part):
             d = np.where(ids == own[low + i], np.inf, rough[i])
-            if len(d) > k:
-                d = np.where(d <= np.partition(d, k - 1)[k - 1] + scale[i], d, np.inf)
+            if len(starts) > k:
+                least = np.minimum.reduceat(d, starts)
+                d = np.where(d <= np.partition(least, k - 1)[k - 1] + scale[i], d, np.inf)
             pick = np.flatnonzero(np.isfinite(d))
             exact = np.sqrt(((rows[pick] - q) ** 2).sum(axis=1))
-            order = np.lexsort((ids[pick], exact))[:k]
-            yield low + i, ids[pick][order], exact[order]
+            order = np.lexsort((ids[pick], exact))
+            order = order[np.sort(np.unique(ids[pick][order], return_index=True)[1])][:k]
+            yield low + i, by_id[pick[order]], exact[order]
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -132,13 +139,13 @@ def _true_neighbours(rows: DataFrame, probes: np.ndarray, probe_ids: np.ndarray,
         probes, probe_ids = shared.value
         for batch in batches:
             ids, at = batch.column("id").to_numpy(), batch.column("leaf").to_numpy()
-            leaf = dict(zip(ids.tolist(), at.tolist(), strict=True))
-            found = [(p, i, d, leaf[i]) for p, n, ds in nearest(probes, probe_ids, ids, _matrix(batch.column("v"), dim), k)
-                     for i, d in zip(n.tolist(), ds.tolist(), strict=True)]
+            found = [(p, i, d, leaf) for p, n, ds in nearest(probes, probe_ids, ids, _matrix(batch.column("v"), dim), k)
+                     for i, d, leaf in zip(ids[n].tolist(), ds.tolist(), at[n].tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({n: [f[j] for f in found] for j, n in enumerate(("probe", "id", "d", "leaf"))},
                                              pa.schema([("probe", pa.int64()), ("id", pa.int64()), ("d", pa.float64()), ("leaf", pa.int64())]))
 
     found = rows.mapInArrow(best, "probe long, id long, d double, leaf long")
+    found = found.groupBy("probe", "id").agg(F.min(F.struct("d", "leaf")).alias("m")).select("probe", "id", "m.d", "m.leaf")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("d", "id"))).filter(F.col("r") <= k)
     return np.array([(r["probe"], r["leaf"]) for r in ranked.select("probe", "leaf").collect()], np.int64).reshape(-1, 2)
 
@@ -164,9 +171,9 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     good = df.filter(valid(col(vector_col)) & col(id_col).isNotNull()).select(
         col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n = good.count()
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    slot = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20))
     share = min(1 << 20, int((1 << 20) * 1.2 * sample / max(n, 1)) + 1)
-    picked = good.filter(slot < share).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toPandas()
+    picked = good.filter(slot < share).select("id", "v").distinct().orderBy(F.xxhash64("id", "v"), "id").limit(sample).toPandas()
     if not len(picked):
         return spark.createDataFrame([], schema)
     dim = int(pd.Series(picked.v.map(len)).mode()[0])
@@ -180,7 +187,9 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             at = shared.value.leaves_of(_matrix(batch.column("v"), dim))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], ["id", "v", "q", "leaf"])
 
-    rows = scratch.store(good.filter(F.size("v") == dim).mapInArrow(place, "id long, v array<double>, q boolean, leaf long"), "rows")
+    rows = good.filter(F.size("v") == dim).mapInArrow(place, "id long, v array<double>, q boolean, leaf long")
+    # a number per row, by which copies of a row go to different blocks too
+    rows = scratch.store(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     few = np.linspace(0, len(points) - 1, min(probes, len(points))).astype(int)
     truth = _true_neighbours(rows, points[few], picked.id.to_numpy()[few], dim, tree, k)
     visits, _ = calibrated_visits(tree, points[few], truth, recall)
@@ -189,27 +198,27 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         for batch in batches:
             vectors = _matrix(batch.column("v"), dim)
             leaves = [shared.value.best_first(q, visits) for q in vectors]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "row", "leaves"])
 
-    asked = scratch.store(rows.filter("q").select("id", "v").mapInArrow(walk, "id long, v array<double>, leaves array<long>")
-                          .select("id", "v", F.explode("leaves").alias("leaf")), "asked")
+    asked = scratch.store(rows.filter("q").select("id", "v", "row").mapInArrow(walk, "id long, v array<double>, row long, leaves array<long>")
+                          .select("id", "v", "row", F.explode("leaves").alias("leaf")), "asked")
     # a row per leaf, at most the nodes of the tree
     cuts = rows.groupBy("leaf").agg(F.count("*").alias("n")).join(
         asked.groupBy("leaf").agg(F.count("*").alias("m")), "leaf").select(
         "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("parts"))
     cuts = F.broadcast(scratch.store(cuts, "cuts"))
-    left = asked.join(cuts, "leaf").select("leaf", "id", "v", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"),
+    left = asked.join(cuts, "leaf").select("leaf", "id", "v", F.pmod(F.xxhash64("id", "row"), "parts").cast("int").alias("part"),
                                            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = rows.join(cuts, "leaf").select("leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                                           F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+                                           F.pmod(F.xxhash64("id", "row"), "blocks").cast("int").alias("block"))
 
     def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
         if not asked.num_rows or not rows.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        own = asked.column("id").to_numpy()
-        found = list(nearest(_matrix(asked.column("v"), dim), own, rows.column("id").to_numpy(), _matrix(rows.column("v"), dim), k))
+        own, ids = asked.column("id").to_numpy(), rows.column("id").to_numpy()
+        found = list(nearest(_matrix(asked.column("v"), dim), own, ids, _matrix(rows.column("v"), dim), k))
         return pa.table({"query_id": np.concatenate([np.full(len(i), own[q]) for q, i, _ in found]),
-                         "id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([d for _, _, d in found])})
+                         "id": np.concatenate([ids[i] for _, i, _ in found]), "score": np.concatenate([d for _, _, d in found])})
 
     keys = ["leaf", "block", "part"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, id long, score double")

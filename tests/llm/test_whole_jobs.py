@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from sitetable.llm import host_trust, risk_rules, weighted_minhash
+from sitetable.llm import host_trust, kmeans_tree, risk_rules, weighted_minhash
 
 
 def roots_of(n, links):
@@ -19,6 +20,36 @@ def roots_of(n, links):
     return [top(i) for i in range(n)]
 
 
+# --- nearest neighbours ---
+
+def test_an_id_repeated_over_a_third_of_the_rows_leaves_room_for_others(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8)).round(3)
+    ids = np.arange(900)
+    ids[600:] = 5000
+    x[600:800] = x[0] + 0.01  # nearer to the first query than any other row, and 100 rows of the id elsewhere
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
+    # all leaves are visited
+    got = kmeans_tree.search(df, F.col("vec_id") % 100 == 0, vector_col="v", sample=600, probes=60, recall=1.0).toPandas()
+    for q in range(0, 600, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = {}
+        for i, v in zip(ids.tolist(), d.tolist(), strict=True):
+            if i != q:
+                best[i] = min(v, best.get(i, np.inf))
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == 10 and mine.vec_id.is_unique
+        assert np.allclose(mine.score, [best[i] for i in mine.vec_id])
+        if q == 0:
+            assert mine.vec_id.iloc[0] == 5000
+        want = sorted(best, key=lambda i: (best[i], i))[:10]
+        assert len(set(want) & set(mine.vec_id)) >= 9
+    rows, distances = next((r, d) for _, r, d in kmeans_tree.nearest(x[:1], ids[:1], ids, x, 10))
+    d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    want = sorted({int(i): float(d[ids == i].min()) for i in set(ids.tolist()) - {0}}.items(), key=lambda p: (p[1], p[0]))[:10]
+    assert ids[rows].tolist() == [i for i, _ in want] and np.allclose(distances, [v for _, v in want])
+
+
 # --- near-duplicates ---
 
 def test_links_inside_a_family_of_unlike_texts(spark):
