@@ -2,9 +2,10 @@
 
 Base spans are the matches of three fixed patterns. Besides, every long run of token characters that mixes
 letters and digits is a candidate. All candidates' hashes are counted over the corpus by distinct repositories and
-owners: a value that ``examples`` or more owners hold is a widely copied example; one with fewer owners and enough
-different characters looks live. The scan adds the live-looking candidates to the spans and tells for every span
-whether it is live. In a corpus with fewer owners than that, nothing counts as an example.
+owners: a value that ``examples`` or more owners hold is a widely copied example, and so is one that is in ``copies``
+or more repositories (documents) per owner; one with fewer of both and enough different characters looks live. The
+scan adds the live-looking candidates to the spans and tells for every span whether it is live, and how many owners
+and repositories its value has. In a corpus with few owners only the repositories mark an example.
 
 Cases: a null text is empty and has no spans; a null owner counts as one owner, a null id as one repository; rows
 that repeat an id and text get the same answer each; rows that repeat an id with other texts are told apart by the
@@ -28,7 +29,7 @@ ASSIGN_LEAST = 12
 # a further candidate: a long run with a letter and a digit
 LONG = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-EXAMPLES = 3
+EXAMPLES, COPIES = 3, 20
 LEAST_DISTINCT = 8
 
 
@@ -84,7 +85,7 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
 
 
-def ownership(scanned: DataFrame, examples: int = EXAMPLES, least_distinct: int = LEAST_DISTINCT) -> DataFrame:
+def ownership(scanned: DataFrame, examples: int = EXAMPLES, least_distinct: int = LEAST_DISTINCT, copies: int = COPIES) -> DataFrame:
     """(row_id, owner, cands) -> (hash, owners, repositories, live).
 
     Distinct pairs first, then counts: the rows of a value copied everywhere are merged before they move.
@@ -96,13 +97,14 @@ def ownership(scanned: DataFrame, examples: int = EXAMPLES, least_distinct: int
         .groupBy("hash").agg(F.count("*").alias("owners"), F.max("distinct").alias("distinct"))
     repos = each.select("hash", F.struct("row_id").alias("r")).distinct().groupBy("hash").agg(
         F.count("*").alias("repositories"))
-    live = (F.col("owners") < examples) & (F.col("distinct") >= least_distinct)
+    live = (F.col("owners") < examples) & (F.col("repositories") < copies * F.col("owners")) & (F.col("distinct") >= least_distinct)
     return owners.join(repos, "hash").select("hash", "owners", "repositories", live.alias("live"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
          **options) -> DataFrame:
-    """Per row: id, key, counts by kind, hash of the base spans, all spans, and ``found`` with live and owners."""
+    """Per row: id, key, counts by kind, hash of the base spans, all spans, the repositories of each span's value in
+    their order, and ``found`` with live, owners and repositories."""
     scratch = Scratch(docs.sparkSession, "secrets")
     scanned = base_spans(docs, col(text_col), [
         col(id_col).alias("row_id"), col(owner_col).alias("owner"), row_key(col(id_col), col(text_col)).alias("key")])
@@ -114,7 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     told = told.filter((F.col("c.kind") < 3) | F.col("live")).groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct(
             F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"),
-            "live", "owners"))).alias("spans"))
+            "live", "owners", "repositories"))).alias("spans"))
     told = scratch.store(told, "told", result=True)
     scratch.clear()
     empty = F.array().cast(told.schema["spans"].dataType)
@@ -130,6 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return out.select(
         F.col("row_id").alias(id_col), "key", *map(n_of, range(4)), F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.array_join(F.transform("spans", lambda s: s["repositories"].cast("string")), ",").alias("repositories"),
         F.col("spans").alias("found"))
 
 

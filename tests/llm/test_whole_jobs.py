@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sitetable.llm import host_trust, kmeans_tree, risk_rules, weighted_minhash
+from sitetable.llm import host_trust, kmeans_tree, risk_rules, secret_owners, weighted_minhash
 
 
 def roots_of(n, links):
@@ -122,3 +122,17 @@ def test_verdicts_do_not_depend_on_unlinked_seeds(spark):
     want = told(alone)
     assert [want[i] for i in (10, 11, 12, 13, 14, 30)] == ["block"] * 5 + ["allow"]
     assert told(alone.unionByName(crowd)) == want
+
+
+# --- secrets ---
+
+def test_a_value_copied_through_one_source_is_an_example(spark):
+    copied, own = "Zx9Qw7Er5Ty3Ui1Op0As", "Lk8Jh6Gf4Ds2Aq1Wz3Xc"
+    rows = [(i, f"see {copied} here", "hot") for i in range(1000)] + [(2000, f"mine {own} and token={copied}", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = {r["doc_id"]: r for r in secret_owners.scan(docs).collect()}
+    assert told[3]["spans"] == "" and told[3]["repositories"] == ""
+    assert told[2000]["n_owned"] == 1 and told[2000]["n_assign"] == 1 and told[2000]["n_live"] == 1
+    assert told[2000]["repositories"] == "1,1001"
+    texts = {r["doc_id"]: r["text"] for r in secret_owners.mask(docs).collect()}
+    assert texts[2000] == f"mine [SECRET] and token={copied}" and texts[3] == f"see {copied} here"
