@@ -3,8 +3,8 @@
 Base spans are the matches of three fixed patterns. Besides, every long run of token characters that mixes
 letters and digits is a candidate. All candidates' hashes are counted over the corpus by distinct repositories and
 owners: a value that ``examples`` or more owners hold is a widely copied example, and so is one that is in ``copies``
-or more repositories (documents) per owner; one with fewer of both and enough different characters looks live. The
-scan adds the live-looking candidates to the spans and tells for every span whether it is live, and how many owners
+or more repositories (documents) per owner; one with fewer of both looks live, a candidate only with enough different
+characters. The scan adds the live-looking candidates to the spans and tells for every span whether it is live, and how many owners
 and repositories its value has. In a corpus with few owners only the repositories mark an example.
 
 Cases: a null text is empty and has no spans; a null owner counts as one owner, a null id as one repository; rows
@@ -86,7 +86,7 @@ def row_key(row_id: Column, text: Column) -> Column:
 
 
 def ownership(scanned: DataFrame, examples: int = EXAMPLES, least_distinct: int = LEAST_DISTINCT, copies: int = COPIES) -> DataFrame:
-    """(row_id, owner, cands) -> (hash, owners, repositories, live).
+    """(row_id, owner, cands) -> (hash, owners, repositories, rare: no example, live: rare and of varied characters).
 
     Distinct pairs first, then counts: the rows of a value copied everywhere are merged before they move.
     """
@@ -97,8 +97,9 @@ def ownership(scanned: DataFrame, examples: int = EXAMPLES, least_distinct: int
         .groupBy("hash").agg(F.count("*").alias("owners"), F.max("distinct").alias("distinct"))
     repos = each.select("hash", F.struct("row_id").alias("r")).distinct().groupBy("hash").agg(
         F.count("*").alias("repositories"))
-    live = (F.col("owners") < examples) & (F.col("repositories") < copies * F.col("owners")) & (F.col("distinct") >= least_distinct)
-    return owners.join(repos, "hash").select("hash", "owners", "repositories", live.alias("live"))
+    rare = (F.col("owners") < examples) & (F.col("repositories") < copies * F.col("owners"))
+    live = rare & (F.col("distinct") >= least_distinct)
+    return owners.join(repos, "hash").select("hash", "owners", "repositories", rare.alias("rare"), live.alias("live"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
@@ -113,6 +114,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     known = scratch.store(ownership(some, **options), "ownership")
     each = some.select("key", F.explode("cands").alias("c")).withColumn("hash", F.xxhash64("c.value"))
     told = salted_join(each, known, "hash", F.xxhash64("key"))
+    # base spans need no variety
+    told = told.withColumn("live", F.when(F.col("c.kind") < 3, F.col("rare")).otherwise(F.col("live")))
     told = told.filter((F.col("c.kind") < 3) | F.col("live")).groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct(
             F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"),

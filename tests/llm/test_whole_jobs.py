@@ -136,3 +136,10 @@ def test_a_value_copied_through_one_source_is_an_example(spark):
     assert told[2000]["repositories"] == "1,1001"
     texts = {r["doc_id"]: r["text"] for r in secret_owners.mask(docs).collect()}
     assert texts[2000] == f"mine [SECRET] and token={copied}" and texts[3] == f"see {copied} here"
+
+
+def test_an_assigned_secret_of_few_characters_is_live(spark):
+    text = "token=4815162342481516 and 1a1a1a1a1a1a1a1a1a1a1a1ay"
+    docs = spark.createDataFrame([(1, text, "a"), (2, "none", "b")], "doc_id long, text string, source string")
+    told = {r["doc_id"]: r for r in secret_owners.scan(docs).collect()}
+    assert told[1]["n_assign"] == 1 and told[1]["n_owned"] == 0 and "[SECRET]" in {r["doc_id"]: r["text"] for r in secret_owners.mask(docs).collect()}[1]
