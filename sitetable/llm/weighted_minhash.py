@@ -19,8 +19,10 @@ band's members that a centre leaves open gather around new centres while that ha
 pairs of different classes are compared, in blocks of bounded size, each pair in the first band it agrees in. That
 part grows with the square of a family whose members are like each other in bands but not linked.
 
-Of two texts 0.8 alike all 16 bands miss with a chance below 0.0001; at a weighted 0.67 (the least that a plain 0.8
-can give) below 0.004. No band, group or partner count is capped.
+Of two texts 0.8 alike by weight all 16 bands miss with a chance below 0.0001; at a weighted 0.67 (the least that a
+plain 0.8 gives where no shingle repeats) below 0.004. Counts weigh too: a text and its copy with one passage repeated
+many times may be plainly alike but far apart by weight, share no band and not be compared. No band, group or partner
+count is capped.
 
 Cases: null and blank texts are alike to nothing, themselves included; texts of under five words are one shingle;
 repeated rows are one text and one class; a class is named by its smallest non-null id; an empty table gives an
