@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables with production parameters, and their oracle SQL."""
+"""Registered queries of the thirteen operators, over whole tables with production parameters, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    automaton_search,
     histogram_packing,
     host_trust,
     kmeans_tree,
     maglev_shards,
     ordinal_quality,
+    phrase_graph,
     risk_rules,
     secret_owners,
+    suffix_dedup,
     threshold_mixing,
     weighted_minhash,
     zip_warc,
@@ -82,10 +85,25 @@ def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(read_table(prepared(spark), sf_dir, "documents")).drop("key", "found")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_table(prepared(spark), sf_dir, "documents"))
+
+
+def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(read_table(prepared(spark), sf_dir, "documents"))
+
+
+def op13_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_search.search(read_table(prepared(spark), sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ordinal_quality, op2_kmeans_tree, op3_histogram_packing, op4_maglev_shards, op5_zip_warc,
-    op6_weighted_minhash, op7_host_trust, op8_risk_rules, op9_threshold_mixing, op10_secret_owners)}
+    op6_weighted_minhash, op7_host_trust, op8_risk_rules, op9_threshold_mixing, op10_secret_owners,
+    op11_suffix_dedup, op12_phrase_graph, op13_automaton_search)}
 
+_UPPER, _LOWER = automaton_search.UPPER, automaton_search.LOWER
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{automaton_search.TERM}')"
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(b), {1 + 5 * i}, 5))::BIGINT >> {15 - 5 * j}) & 31)::INT, 1)"
@@ -118,4 +136,55 @@ m AS (SELECT d.*, e.n, e.target, e.whole, e.target - e.whole * e.n AS rest,
              sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, n AS source_size, target, whole + (upto <= rest)::BIGINT AS copies,
        ((whole + (upto <= rest)::BIGINT) * size)::BIGINT AS taken FROM m""",
+    # strings by their 50 bytes, removed runs by the gaps between their starts, and what lies between the runs
+    "op11_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT k, doc_id, unnest(range(1, octet_length(b) - 48)) AS s FROM d WHERE doc_id IS NOT NULL AND octet_length(b) >= 50),
+x AS (SELECT p.k, p.doc_id, p.s, md5(d.b[p.s:p.s + 49]) AS w FROM p JOIN d USING (k)),
+m AS (SELECT w, min(doc_id) AS least FROM x GROUP BY w),
+r AS (SELECT k, s FROM x JOIN m USING (w) WHERE least < doc_id),
+g AS (SELECT k, s, CASE WHEN s <= lag(s) OVER (PARTITION BY k ORDER BY s) + 50 THEN 0 ELSE 1 END AS opens FROM r),
+n AS (SELECT k, s, sum(opens) OVER (PARTITION BY k ORDER BY s) AS run FROM g),
+spans AS (SELECT k, run, min(s) AS a, max(s) + 50 AS z FROM n GROUP BY k, run),
+cuts AS (SELECT k, a, z FROM spans UNION ALL SELECT k, octet_length(b) + 1, octet_length(b) + 1 FROM d),
+kept AS (SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a, z), 1) AS a, a AS z FROM cuts),
+left_over AS (SELECT kept.k, string_agg(CASE WHEN kept.a < kept.z THEN hex(d.b[kept.a:kept.z - 1]) ELSE '' END, '' ORDER BY kept.a, kept.z) AS x
+              FROM kept JOIN d USING (k) GROUP BY kept.k),
+sums AS (SELECT k, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(x)) AS kept_sha256
+FROM d JOIN left_over USING (k) LEFT JOIN sums USING (k)""",
+    "op12_phrase_graph": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, f AS a, j, array_to_string(g[1:j], ' ') AS x, array_to_string(g[j + 1:k], ' ') AS y
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(g[b:b + z - 1], ' ') AS phrase, max(f) AS longer
+      FROM (SELECT *, unnest(range(1, k - z + 2)) AS b FROM (SELECT *, unnest(range(2, k)) AS z FROM c WHERE k > 2)) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_automaton_search": f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT sum(len(w))::BIGINT AS total, count(*)::BIGINT AS docs FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+t AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY k, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term),
+x AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, c),
+m AS (SELECT k, doc_id, 100 - 90 + ((90 * len(w) * docs) // total) AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT item_id, m.k, any_value(m.doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN t USING (term) JOIN x USING (term) JOIN m ON m.k = t.k GROUP BY item_id, m.k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
