@@ -39,7 +39,7 @@ from .common import Scratch, col
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST, TOP, INSIDE_PERCENT = 30, 2000, 80
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 SAMPLE_BYTES, HOT_COUNT = 32 << 20, 64
 GRAMS = "lang string, phrase string, low int, high int, f long"
