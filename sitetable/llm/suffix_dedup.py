@@ -15,7 +15,7 @@ are judged on the input. All suffixes of a corpus are far more than a cluster ca
    of its equals. Equal suffixes share a leading token, hence a bucket; its neighbours need no look.
 5. A block marks what its documents lose, and copies of a text take its result.
 
-Every group in memory is a block (``block_bytes`` of text and one text at most) or a bucket (about the same).
+Every group in memory is a block (``block_bytes`` of text and one text at most) or a bucket, which is less.
 
 Cases: a null text is empty; texts shorter than ``length`` keep all; rows with a null id are nobody's smaller document and
 lose nothing; rows that repeat an id are not each other's smaller document; a copy of a text under a greater id loses all its
@@ -42,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, TOKEN = 50, 16
 BLOCK_BYTES = 8 << 20
+BUCKETS_PER_BLOCK = 4  # a segment is some four times the bytes that begin a suffix in it, and sorting needs room
 HOT = 1000
 CHUNK = 1 << 17  # positions whose hashes are held at a time
 LONGEST = 64  # suffixes of a segment
@@ -375,12 +376,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     long = rows.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     texts = long.select(F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int").alias("block"),
                         F.unhex(h).alias("h"), F.col("doc_id").alias("id"), "text")
-    splitters = sampled_splitters(texts, blocks, length)
+    buckets = BUCKETS_PER_BLOCK * blocks
+    splitters = sampled_splitters(texts, buckets, length)
     texts = texts.mapInArrow(_first_seen, TEXTS)
     by_block = texts.groupBy("block")
     counts = by_block.applyInArrow(_anchor_counts(length, blocks), MOVED)
     replies = counts.groupBy("bucket").applyInArrow(_shared_anchors, MOVED)
-    sent = by_block.cogroup(replies.groupBy("block")).applyInArrow(_segments(length, blocks, splitters), MOVED)
+    sent = by_block.cogroup(replies.groupBy("block")).applyInArrow(_segments(length, buckets, splitters), MOVED)
     found = sent.groupBy("bucket").applyInArrow(_repeats(length), MOVED)
     marked = by_block.cogroup(found.groupBy("block")).applyInArrow(_marked(length, with_kept), RESULT)
 
