@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, col
 
 SIZE, END_ID = 2048, 1
-CACHE_WORDS = 600_000
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 240 << 20, 150, 64  # of a worker's known words; longer words are not kept
+WORD_END = "</w>"
 PIECES_PER_CHUNK = 20_000
 MARKS = frozenset(".,")
 
@@ -49,25 +50,62 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """Ids of words. A word has at least one id that ends a word, words of letters mostly one: these go as one text,
+        and if there are as many such ids as words, each word's are told by them."""
+        if words and words[0].isalpha():
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(last) == len(words):
+                raw = ids.tobytes()
+                return [raw[a:b] for a, b in zip([0, *last], last, strict=False)]
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new words; all but very long ones are kept."""
+        known = self.known
+        cores = {w: _core(w) for w in words}
+        missing = {c for c, _ in cores.values()}.union(MARKS).difference(known)
+        new: dict[str, bytes] = {}
+        for part in ([w for w in missing if w.isalpha()], [w for w in missing if not w.isalpha()]):
+            for at in range(0, len(part), 2000):
+                new.update(zip(part[at:at + 2000], self._coded(part[at:at + 2000]), strict=True))
+        both = _Either(new, known)
+        new.update([(w, both[c] + both[mark] if mark else both[c]) for w, (c, mark) in cores.items()])
+        kept = {w: b for w, b in new.items() if len(w) <= LONG_WORD}
+        known.update(kept)
+        self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        return {w: b for w, b in new.items() if len(w) > LONG_WORD}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_blanks(t).split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         known = self.known
         new = set().union(*split).difference(known)
-        cores = {w: _core(w) for w in new}
-        missing = list({c for c, _ in cores.values()}.union(MARKS).difference(known))
-        for at in range(0, len(missing), 10_000):
-            part = missing[at:at + 10_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-        known.update((w, known[c] + known[mark] if mark else known[c]) for w, (c, mark) in cores.items())
-        get = known.__getitem__
+        long = self._learn(new) if new else {}
+        get = (known if not long else _Either(known, long)).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+class _Either(dict):
+    """Looks in one mapping, then in the other."""
+
+    def __init__(self, first: dict, second: dict):
+        super().__init__()
+        self.first, self.second = first, second
+
+    def __getitem__(self, key):
+        found = self.first.get(key)
+        return self.second[key] if found is None else found
+
+
 def _core(word: str) -> tuple[str, str]:
     """A word with the same ids, and a sign after it that the tokenizer keeps apart: letters, then one sign.
 
@@ -93,17 +131,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         ids = _kept(tokenizer_path)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[], [], [], [], []]
+            totals, sums = [], []
             for low in range(0, len(names), 256):
-                for name, raw in zip(names[low:low + 256], ids.encode([t or "" for t in texts[low:low + 256]]), strict=True):
+                for raw in ids.encode([t or "" for t in texts[low:low + 256]]):
                     raw += end
-                    total = len(raw) // 4
+                    totals.append(len(raw) // 4)
                     view = memoryview(raw)
-                    for start in range(0, total, size):
-                        piece = view[4 * start:4 * (start + size)]
-                        for values, v in zip(out, (name, start, len(piece) // 4, zlib.crc32(piece), total), strict=True):
-                            values.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    sums += [zlib.crc32(view[at:at + 4 * size]) for at in range(0, len(raw), 4 * size)]
+            total = np.array(totals, np.int64)
+            counts = -(-total // size)
+            row = np.repeat(np.arange(len(total)), counts)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(np.minimum(total[row] - start, size)),
+                 pa.array(sums, pa.int64()), pa.array(total[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(cut, schema)
