@@ -26,6 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.tables: list[str] = []
 
     def path(self, name: str, result: bool = False) -> str:
         path = f"{self.root}/{len(self.paths)}-{name}"
@@ -37,7 +38,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """``store``, in as many buckets by ``key`` as shuffles have partitions: joins by it move the other side only."""
+        n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+        path, table = self.path(name), f"scratch_{uuid.uuid4().hex}"
+        (df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).format("parquet")
+         .option("path", path).saveAsTable(table))
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def clear(self) -> None:
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
         jvm = self.spark._jvm
         for path in filter(None, self.paths):
             target = jvm.org.apache.hadoop.fs.Path(path)

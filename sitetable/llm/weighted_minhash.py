@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name:
             yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("key"), pa.array(out, pa.float64()),
                                               pa.array(plain, pa.float64())], ["centre", "key", "weighted", "plain"])
 
-    # texts always move by key, as they must at scale: a broadcast that only a small corpus allows tells nothing of a large one
+    # texts lie in buckets by key, so pairs move to them; no broadcast that only a small corpus would allow
     pairs = scratch.store(pairs.join(texts.hint("merge"), "key"), f"{name}-left")
     right = texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text"))
     both = salted_join(pairs, right, "centre", F.xxhash64("key"), hint="merge")
@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = scratch.store(members.select("key").distinct().join(texts.select("key", "id"), "key"), "needed")
     whole = docs.select(text_key(col(text_col)).alias("key"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     bodies = whole.join(needed.hint("merge"), (whole.key == needed.key) & whole.id.eqNullSafe(needed.id), "left_semi")
-    bodies = scratch.store(bodies.dropDuplicates(["key", "id"]).select("key", "text"), "bodies")
+    # in buckets: every round fetches the texts of its own pairs, and the others stay where they are
+    bodies = scratch.bucketed(bodies.dropDuplicates(["key", "id"]).select("key", "text"), "bodies", "key")
     alike = F.greatest("weighted", "plain") >= threshold
     seen, before = None, float("inf")
     while True:
