@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,57 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
-def touch(spark: SparkSession, path: str) -> None:
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
     system, target = _hadoop(spark, path)
-    system.create(target, True).close()
+    return [status.getPath().getName() for status in system.listStatus(target)] if system.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, target = _hadoop(spark, path)
+    stream = system.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _write_bytes(system, target, text: str) -> None:
+    stream = system.create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def overwrite(spark: SparkSession, path: str, text: str) -> None:
+    """Make or replace a small file whole: readers see the old text or the new one."""
+    system, target = _hadoop(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.tmp")
+    _write_bytes(system, staged, text)
+    system.delete(target, False)
+    system.rename(staged, target)
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file, whole, unless it is there; of several who try at once one succeeds."""
+    system, target = _hadoop(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.tmp")
+    _write_bytes(system, staged, text)
+    try:
+        if system.getUri().getScheme() == "file":  # a local rename would replace the file, a link does not
+            os.link(staged.toUri().getPath(), target.toUri().getPath())
+        else:
+            hadoop = spark._jvm.org.apache.hadoop
+            context = hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+            context.rename(staged, target, spark._sc._gateway.new_array(hadoop.fs.Options.Rename, 0))
+        return True
+    except (FileExistsError, Py4JJavaError) as error:
+        if isinstance(error, Py4JJavaError) and "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        return False
+    finally:
+        system.delete(staged, False)
 
 
 def matching(spark: SparkSession, pattern: str) -> list[str]:
