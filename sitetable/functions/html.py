@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -39,7 +41,7 @@ DATA_TAGS = ("table", "tr", "td", "th")
 ELEMENT_TAGS = INTERACTIVE_TAGS + DATA_TAGS
 TEXT_LIMIT = 300
 
-PARTS = ("title", "text", "elements", "links", "forms", "tables")  # besides: "signals" for page types, "cut" where max_depth is given
+PARTS = ("title", "text", "elements", "links", "forms", "tables")  # besides: "signals" for page types, "cut" where max_depth is given, "nodes" for selectors
 
 _DDL = {
     "title": "string",
@@ -52,6 +54,7 @@ _DDL = {
     "tables": "array<struct<header:array<string>,rows:array<array<string>>>>",
     "signals": "struct<inputs:int,submit:boolean,form_inputs:array<string>>",
     "cut": "boolean",
+    "nodes": "array<struct<pos:int,end:int,up:int,nth:int,tag:string,attributes:map<string,string>>>",
 }
 _ARROW = {
     "title": pa.string(),
@@ -69,6 +72,8 @@ _ARROW = {
         ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])),
     "signals": pa.struct([("inputs", pa.int32()), ("submit", pa.bool_()), ("form_inputs", pa.list_(pa.string()))]),
     "cut": pa.bool_(),
+    "nodes": pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("up", pa.int32()), ("nth", pa.int32()), ("tag", pa.string()),
+                                 ("attributes", pa.map_(pa.string(), pa.string()))])),
 }
 
 _VOID = frozenset("area base basefont br col embed frame hr img input isindex link meta param source track wbr".split())
@@ -159,6 +164,8 @@ class _Page:
         self._flush()
         while self.open:
             self._pop()
+        self._whole = "".join(self.strings)
+        self._offsets = [0, *accumulate(map(len, self.strings))]
 
     def _read(self, html: str) -> None:
         at = 0
@@ -275,18 +282,11 @@ class _Page:
 
     # -- results ----------------------------------------------------------
     def full_text(self, node: _Node) -> str:
-        return "".join(self.strings[node.text_from:node.text_to])
+        return self._whole[self._offsets[node.text_from]:self._offsets[node.text_to]]
 
     def short_text(self, node: _Node, limit: int | None) -> str:
-        if limit is None:
-            return self.full_text(node)
-        out, size = [], 0
-        for i in range(node.text_from, node.text_to):
-            out.append(self.strings[i])
-            size += len(self.strings[i])
-            if size >= limit:
-                break
-        return "".join(out)[:limit]
+        start, end = self._offsets[node.text_from], self._offsets[node.text_to]
+        return self._whole[start:end if limit is None else min(end, start + limit)]
 
 
 def _elements(page: _Page, tags: frozenset[str], text_limit: int | None) -> list[dict]:
@@ -295,19 +295,27 @@ def _elements(page: _Page, tags: frozenset[str], text_limit: int | None) -> list
             for n in page.nodes if n.tag in tags]
 
 
+_FIELDS = ("input", "select", "textarea")
+
+
 def _forms(page: _Page) -> list[dict]:
+    fields = [n for n in page.nodes if n.tag in _FIELDS]
+    at = [n.pos for n in fields]
+    inputs = [{"tag": n.tag, "name": n.attrs.get("name"), "type": n.attrs.get("type"),
+               "placeholder": n.attrs.get("placeholder"), "required": "required" in n.attrs} for n in fields]
     return [{"action": form.attrs.get("action"), "method": form.attrs.get("method", "get"),
-             "inputs": [{"tag": n.tag, "name": n.attrs.get("name"), "type": n.attrs.get("type"),
-                         "placeholder": n.attrs.get("placeholder"), "required": "required" in n.attrs}
-                        for n in page.nodes[form.pos + 1:form.end] if n.tag in ("input", "select", "textarea")]}
+             "inputs": inputs[bisect_right(at, form.pos):bisect_left(at, form.end)]}
             for form in page.nodes if form.tag == "form"]
 
 
 def _signals(page: _Page) -> dict:
     """What page types are told by: inputs, a submit button, the types of inputs in forms."""
-    fields = ("input", "select", "textarea")
-    kinds = {n.attrs["type"] for form in page.nodes if form.tag == "form"
-             for n in page.nodes[form.pos + 1:form.end] if n.tag in fields and "type" in n.attrs}
+    kinds, covered = set(), 0  # up to where the forms so far reach
+    for n in page.nodes:
+        if n.tag in _FIELDS and "type" in n.attrs and n.pos < covered:
+            kinds.add(n.attrs["type"])
+        elif n.tag == "form":
+            covered = max(covered, n.end)
     return {"inputs": sum(n.tag == "input" for n in page.nodes),
             "submit": any(n.tag == "button" or n.tag in INTERACTIVE_TAGS and n.attrs.get("type") == "submit" for n in page.nodes),
             "form_inputs": sorted(kinds)}
@@ -361,6 +369,9 @@ def parse_page(html: str, parts: Iterable[str] = PARTS, tags: Iterable[str] = EL
             record[part] = _signals(page)
         elif part == "cut":
             record[part] = page.cut
+        elif part == "nodes":
+            record[part] = [{"pos": n.pos, "end": n.end, "up": None if n.parent is None else n.parent.pos, "nth": n.nth,
+                             "tag": n.tag, "attributes": list(n.attrs.items())} for n in page.nodes]
     return record
 
 

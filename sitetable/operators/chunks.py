@@ -4,7 +4,8 @@
 inside (keys, chunk) and only one summary row per chunk is windowed per key.
 ``running_total`` is a prefix sum over a global order: the order is cut into range
 slices, slices are summed, and each slice starts from the total before it.
-Both are exact for any choice of chunk or number of slices.
+Both are exact for any choice of chunk or number of slices. ``medians`` selects by counting: ranges of values are
+counted, and only the range that holds the middle is counted again, more finely.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from sitetable.session import checkpointed
@@ -74,3 +76,37 @@ def running_total(df: DataFrame, order: Sequence[str], amount: str, out: str,
     return (rows.join(before, "_slice")
                 .withColumn(out, F.col("_offset") + F.sum(amount).over(inside))
                 .drop("_slice", "_offset"))
+
+
+STEP_BITS = 16
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): the exact lower median of a whole-number column per key; keys without a value are left out.
+
+    Every round counts at most 2^16 ranges per key, before anything moves, so neither many distinct values nor a
+    key with most rows make a large group: two rounds for 32-bit numbers, four for 64-bit ones.
+    """
+    kind = rows.schema[value].dataType
+    bits = {T.ByteType(): 8, T.ShortType(): 16, T.IntegerType(): 32, T.LongType(): 64}.get(kind)
+    if bits is None:
+        raise ValueError(f"{value} is no whole number: {kind.simpleString()}")
+    rows = rows.select(F.col(key).alias("_key"), F.col(value).cast("long").alias("_value")).filter("_value IS NOT NULL")
+    found = None
+    for shift in range(max(0, bits - STEP_BITS), -1, -STEP_BITS):
+        part = F.shiftright("_value", shift)  # keeps the order of negative numbers too
+        if found is None:
+            counts = rows.groupBy("_key", part.alias("_part")).agg(F.count("*").alias("_n"))
+            total = counts.groupBy("_key").agg(F.floor((F.sum("_n") + 1) / 2).alias("_rank"))
+        else:
+            inside = rows.alias("r").join(found.alias("f"), F.col("r._key").eqNullSafe(F.col("f._key")) & (
+                F.shiftright("r._value", shift + STEP_BITS) == F.col("f._part")))
+            counts = inside.groupBy("r._key", F.shiftright("r._value", shift).alias("_part")).agg(F.count("*").alias("_n"))
+            total = found.select("_key", "_rank")
+        upto = W.Window.partitionBy("_key").orderBy("_part").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+        ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).alias("c").join(
+            total.alias("t"), F.col("c._key").eqNullSafe(F.col("t._key")))
+        before = F.col("_upto") - F.col("_n")
+        found = checkpointed(ranked.filter((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(
+            "c._key", "_part", (F.col("_rank") - before).alias("_rank")))  # one row per key
+    return found.select(F.col("_key").alias(key), F.col("_part").cast(kind).alias("median"))

@@ -11,7 +11,8 @@ from sitetable.functions import roles
 from sitetable.functions.html import DATA_TAGS, ELEMENT_TAGS, INTERACTIVE_TAGS, PARTS, TEXT_LIMIT, parse_html
 from sitetable.functions.page_types import page_signals, page_type
 from sitetable.functions.text import content_hash, content_key
-from sitetable.operators.chunks import changes
+from sitetable.operators.chunks import changes, in_slices
+from sitetable.session import checkpointed
 
 SIGNAL_PARTS = ("title", "signals")
 
@@ -181,13 +182,14 @@ def latest_pages(pages: DataFrame, url: str | None = None, key: str = "id") -> D
     return pages.join(keep, F.col(key) == F.col("_keep"), "left_semi")
 
 
-def page_versions(snapshots: DataFrame, key: str = "id", chunk: str = "day") -> DataFrame:
+def page_versions(snapshots: DataFrame, key: str = "id", slices: int | None = None) -> DataFrame:
     """Version number and change flag per snapshot: a URL's version rises when its content hash changes.
 
-    Works on (key, url, collected_at, hash) only. ``chunk`` is the time unit in
-    which a busy URL is split over tasks; the result does not depend on it.
+    Works on (key, url, collected_at, hash) only, in range slices of (url, collected_at, key): a busy URL is many
+    slices, whatever its times are, also with all of them null; what passes from slice to slice is one row each.
     """
-    slim = snapshots.select(key, "url", "collected_at", content_hash("html").alias("content_hash"))
-    seen = changes(slim, ["url"], ["collected_at", key], "content_hash", F.date_trunc(chunk, "collected_at"))
+    slim = checkpointed(snapshots.select(key, "url", "collected_at", content_hash("html").alias("content_hash")))
+    order = ["collected_at", key]
+    seen = changes(in_slices(slim, ["url", *order], slices), ["url"], order, "content_hash", F.col("_slice"))
     return seen.select(key, "url", "collected_at", "content_hash", F.col("previous").alias("previous_hash"),
                        "changed", (F.col("change_no") + 1).cast("int").alias("version"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetable.functions.text import content_key
-from sitetable.operators.chunks import changes
+from sitetable.operators.chunks import changes, medians
 from sitetable.schemas import conform
 
 STEP_LOG = ("array<struct<step_index:int,action_type:string,status:string,duration_ms:int,retry_count:int,"
@@ -118,13 +118,15 @@ def _for_all(per_trajectory: DataFrame, trajectories: DataFrame | None, empty: d
 
 
 def effort_by_action(steps: DataFrame) -> DataFrame:
-    """Retries and durations by action type; the median is exact (state: a count per distinct duration)."""
-    return steps.groupBy("action_type").agg(
+    """Retries and durations by action type; the median is the exact lower one."""
+    totals = steps.groupBy("action_type").agg(
         F.count("*").alias("n_steps"), F.avg("retry_count").alias("avg_retries"),
         F.max("retry_count").alias("max_retries"), F.avg("duration_ms").alias("avg_duration_ms"),
-        F.max("duration_ms").alias("max_duration_ms"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)")
-         .cast(steps.schema["duration_ms"].dataType).alias("median_duration_ms"))
+        F.max("duration_ms").alias("max_duration_ms"))
+    middle = medians(steps, "action_type", "duration_ms").withColumnRenamed("median", "median_duration_ms")
+    # null-safe: an unnamed action type is a group too
+    return totals.join(middle.withColumnRenamed("action_type", "_type"), F.col("action_type").eqNullSafe(F.col("_type")), "left") \
+                 .drop("_type")
 
 
 def page_runs(pages: DataFrame, trajectories: DataFrame, steps: DataFrame,

@@ -14,7 +14,7 @@ from sitetable.functions.text import content_hash, content_key
 from sitetable.operators.pages import classify_parsed, elements_table, parse_pages
 from sitetable.operators.sync import map_fields
 from sitetable.schemas import conform
-from sitetable.session import read_or_none, remove
+from sitetable.session import checkpointed, read_or_none, remove
 from sitetable.sources.audit import LOG_LINE
 from sitetable.sources.snapshots import PAGE_TEXTS
 from sitetable.sources.targets import open_target
@@ -50,20 +50,38 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("n_events", "batch").alias("n_events"))
 
 
+ASIDE_IDS = 1_000_000  # ids of 64 characters: about 100 MB in a broadcast
+
+
 def fresh_snapshots(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Snapshots with content hash, id and day; those sent again, here or in ``stored`` (id, day), are dropped.
 
     The id covers url, content and time of collection, so a page that changes and changes back is a new snapshot
     each time, and however late a snapshot comes it is kept. Of ``stored`` only the days at hand are read.
+    Ids are compared on their own. Only those that were sent before, or twice here, meet the pages: by broadcast up
+    to ``ASIDE_IDS`` of them, by shuffle beyond; the html of pages sent once does not move before that.
     """
     keyed = pages.withColumn("content_hash", content_hash("html"))
     keyed = keyed.withColumn("id", content_key("url", "content_hash", "collected_at")) \
-                 .withColumn("day", F.coalesce(F.date_format("collected_at", "yyyy-MM-dd"), F.lit("none"))) \
-                 .dropDuplicates(["id"])
+                 .withColumn("day", F.coalesce(F.date_format("collected_at", "yyyy-MM-dd"), F.lit("none")))
+    ids = checkpointed(keyed.groupBy("id", "day").agg(F.count("*").alias("n")))
     if stored is None:
+        aside = ids.select("id", F.lit(False).alias("known"), "n")
+    else:
+        days = [r[0] for r in ids.select("day").distinct().collect()]  # one row per day of collection
+        before = stored.filter(F.col("day").isin(*days)).select("id").distinct() if days else stored.select("id").limit(0)
+        aside = ids.join(before.withColumn("_known", F.lit(True)), "id", "left").select(
+            "id", F.col("_known").isNotNull().alias("known"), "n")
+    aside = checkpointed(aside.filter(F.col("known") | (F.col("n") > 1)))
+    n_aside, n_twice = aside.agg(F.count("*"), F.count_if(~F.col("known"))).first()
+    if not n_aside:
         return keyed
-    days = [r[0] for r in keyed.select("day").distinct().collect()]  # one row per day of collection
-    return keyed.join(stored.filter(F.col("day").isin(*days)).select("id"), "id", "left_anti") if days else keyed
+    near = F.broadcast if n_aside <= ASIDE_IDS else (lambda df: df)
+    once = keyed.join(near(aside.select("id")), "id", "left_anti")
+    if not n_twice:
+        return once
+    twice = keyed.join(near(aside.filter(~F.col("known")).select("id")), "id", "left_semi").dropDuplicates(["id"])
+    return once.unionByName(twice)
 
 
 def understand(snapshots: DataFrame, redacted: bool = True) -> DataFrame:

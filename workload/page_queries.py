@@ -8,8 +8,11 @@ from sitetable.functions import text as T
 from sitetable.functions.html import ELEMENT_TAGS, INTERACTIVE_TAGS
 from sitetable.functions.page_types import SIGNALS
 from sitetable.operators import pages as P
+from sitetable.operators.selectors import found_by_selector, replay_on_pages
 from sitetable.operators.steps import replay
 from sitetable.plans import actions as A
+from sitetable.session import scratch_dir
+from sitetable.sources.pagestore import PageStore
 from sitetable.sources.snapshots import boxed_elements, boxes, requests, to_pages
 from workload.inputs import (ACCOUNT_SQL, PAGE_SNAPSHOTS_SQL, SITE_PAGES_SQL, account_pages, page_snapshots,
                              site_pages, table, text, with_sql)
@@ -208,15 +211,6 @@ def page_types(spark, sf):
         "id", "page_type", F.round("confidence", 6).alias("confidence"))
 
 
-@query("E2 E9 E10", with_sql(SITE_PAGES_SQL, _SIGNALS, _TYPES, select="""
-SELECT page_type, count(*) AS n_pages, count(DISTINCT site_id) AS n_sites, round(avg(share), 6) AS avg_confidence
-FROM typed GROUP BY 1"""))
-def page_type_summary(spark, sf):
-    return (P.classify_pages(site_pages(spark, sf)).groupBy("page_type")
-            .agg(F.count("*").alias("n_pages"), F.countDistinct("site_id").alias("n_sites"),
-                 F.round(F.avg("confidence"), 6).alias("avg_confidence")))
-
-
 _ACCOUNT_SIGNALS = ACCOUNT_SQL + """,
 signals AS (
   SELECT id, CAST(c_nationkey AS VARCHAR) AS site_id, b1 AS has_password_field, FALSE AS has_login_keyword,
@@ -226,6 +220,20 @@ signals AS (
   FROM account)"""
 
 
+@query("E2 E9 E10", with_sql(
+    SITE_PAGES_SQL, _SIGNALS.replace("signals AS (", "site_signals AS ("), _ACCOUNT_SIGNALS.replace("signals AS (", "account_signals AS ("),
+    "signals AS (SELECT * FROM site_signals UNION ALL BY NAME SELECT * FROM account_signals)", _TYPES, select="""
+SELECT page_type, count(*) AS n_pages, count(DISTINCT site_id) AS n_sites, round(avg(share), 6) AS avg_confidence
+FROM typed GROUP BY 1"""))
+def page_type_summary(spark, sf):
+    """All pages, collected and of accounts, by their type."""
+    columns = ("id", "site_id", "url", "html")
+    pages = site_pages(spark, sf).select(*columns).unionByName(account_pages(spark, sf).select(*columns))
+    return (P.classify_pages(pages).groupBy("page_type")
+            .agg(F.count("*").alias("n_pages"), F.countDistinct("site_id").alias("n_sites"),
+                 F.round(F.avg("confidence"), 6).alias("avg_confidence")))
+
+
 @query("E9 E10 A7", with_sql(_ACCOUNT_SIGNALS, _TYPES, select=f"""
 SELECT typed.id AS id, page_type, confidence, {', '.join(SIGNALS)} FROM typed JOIN signals ON typed.id = signals.id"""))
 def account_page_types(spark, sf):
@@ -247,6 +255,17 @@ def latest_pages(spark, sf):
         "id", "url", "version", T.content_hash("html").alias("content_hash"))
 
 
+@query("W1 S4", with_sql(PAGE_SNAPSHOTS_SQL, select="""
+SELECT id, url, version, sha256(html) AS content_hash, md5(html) AS html_md5 FROM page_snapshots
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY version DESC, collected_at DESC, id) = 1"""))
+def latest_stored_pages(spark, sf):
+    """Snapshots stored in two batches, every html once in buckets; the latest of each URL, html included."""
+    store, pages = PageStore(spark, scratch_dir(spark, "page-store")), page_snapshots(spark, sf)
+    store.add(pages.filter("version < 3"))
+    store.add(pages.filter("version > 1"))  # the second version comes twice
+    return store.latest().select("id", "url", "version", "content_hash", F.md5("html").alias("html_md5"))
+
+
 @query("W3 E11", with_sql(PAGE_SNAPSHOTS_SQL, select="""
 SELECT id, url, content_hash, previous_hash, coalesce(previous_hash <> content_hash, FALSE) AS changed,
        CAST(1 + sum(CASE WHEN previous_hash <> content_hash THEN 1 ELSE 0 END)
@@ -274,6 +293,17 @@ def text_shapes(spark, sf):
                        T.clip("text", 300).alias("head"), T.count_of(F.lower("text"), "the").alias("n_the"))
 
 
+@query("F10", """SELECT c_custkey, lower(c_mktsegment) || ' n-' || c_nationkey AS classes, '  as  it  is ' AS title FROM customer""")
+def flat_attribute_lists(spark, sf):
+    """An attribute that is a list of names is one text, one blank between names; other attributes stay as they are."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("id"), F.concat(
+        F.lit('<a href="/x" title="  as  it  is " class="  '), F.lower("c_mktsegment"), F.lit("\t \n n-"), text("c_nationkey"),
+        F.lit(' ">x</a>')).alias("html"))
+    found = P.elements_table(rows).select(F.col("page_id").cast("long").alias("c_custkey"), F.col("attributes")["class"].alias("classes"),
+                                          F.col("attributes")["title"].alias("title"))
+    return found
+
+
 # -- request logs and boxes --------------------------------------------------
 
 def _with_har(spark, sf):
@@ -440,3 +470,32 @@ def replayed_selectors(spark, sf):
                                                         "form > input:nth-of-type(2)").otherwise("#lost"),
                                  F.lit("form > button")).alias("fallback_selectors"))
     return replay(tried, P.elements_table(pages))
+
+
+@query("J7", with_sql(ACCOUNT_SQL, """asked AS (
+  SELECT id, b.s AS selector, b.n AS n_found FROM (SELECT id, unnest([
+    {s: 'input[name=q]', n: b2::INT}, {s: 'form > input[type="password"][required]', n: b1::INT}, {s: 'body form button', n: 1},
+    {s: 'table tr:nth-of-type(2) > td', n: 3}, {s: 'a.next[href^="/list"]', n: b0::INT}, {s: 'a', n: 1 + b0::INT},
+    {s: '#f' || id || ', [aria-label=Holder]', n: (b0 OR b3)::INT}, {s: 'form a', n: 0}, {s: 'tr > input', n: 0},
+    {s: 'input:hover', n: 0}]) AS b FROM account))"""
+    , select="SELECT id AS page_id, selector, selector <> 'input:hover' AS known, n_found FROM asked"))
+def found_selectors(spark, sf):
+    """Selectors as people write them, on every account page."""
+    pages = account_pages(spark, sf)
+    asked = F.array(*[F.lit(s) for s in (
+        "input[name=q]", 'form > input[type="password"][required]', "body form button", "table tr:nth-of-type(2) > td",
+        'a.next[href^="/list"]', "a", "form a", "tr > input", "input:hover")],
+        F.concat(F.lit("#f"), F.col("id"), F.lit(", [aria-label=Holder]")))
+    selectors = pages.select(F.col("id").alias("page_id"), F.explode(asked).alias("selector"))
+    return found_by_selector(pages, selectors).drop("first_pos")
+
+
+@query("J7", with_sql(ACCOUNT_SQL, select="""
+SELECT id, id AS page_id, b0 OR b1 OR b2 AS resolved, CAST(CASE WHEN b2 THEN 0 WHEN b1 THEN 1 WHEN b0 THEN 2 END AS INTEGER) AS selector_rank,
+       CASE WHEN b2 THEN 'input[name=q]' WHEN b1 THEN 'form input[name="pw"]' WHEN b0 THEN 'a.next' END AS resolved_selector FROM account"""))
+def replayed_css_selectors(spark, sf):
+    """Steps whose selectors were written by hand, replayed on the saved pages."""
+    pages = account_pages(spark, sf)
+    steps = pages.select("id", F.col("id").alias("page_id"), F.lit("input[name=q]").alias("selector"),
+                         F.array(F.lit('form input[name="pw"]'), F.lit("a.next")).alias("fallback_selectors"))
+    return replay_on_pages(steps, pages)

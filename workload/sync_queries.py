@@ -200,6 +200,44 @@ def upserted_target(spark, sf):
     return target.read("orders")
 
 
+@query("Y4 R3", """SELECT o_orderkey AS order_id, o_orderstatus,
+  CASE WHEN o_orderkey % 7 = 0 THEN 9 WHEN o_orderkey % 50 = 0 THEN 8 ELSE 0 END AS n,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'seven' END AS note FROM orders""")
+def compacted_target(spark, sf):
+    """Ten upserts by key: whole rows, then eight of a column of some rows, then another column: deltas and rewrites."""
+    target = open_target(spark, "parquet", scratch_dir(spark, "compacted"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), "o_orderstatus", F.lit(0).alias("n"))
+    target.upsert(rows, "orders", ["order_id"])
+    for n in range(1, 9):
+        target.upsert(rows.filter("order_id % 50 = 0").select("order_id", F.lit(n).alias("n")), "orders", ["order_id"])
+    target.upsert(rows.filter("order_id % 7 = 0").select("order_id", F.lit(9).alias("n"), F.lit("seven").alias("note")),
+                  "orders", ["order_id"])
+    return target.read("orders")
+
+
+@query("Y2 Y4", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 2 ELSE 1 END AS n_rows,
+  CAST(c_custkey % 4 AS INTEGER) AS task FROM customer""")
+def side_by_side_syncs(spark, sf):
+    """Four tasks sync their customers into one table at once, one of them by appending twice: nothing is lost or doubled."""
+    path, customers = scratch_dir(spark, "side-by-side"), table(spark, sf, "customer")
+    ids = spark.range(4).select(text("id").alias("id"))
+    tasks = Y.register_tasks(ids.select("id", F.lit("s").alias("site_id"), F.lit("https://d.example/list").alias("source_url"),
+                                        F.lit("parquet").alias("target_type"), F.lit(path).alias("target_path")))
+    part = lambda i: customers.filter(F.col("c_custkey") % 4 == i).select("c_custkey", F.lit(i).alias("task"))
+    first = Y.run_syncs(tasks, {str(i): part(i) for i in range(3)}, keys=["c_custkey"])
+    both = Y.run_syncs(tasks, {"3": part(3)}) + Y.run_syncs(tasks, {"3": part(3)})
+    assert all(r.status == "success" for r in first + both), [r.error for r in first + both]
+    return open_target(spark, "parquet", path).read("d_example_list").groupBy("c_custkey", "task").agg(F.count("*").cast("int").alias("n_rows"))
+
+
+@query("S2 S3", """SELECT doc_id::VARCHAR AS doc_id, md5(replace(text, '  ', ' "' || chr(10))) AS text_md5, lang FROM documents""")
+def csv_with_line_breaks(spark, sf):
+    """Texts with line breaks and quotes, written as CSV and read back in byte ranges."""
+    target = open_target(spark, "csv", scratch_dir(spark, "csv-breaks"))
+    target.append(table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("  "), F.lit(' "\n')).alias("text"), "lang"), "docs")
+    return target.read("docs").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
 def _site_tables(spark, sf):
     pages = user_pages(spark, sf)
     return {
