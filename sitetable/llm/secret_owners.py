@@ -26,52 +26,109 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # a whole run of at least 18: AKIA[A-Z0-9]+ witho
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
-# a further candidate: a long run with a letter and a digit
-LONG = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# a further candidate: a long run, of those with a letter and a digit
+LONG = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 EXAMPLES, COPIES = 3, 20
 LEAST_DISTINCT = 8
 
 
+RUN = 256  # values that are added up in one go; a growing array is copied at every value
+CHUNK = 4096  # code points; a long text's parts are found by way of its chunks
+
+
+def _with(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _running(values: Column, combine) -> Column:
+    """The values of an array combined (added up, or the greatest) up to each; near linear in the array's length.
+
+    Runs of RUN values first, then what is before each run.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).cast("int").alias("last"), none.alias("out"))
+
+    def step(state, x):
+        now = F.when(state["last"].isNull(), x).otherwise(combine(state["last"], x))
+        return F.struct(now.alias("last"), F.concat(state["out"], F.array(now)).alias("out"))
+
+    def whole(array):
+        return F.aggregate(array, start, step, lambda st: st["out"])
+
+    def runs_of(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(held) / RUN).cast("int") - 1, F.lit(0))),
+                           lambda i: whole(F.slice(held, i * RUN + 1, F.lit(RUN))))
+
+    def shifted(runs: Column) -> Column:
+        before = whole(F.transform(F.slice(runs, F.lit(1), F.size(runs) - 1), lambda r: F.element_at(r, -1)))
+        return F.flatten(F.concat(F.slice(runs, 1, 1), F.zip_with(
+            F.slice(runs, F.lit(2), F.size(runs) - 1), before, lambda r, b: F.transform(r, lambda v: combine(b, v)))))
+
+    return F.when(F.size(values) > 0, _with(values, lambda held: _with(runs_of(held), shifted))).otherwise(none)
+
+
+def _added(values: Column) -> Column:
+    return _running(values, lambda a, b: a + b)
+
+
 def _found(text: Column, pattern: str, hint: str | None = None, value_group: int = 0) -> Column:
     """Matches with their code point spans: the pieces between the matches tell where each begins."""
-    pairs = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        ends = _added(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)))
+        values = hits if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
+        return F.transform(F.arrays_zip(hits.alias("hit"), ends.alias("end"), values.alias("value")), lambda m: F.struct(
+            (m["end"] - F.length(m["hit"])).alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
-    def step(state, x):
-        begin = state["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(
-            begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    spans = _with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return F.when(text.rlike(hint or pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
-    # the last piece has no match after it
-    matches = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step, lambda s: s["out"])
-    return F.when(text.rlike(hint or pattern), matches).otherwise(empty)
+
+def _apart(runs: str, assigned: str) -> Column:
+    """The runs that share no code point with an assigned span: both are sorted and disjoint among themselves.
+
+    In the order of starts a run meets an assigned span after it only if that is the next of all, and one before
+    it only if the assigned spans before it reach beyond its start.
+    """
+    def marked(name: str, own: int) -> Column:
+        return F.transform(name, lambda m: F.struct(m["start"].alias("start"), F.lit(own).alias("own"), m["end"].alias("end"), m["value"].alias("value")))
+
+    def free(both: Column) -> Column:
+        reach = _running(F.transform(both, lambda m: F.when(m["own"] == 0, m["end"]).otherwise(0)), F.greatest)
+        following = F.slice(both, F.lit(2), F.size(both))
+        trio = F.arrays_zip(both.alias("m"), reach.alias("reach"), following.alias("next"))
+        left = F.filter(trio, lambda p: (p["m"]["own"] == 1) & (p["reach"] <= p["m"]["start"]) & F.coalesce(
+            (p["next"]["own"] == 1) | (p["next"]["start"] >= p["m"]["end"]), F.lit(True)))
+        return F.transform(left, lambda p: F.struct(p["m"]["start"].alias("start"), p["m"]["end"].alias("end"), p["m"]["value"].alias("value")))
+
+    kept = _with(F.array_sort(F.concat(marked(assigned, 0), marked(runs, 1))), free)
+    return F.when(F.size(runs) == 0, F.col(runs)).when(F.size(assigned) == 0, F.col(runs)).otherwise(kept)
 
 
 def base_spans(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` and ``cands``: all base spans and further candidates as (start, kind number, end, value)."""
+    """``keep`` and ``cands``: all base spans and further candidates as (start, kind number, end, value).
+
+    Each step is linear in the text, or nearly. An access key or hex value lies wholly in a run of token characters, so whether
+    a run has one is told by the run itself; only assigned values are compared by place.
+    """
     body = F.coalesce(text, F.lit(""))
     step = docs.select(*keep, body.alias("_text"))
     step = step.withColumns({
         "_assign": F.filter(_found(F.col("_text"), ASSIGN, ASSIGN_HINT, 2), lambda m: F.length(m["value"]) >= ASSIGN_LEAST),
         "_access": _found(F.col("_text"), ACCESS), "_hex": _found(F.col("_text"), HEX),
-        "_long": F.filter(_found(F.col("_text"), LONG), lambda m: m["value"].rlike("[A-Za-z]")),
+        "_long": F.filter(_found(F.col("_text"), LONG), lambda m: m["value"].rlike("[A-Za-z]") & m["value"].rlike("[0-9]")
+                          & ~m["value"].rlike(HEX) & ~m["value"].rlike(ACCESS)),
     })
 
     def tagged(name, kind):
         return F.transform(name, lambda m: F.struct(
             m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
-    base = F.concat(tagged("_assign", 0), tagged("_access", 1), tagged("_hex", 2))
-    step = step.withColumn("_base", base)
-    own = F.filter(tagged("_long", 3), lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    return step.select(*[c for c in step.columns if not c.startswith("_")],
-                       F.array_sort(F.concat("_base", own)).alias("cands"))
+    step = step.withColumn("_own", _apart("_long", "_assign"))
+    return step.select(*[c for c in step.columns if not c.startswith("_")], F.array_sort(F.concat(
+        tagged("_assign", 0), tagged("_access", 1), tagged("_hex", 2), tagged("_own", 3))).alias("cands"))
 
 
 def _joined(spans: Column) -> Column:
@@ -150,15 +207,23 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     joined = packed.withColumn("key", row_key(F.col("row")[id_col], F.col("row")[text_col])).join(told, "key", "left")
     body = F.col("row")[text_col]
 
-    def step(state, s):
-        # overlapping spans are masked as one
-        begin = F.greatest(state["at"], s["start"])
-        piece = F.when(s["end"] <= state["at"], "").otherwise(F.concat(
-            F.substring(body, state["at"] + 1, begin - state["at"]),
-            F.when((s["start"] < state["at"]), "").otherwise(placeholder)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
+    # what is before each span: the reach of all spans before it; overlapping spans are masked as one
+    joined = joined.withColumns({
+        "reach": _running(F.transform("found", lambda s: s["end"]), F.greatest),
+        "chunks": F.when(F.col("found").isNotNull(), F.transform(
+            F.sequence(F.lit(0), F.floor(F.length(body) / CHUNK).cast("int")), lambda i: F.substring(body, i * CHUNK + 1, F.lit(CHUNK))))})
+
+    def part(begin: Column, end: Column) -> Column:
+        """The text from one place to another, from its chunks."""
+        pieces = F.transform(F.sequence(F.floor(begin / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")), lambda c: F.substring(
+            F.get("chunks", c), F.greatest(begin - c * CHUNK, F.lit(0)) + 1,
+            F.least(end - c * CHUNK, F.lit(CHUNK)) - F.greatest(begin - c * CHUNK, F.lit(0))))
+        return F.when(end > begin, F.array_join(pieces, "")).otherwise("")
+
+    def before_and_mark(s: Column, i: Column) -> Column:
+        at = F.coalesce(F.get("reach", i - 1), F.lit(0))
+        return F.concat(part(at, s["start"]), F.when(s["start"] >= at, placeholder).otherwise(""))
 
-    masked = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                         lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+    masked = F.concat(F.array_join(F.transform("found", before_and_mark), ""), part(F.element_at("reach", -1), F.length(body)))
     new = F.when(F.col("found").isNull(), body).otherwise(masked)
     return joined.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in names])
