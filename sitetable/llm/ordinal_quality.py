@@ -3,7 +3,7 @@
 Grades 0 .. K - 1 share one weight per hashed feature; ordered thresholds t1 < t2 < ... turn a text's score s into
 P(grade >= g) = sigmoid(s - t_g), and their sum is the expected grade. Features are hashed from the whole text:
 its distinct lower-case words, and marks of its writing (shouting, words that are mostly signs, a word that follows
-itself, lines or windows that return, mean word length), both scaled to a fixed length; features of fewer than 0.4 %
+itself, lines or windows that return, mean word length), both scaled to a fixed length; features of fewer than LEAST_SHARE
 of the sample are left out, so that single documents are not learned by heart. The fit is proportional-odds
 maximum likelihood with a ridge penalty by full-batch Adam over at most ``per_grade`` labelled rows of every grade,
 taken in hash order; that sample's hashed features are all that reaches the driver. Scoring is one pass without a
@@ -11,8 +11,8 @@ shuffle.
 
 Cases: a null or blank text has no features and gets the grade probabilities of the thresholds alone; labels of ids
 that have no document, and null labels, are ignored; contradicting labels of an id count as the lowest; of
-rows that repeat a labelled id one is learned from; a grade without labels is passed over (its threshold is not
-moved by data); with labels of fewer than two grades fitting raises ValueError; rows that repeat are scored alike;
+rows that repeat a labelled id one is learned from, always the same; a grade without labels is passed over (its threshold is not
+moved by data); with labels of fewer than two grades ``fit`` raises ValueError and ``fit_with_cutoff`` selects nothing; rows that repeat are scored alike;
 an empty table gives an empty result.
 """
 
@@ -33,6 +33,7 @@ BITS = 18
 PER_GRADE = 2500
 MARK_SCALE = 3.0  # marks against words, which are many
 KEEP_GOOD = 0.99
+LEAST_SHARE = 0.004  # of the sample, for a feature to count
 CACHE_WORDS = 300_000
 SIGNS = frozenset("#*$%&|<>!?{}[]()=+~^_\\/@;:")
 
@@ -115,12 +116,13 @@ def fit_sample(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(picked), "id").select(
         F.col("grade").cast("int"), F.col("id").cast("long"), "text").mapInArrow(features, "grade int, id long, at array<long>, v array<double>")
-    rows = rows.dropDuplicates(["id"]).orderBy("id")
+    # of the rows of an id the one whose features come first by hash, whatever order they come in
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("at", "v").alias("h"), "grade", "at", "v")).alias("r")).select("r.*", "id").orderBy("id")
     return [(r["grade"], np.array(r["at"], np.int64), np.array(r["v"])) for r in rows.toLocalIterator()]
 
 
 def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], n_grades: int, ridge: float = 5e-6, steps: int = 250,
-        rate: float = 0.15, least_share: float = 0.004) -> Model:
+        rate: float = 0.15, least_share: float = LEAST_SHARE) -> Model:
     """Maximum likelihood; every grade weighs the same in sum, however rare it is."""
     grade = np.array([s[0] for s in sample])
     if len(set(grade.tolist())) < 2:
@@ -163,10 +165,16 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], n_grades: int, ridge:
 
 
 def fit_with_cutoff(sample: list[tuple[int, np.ndarray, np.ndarray]], n_grades: int, select_grade: int | None = None,
-                    keep: float = KEEP_GOOD) -> tuple[Model, float]:
-    """A model of three quarters of the sample, and the tail probability that ``keep`` of the grade's rest reach."""
+                    keep: float = KEEP_GOOD, least_share: float = LEAST_SHARE) -> tuple[Model, float]:
+    """A model of three quarters of the sample, and the tail probability that ``keep`` of the grade's rest reach.
+
+    Where those have fewer than two grades there is nothing to learn: all texts get the lowest grade, none is selected.
+    """
     grade = n_grades - 1 if select_grade is None else select_grade
-    model = fit([x for i, x in enumerate(sample) if i % 4], n_grades)
+    learned = [x for i, x in enumerate(sample) if i % 4]
+    if len({x[0] for x in learned}) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), 50.0 + np.arange(n_grades - 1)), 0.5
+    model = fit(learned, n_grades, least_share=least_share)
     rest = [x for i, x in enumerate(sample) if i % 4 == 0 and x[0] >= grade]
     if not rest:
         return model, 0.5
