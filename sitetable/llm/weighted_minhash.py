@@ -46,7 +46,8 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 DF_BITS, POOL_BITS = 17, 16
 BLOCK = 1 << 15  # shingles sampled at once
-BLOCK_TEXTS, BLOCK_CHARS = 128, 4_000_000  # texts of a block that is compared with all others of its bucket
+BLOCK_TEXTS, BLOCK_CHARS = 512, 4_000_000  # of a block that is compared with all others of its bucket; a text is sent once per block
+FEW_OPEN = 128  # members of a bucket that are compared with each other without looking for another centre
 CACHE_WORDS = 300_000
 _U = np.uint64
 
@@ -337,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = _components(links, scratch)
         left = _uncovered(members, seen, roots, threshold, scratch)
         most, open_ = left.groupBy("bucket").agg(F.count("*").cast("double").alias("n")).agg(F.max("n"), F.sum(F.col("n") * F.col("n"))).first()
-        if not most or most <= BLOCK_TEXTS or open_ > before / 2:
+        if not most or most <= FEW_OPEN or open_ > before / 2:
             break
         members, before = _centred(left.select("bucket", "key"), scratch, "open"), open_
     if most:
