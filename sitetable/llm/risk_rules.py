@@ -16,8 +16,9 @@ the one that rejects most bad documents is taken (ties: fewest good ones, then t
 bad one, or has too few labels, stays off.
 
 Cases: null and blank texts have no words and fail the base rule; a null or unlisted language counts as ``other``;
-contradicting labels of an id count as bad, null labels not at all; a labelled document is one trial however often its row
-or its text is there (texts by their hash; of an id with several texts one counts); without labels only the base rule works; an
+contradicting labels of an id count as bad, null labels not at all; a labelled id is one trial however often
+its row is there (of an id with several texts one counts), and copies under ids of their own are trials when they have labels of
+their own; without labels only the base rule works; an
 empty table gives an empty result; repeated rows are judged alike; other columns keep out of the way.
 """
 
@@ -129,7 +130,7 @@ def binomial_tail(n: Column, k: Column, rate: float | Column) -> Column:
 
 def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
             risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one cutoff per rule or null) from the stats and ``text_hash`` of documents; a row per stratum.
+    """(stratum, one cutoff per rule or null) from documents' stats; a row per stratum.
 
     The tests, a row per pool and cutoff, are stored before their tails are computed: the optimizer would
     otherwise carry the long formula through every rule.
@@ -138,10 +139,9 @@ def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality
     scratch = Scratch(spark, "tests")
     marks = labels.filter(col(quality_col).isNotNull()).groupBy(col(id_col).alias(id_col)) \
         .agg(F.min(col(quality_col)).alias("_good"))
-    # one trial per labelled id and per text: copies tell nothing new, and the bound holds for independent trials only
-    trial = F.struct("text_hash", "stratum", *STATS)
-    held = stats.join(marks, id_col).groupBy(id_col).agg(F.min(trial).alias("trial"), F.min("_good").alias("_good"))
-    held = held.groupBy("trial.text_hash").agg(F.min("trial").alias("trial"), F.min("_good").alias("_good")).select("trial.*", "_good")
+    # one trial per labelled id: rows that repeat it tell nothing new, and the bound holds for independent trials only
+    held = stats.join(marks, id_col).groupBy(id_col).agg(F.min(F.struct("stratum", *STATS)).alias("trial"), F.min("_good").alias("_good"))
+    held = held.select("trial.*", "_good")
     good, bad = F.col("_good") >= 1, F.col("_good") < 1
     tests = [(rule, c) for rule, (_, _, grid) in RULES.items() for c in grid]
     counts = held.groupBy("stratum").agg(
@@ -193,8 +193,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           **options) -> DataFrame:
     """Per document: id, the five counts, stratum, base_failed, kept."""
     scratch = Scratch(docs.sparkSession, "rules")
-    stats = base_stats(docs, col(text_col), [col(id_col).alias(id_col), col(lang_col).alias("stratum_lang"),
-                                                F.xxhash64(col(text_col)).alias("text_hash")])
+    stats = base_stats(docs, col(text_col), [col(id_col).alias(id_col), col(lang_col).alias("stratum_lang")])
     stats = stats.withColumn("stratum", stratum(F.col("stratum_lang"), F.col("n_words"))).drop("stratum_lang")
     stats = scratch.store(stats, "stats", result=True)
     found = cutoffs(stats, labels, id_col, **options)
@@ -208,8 +207,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The documents that pass, all columns kept; the text never leaves its scan task."""
     scratch = Scratch(docs.sparkSession, "rules")
     names = docs.columns
-    stats = base_stats(docs, col(text_col), [col(id_col).alias(id_col), col(lang_col).alias("stratum_lang"),
-                                                F.xxhash64(col(text_col)).alias("text_hash")])
+    stats = base_stats(docs, col(text_col), [col(id_col).alias(id_col), col(lang_col).alias("stratum_lang")])
     stats = scratch.store(stats.withColumn("stratum", stratum(F.col("stratum_lang"), F.col("n_words"))), "stats")
     found = cutoffs(stats, labels, id_col, **options)
     scratch.clear()
