@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitetable.schemas import CASCADE, TABLES
+from sitetable.schemas import CASCADE, LENGTHS, TABLES
 
 
 def quoted(names: Sequence[str]) -> list[Column]:
@@ -98,12 +98,14 @@ def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         spec = TABLES[name]
         # required and domain rules in one pass: each row gives its few breaches, counted before they move
-        tests = [("required", c, F.col(c).isNull()) for c in spec.required if c in df.columns]
-        tests += [("domain", c, ~F.col(c).isin(*domain)) for c, domain in spec.domains.items() if c in df.columns]
+        tests = [("required", c, F.col(c).isNull(), F.lit(None)) for c in spec.required if c in df.columns]
+        tests += [("domain", c, ~F.col(c).isin(*domain), F.col(c)) for c, domain in spec.domains.items() if c in df.columns]
+        # a value that is too long is told by its length
+        tests += [("length", c, F.length(c) > n, F.length(c)) for c, n in LENGTHS.get(name, {}).items() if c in df.columns]
         if tests:
             breaches = F.array_compact(F.array(*[F.when(test, F.struct(
-                F.lit(rule).alias("rule"), F.lit(c).alias("c"), F.col(c).cast("string").alias("key")))
-                for rule, c, test in tests]))
+                F.lit(rule).alias("rule"), F.lit(c).alias("c"), key.cast("string").alias("key")))
+                for rule, c, test, key in tests]))
             counted = df.select(F.explode(breaches).alias("b")).groupBy("b").agg(F.count("*").alias("n_rows"))
             found.append(counted.select(F.lit(name).alias("table_name"), "b.rule", F.col("b.c").alias("column_name"),
                                         "b.key", "n_rows"))

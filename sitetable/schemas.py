@@ -104,6 +104,20 @@ TABLES: dict[str, Table] = {
 }
 
 
+# The longest text, in characters, that a column is declared for (ids are content keys, of any length).
+LENGTHS: dict[str, dict[str, int]] = {
+    "sites": {"origin": 2048, "name": 255, "login_url": 2048},
+    "pages": {"url": 2048, "title": 512, "screenshot_path": 1024, "content_hash": 64},
+    "elements": {"tag": 64, "label": 512, "aria_label": 512},
+    "action_steps": {"before_screenshot_path": 1024, "after_screenshot_path": 1024, "before_dom_hash": 64, "after_dom_hash": 64},
+    "sync_tasks": {"source_url": 2048, "target_type": 32, "target_path": 1024},
+    "annotation_tasks": {"annotation_type": 32, "annotator_id": 256},
+    "training_records": {"split": 16},
+    "audit_logs": {"actor": 256, "action": 128, "resource_type": 64, "outcome": 16, "ip_address": 45},
+    "credentials": {"username": 512, "credential_type": 32},
+}
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project to the table's columns and types: defaults fill gaps, other columns are dropped."""
     spec = TABLES[table]

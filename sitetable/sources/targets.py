@@ -13,6 +13,7 @@ have any, the newest value of each column winning, and a bucket with ``MOST_DELT
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -400,21 +401,74 @@ class CsvTarget(FolderTarget):
         return read_wide_csv(self.spark, paths, strings).select("row.*")
 
 
+def merge_statement(table: str, staged: str, columns: Sequence[str], keys: Sequence[str], quote: str = '"') -> str:
+    """One statement that inserts or replaces the rows of a staged table by key (SQL:2003 MERGE)."""
+    def named(c: str) -> str:
+        return quote + c.replace(quote, 2 * quote) + quote
+
+    same = " AND ".join(f"(t.{named(k)} = s.{named(k)} OR (t.{named(k)} IS NULL AND s.{named(k)} IS NULL))" for k in keys)
+    rest = [c for c in columns if c not in keys]
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{named(c)} = s.{named(c)}' for c in rest)}" if rest else ""
+    return (f"MERGE INTO {table} t USING {staged} s ON ({same}){update} WHEN NOT MATCHED THEN INSERT "
+            f"({', '.join(map(named, columns))}) VALUES ({', '.join(f's.{named(c)}' for c in columns)})")
+
+
+def partition_options(column: str, low, high, parts: int) -> dict[str, str]:
+    """Options by which Spark reads a database table in ``parts`` tasks, each a range of a number or date column."""
+    if parts < 1:
+        raise ValueError("parts must be 1 or more")
+    return {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
 class JdbcTarget:
-    """A real database behind a JDBC url; tables are appended to in batches, by tasks that may run twice."""
+    """A real database behind a JDBC url; tables are appended to in batches, by tasks that may run twice.
+
+    An upsert writes a table of its own beside the target and merges it by one statement in the database, so a task
+    that runs twice, or a job that fails, leaves the target alone.
+    """
 
-    def __init__(self, spark: SparkSession, url: str, batch_size: int = 500, **options: str):
+    def __init__(self, spark: SparkSession, url: str, batch_size: int = 500, partitioned: dict[str, str] | None = None, **options: str):
         self.spark, self.url, self.batch_size, self.options = spark, url, batch_size, options
+        self.partitioned = partitioned or {}
 
-    def append(self, df: DataFrame, table: str, part: str | None = None) -> int:
+    def _save(self, df: DataFrame, table: str, mode: str) -> int:
         rows = Observation()
-        (_counted(df, rows).write.format("jdbc").mode("append").option("url", self.url).option("dbtable", table)
+        (_counted(df, rows).write.format("jdbc").mode(mode).option("url", self.url).option("dbtable", table)
            .option("batchsize", self.batch_size).options(**self.options).save())
         return rows.get["rows"]
 
+    def append(self, df: DataFrame, table: str, part: str | None = None) -> int:
+        return self._save(df, table, "append")
+
+    def _execute(self, statements: Sequence[str]) -> None:
+        """Run statements in one transaction, by the driver that Spark reads the url with."""
+        jvm = self.spark._jvm
+        properties = jvm.java.util.Properties()
+        for name, value in self.options.items():
+            properties.setProperty(name, value)
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, properties)
+        try:
+            connection.setAutoCommit(False)
+            for text in statements:
+                statement = connection.createStatement()
+                statement.execute(text)
+                statement.close()
+            connection.commit()
+        finally:
+            connection.close()
+
+    def upsert(self, df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str] = ()) -> int:
+        """Insert or replace by key; of rows that repeat a key the last by ``order`` counts. Returns the rows given."""
+        given, staged = Observation(), f"{table}_{uuid.uuid4().hex[:12]}"
+        best = one_per_key(_counted(df, given).withColumn("_key", F.struct(*quoted(keys))), ["_key"], order).select(*quoted(df.columns))
+        self._save(best, staged, "overwrite")
+        self._execute([merge_statement(table, staged, df.columns, keys), f"DROP TABLE {staged}"])
+        return given.get["rows"]
+
     def read(self, table: str, limit: int | None = None) -> DataFrame | None:
+        """The table: in one task, or in ranges of a column where ``partitioned`` (``partition_options``) says so."""
         found = read_or_none(lambda: self.spark.read.format("jdbc").option("url", self.url)
-                             .option("dbtable", table).options(**self.options).load())
+                             .option("dbtable", table).options(**self.options, **self.partitioned).load())
         return found if found is None or limit is None else found.limit(limit)
 
     def last_cursor(self, table: str, column: str = "updated_at") -> str | None:

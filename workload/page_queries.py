@@ -13,7 +13,7 @@ from sitetable.operators.steps import replay
 from sitetable.plans import actions as A
 from sitetable.session import scratch_dir
 from sitetable.sources.pagestore import PageStore
-from sitetable.sources.snapshots import boxed_elements, boxes, requests, to_pages
+from sitetable.sources.snapshots import boxed_elements, boxed_in_row, boxes, requests, to_pages
 from workload.inputs import (ACCOUNT_SQL, PAGE_SNAPSHOTS_SQL, SITE_PAGES_SQL, account_pages, page_snapshots,
                              site_pages, table, text, with_sql)
 from workload.registry import query
@@ -365,6 +365,18 @@ def boxed_page_elements(spark, sf):
                                                          F.col("bounding_box.x").alias("x"))
 
 
+@query("S14", with_sql(_ACCOUNT_ELEMENTS, select="""
+SELECT page_id, tag, elements.selector AS selector,
+       CASE WHEN tag = 'input' AND elements.selector = text_selector AND b0 THEN c_custkey + 1.0::DOUBLE
+            WHEN tag = 'input' AND elements.selector = text_selector AND b1 THEN c_custkey + 3.0::DOUBLE
+            WHEN tag = 'input' AND b1 AND elements.selector = 'form > input:nth-of-type(2)' THEN c_custkey + 2.0::DOUBLE END AS x
+FROM elements JOIN account ON account.id = elements.page_id WHERE is_interactive"""))
+def boxed_elements_in_row(spark, sf):
+    """The same, of pages that were parsed once: nothing is shuffled."""
+    parsed = P.parse_pages(_with_boxes(spark, sf), ("elements",), INTERACTIVE_TAGS)
+    return boxed_in_row(parsed, F.col("parsed.elements")).select("page_id", "tag", "selector", F.col("bounding_box.x").alias("x"))
+
+
 # -- plans -------------------------------------------------------------------
 
 _STEP = "page_id", "goal", "step_index", "action_type", "selector", "value", "description", "timeout_ms", "matched"

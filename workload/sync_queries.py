@@ -280,6 +280,18 @@ def rule_violations(spark, sf):
     return K.violations(tables)
 
 
+@query("P12", """
+SELECT 'pages' AS table_name, 'length' AS rule, c AS column_name, n::VARCHAR AS key, count(*) AS n_rows
+FROM (SELECT 'url' AS c, length(text) + 18 AS n FROM documents WHERE length(text) + 18 > 2048
+      UNION ALL SELECT 'title', length(text) FROM documents WHERE length(text) > 512) GROUP BY ALL""")
+def length_violations(spark, sf):
+    """Urls and titles that are longer than declared."""
+    docs = table(spark, sf, "documents")
+    pages = docs.select(text("doc_id").alias("id"), F.lit("s").alias("site_id"), F.concat(F.lit("https://d.example/"), F.col("text")).alias("url"),
+                        F.col("text").alias("title"), F.lit("list").alias("page_type"))
+    return K.violations({"pages": pages})
+
+
 @query("J8", "SELECT CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) AS BIGINT) AS n_source, count(*) AS n_target, "
        "count(*) FILTER (o_totalprice <= 400000) AS n_matched, "
        "round(count(*) FILTER (o_totalprice <= 400000) / sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END), 6) AS fidelity FROM orders")
