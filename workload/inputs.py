@@ -67,6 +67,12 @@ def _bit(n: int) -> Column:
     return F.floor(F.col("c_custkey") / F.lit(2 ** n)) % 2 == 1
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Slim rows of a scan with fewer tasks than cores, dealt to all cores before they grow into pages."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def account_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A page per customer with a form, links and a table; parts come and go with the bits of the key."""
     key = text("c_custkey")
@@ -85,7 +91,7 @@ def account_pages(spark: SparkSession, sf: str) -> DataFrame:
         "<table><tr><th>key</th><th>name</th><th>segment</th></tr><tr><td>", key, "</td><td>", F.col("c_name"),
         "</td><td>", F.col("c_mktsegment"), "</td></tr><tr><td>nation</td><td>", text("c_nationkey"),
         "</td><td></td></tr></table></body></html>"]
-    return table(spark, sf, "customer").select(
+    return dealt(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")).select(
         key.alias("id"), F.concat(F.lit("site-"), text("c_nationkey")).alias("site_id"),
         F.concat(F.lit("https://shop.example/account/"), key).alias("url"),
         F.concat(*[F.lit(p) if isinstance(p, str) else p for p in html]).alias("html"))
