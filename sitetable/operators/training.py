@@ -32,6 +32,9 @@ def unexported(records: DataFrame, data_type: str | None = None, limit: int | No
     if data_type is not None:
         out = out.filter(F.col("data_type") == data_type)
     if ledger is not None:
+        if "p_range" in ledger.columns:  # at most LEDGER_RANGES numbers
+            hit = [r[0] for r in out.select(ledger_range(F.col("id")).alias("r")).distinct().collect()]
+            ledger = ledger.filter(F.col("p_range").isin(*hit)) if hit else ledger.limit(0)
         out = out.join(ledger.select("id"), "id", "left_anti").select(*records.columns)
     return out if limit is None else out.orderBy("created_at", "id").limit(limit)
 
@@ -46,16 +49,25 @@ def record_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("data_type", "split").agg(F.count("*").alias("n_records"))
 
 
+LEDGER_RANGES = 64
+
+
+def ledger_range(record_id: Column) -> Column:
+    """The part of every export's ledger that an id is in; a null id is in the last."""
+    return F.coalesce(F.pmod(F.xxhash64(record_id), F.lit(LEDGER_RANGES - 1)).cast("int"), F.lit(LEDGER_RANGES - 1))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_or_none(lambda: spark.read.schema("id string, p_export string").parquet(path))
+    """Exported ids by export and range of their hash: a look-up reads the ranges it asks for."""
+    return read_or_none(lambda: spark.read.schema("id string, p_export string, p_range int").parquet(path))
 
 
 def export_records(records: DataFrame, out_dir: str, ledger_path: str, data_type: str | None = None,
                    mark: bool = True, limit: int | None = None, export_id: str | None = None) -> DataFrame:
     """Write pending records as JSON lines per (type, split); returns the counts, empty if none were pending.
 
-    Records go to ``p_export=<id>/p_type=…/p_split=…`` without a shuffle. Counts
-    and the ledger entry are read from the written files, and both steps
+    Records go to ``p_export=<id>/p_type=…/p_split=…`` without a shuffle. Of the ledger only the hash ranges of the
+    pending ids are read, so a small export does not read the ids of all time. Counts and the ledger entry are read from the written files, and both steps
     overwrite their own export id only. The ledger's entries of the same id do not
     count as exported, so an export can be repeated under its id, after a failure
     or a success, and writes the same lines again.
@@ -72,7 +84,8 @@ def export_records(records: DataFrame, out_dir: str, ledger_path: str, data_type
           .partitionBy("p_type", "p_split").json(target))
     written = spark.read.schema("id string, p_type string, p_split string").json(target)
     if mark:
-        written.select("id").write.mode("overwrite").parquet(f"{ledger_path}/p_export={export_id}")
+        ids = written.select("id", ledger_range(F.col("id")).alias("p_range"))
+        ids.repartition("p_range").write.mode("overwrite").partitionBy("p_range").parquet(f"{ledger_path}/p_export={export_id}")
     return written.groupBy(F.col("p_type").alias("data_type"), F.col("p_split").alias("split")) \
                   .agg(F.count("*").alias("n_records"))
 
