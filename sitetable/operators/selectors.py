@@ -111,7 +111,8 @@ def found_by_selector(pages: DataFrame, selectors: DataFrame, key: str = "id", m
     nodes = parse_pages(pages.select(key, "html"), ("nodes",), max_depth=max_depth).select(
         F.col(key).alias("page_id"), F.col("parsed.nodes").alias("nodes"))
     tests = asked.withColumn("tests", parsed_selector(F.col("selector")))
-    found = tests.join(nodes, "page_id").select("page_id", "selector", F.col("tests").isNotNull().alias("known"),
+    # merged: from the size of the scan Spark cannot tell what the parsed nodes weigh, and would broadcast them
+    found = tests.join(nodes.hint("merge"), "page_id").select("page_id", "selector", F.col("tests").isNotNull().alias("known"),
                                                 found_places(F.col("nodes"), F.col("tests")).alias("found"))
     return found.select("page_id", "selector", "known", F.coalesce(F.size("found"), F.lit(0)).alias("n_found"), F.get("found", F.lit(0)).alias("first_pos"))
 

@@ -77,3 +77,17 @@ def test_medians_by_counting(spark):
         assert {r["k"]: r["median"] for r in medians(df, "k", "v").collect()} == expected
     with pytest.raises(ValueError):
         medians(df.select("k", F.lit(1.5).alias("v")), "k", "v")
+
+
+def _no_broadcast(df):
+    """Rows of a frame, none of which went to the driver for a join."""
+    rows = df.collect()
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    return rows
+
+
+def test_nodes_of_pages_are_not_broadcast(spark):
+    pages = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("<p>x</p><p>y</p>").alias("html"))
+    asked = spark.range(4).select(F.col("id").cast("string").alias("page_id"), F.lit("p").alias("selector"))
+    rows = _no_broadcast(found_by_selector(pages, asked))
+    assert sorted((r["page_id"], r["n_found"]) for r in rows) == [("0", 2), ("1", 2), ("2", 2)]
