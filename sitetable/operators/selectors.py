@@ -127,7 +127,7 @@ def replay_on_pages(steps: DataFrame, pages: DataFrame, key: str = "id") -> Data
         own = F.concat(own, F.coalesce(F.col("fallback_selectors"), F.array().cast("array<string>")))
     tried = steps.select("id", "page_id", F.posexplode_outer(own).alias("_rank", "selector"))
     hits = found_by_selector(pages, tried, key).filter("n_found > 0").select("page_id", "selector", F.lit(True).alias("_hit"))
-    found = (tried.join(hits, ["page_id", "selector"], "left").groupBy("id", "page_id")
+    found = (tried.join(hits.hint("merge"), ["page_id", "selector"], "left").groupBy("id", "page_id")
              .agg(F.min(F.when(F.col("_hit"), F.struct("_rank", "selector"))).alias("_best"),
                   F.max(F.col("selector").isNotNull()).alias("_any")))
     return found.select("id", "page_id", F.when(F.col("_any"), F.col("_best").isNotNull()).alias("resolved"),

@@ -91,3 +91,9 @@ def test_nodes_of_pages_are_not_broadcast(spark):
     asked = spark.range(4).select(F.col("id").cast("string").alias("page_id"), F.lit("p").alias("selector"))
     rows = _no_broadcast(found_by_selector(pages, asked))
     assert sorted((r["page_id"], r["n_found"]) for r in rows) == [("0", 2), ("1", 2), ("2", 2)]
+
+
+def test_found_selectors_of_steps_are_not_broadcast(spark):
+    pages = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("<p>x</p>").alias("html"))
+    steps = pages.select("id", F.col("id").alias("page_id"), F.lit("b").alias("selector"), F.array(F.lit("p")).alias("fallback_selectors"))
+    assert sorted(map(tuple, _no_broadcast(replay_on_pages(steps, pages)))) == [(str(i), str(i), True, 1, "p") for i in range(3)]
