@@ -149,7 +149,8 @@ def replay(steps: DataFrame, elements: DataFrame) -> DataFrame:
     tried = steps.select("id", "page_id", F.posexplode_outer(own).alias("_rank", "_selector"))
     saved = elements.select(F.col("page_id"), F.col("selector").alias("_selector")).distinct() \
                     .withColumn("_hit", F.lit(True))
-    found = (tried.join(saved, ["page_id", "_selector"], "left")
+    # merged: from the size of the scan Spark cannot tell how many elements its pages hold, and would broadcast them
+    found = (tried.join(saved.hint("merge"), ["page_id", "_selector"], "left")
                   .groupBy("id", "page_id")
                   .agg(F.min(F.when(F.col("_hit"), F.struct("_rank", "_selector"))).alias("_best"),
                        F.max(F.col("_selector").isNotNull()).alias("_any")))

@@ -223,3 +223,11 @@ def test_requests_and_boxes(spark, pages_of):
                                   "aria_label:string,x:double,y:double,width:double,height:double>>")
     got = boxed_elements(elements, boxes(boxed)).orderBy("doc_pos").collect()
     assert [r["bounding_box"] and r["bounding_box"]["x"] for r in got] == [1.0, 2.0, None]
+
+
+def test_replay_does_not_broadcast_the_elements(spark):
+    pages = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("<a href=/x>x</a>").alias("html"))
+    steps = pages.select("id", F.col("id").alias("page_id"), F.lit("#gone").alias("selector"), F.array(F.lit("a")).alias("fallback_selectors"))
+    found = S.replay(steps, P.elements_table(pages))
+    assert sorted(map(tuple, found.collect())) == [(str(i), str(i), True, 1, "a") for i in range(3)]
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
