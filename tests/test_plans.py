@@ -71,3 +71,16 @@ def test_extract_strategy_and_json(pages_of):
 def test_plan_lengths(pages_of):
     pages = A.page_elements(pages_of("<p>x</p>"))
     assert A.plan_lengths(A.plan_extract(pages)).first()["n_steps"] == 1
+
+
+def test_replayed_plans_do_not_broadcast_the_plans(spark, tmp_path):
+    from workload.page_queries import replayed_plans
+    customers = spark.range(4).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"),
+                                      F.lit("s").alias("c_mktsegment"))
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    found = replayed_plans(spark, str(tmp_path))
+    rows = sorted((r["page_id"], r["description"], r["resolved"]) for r in found.collect() if r["page_id"] in "02")
+    fill, click, wait, password = ("Fill username / email", "Click login / submit", "Wait for navigation after login", "Fill password")
+    assert rows == sorted([(p, d, r) for p in "02" for d, r in ((fill, True), (click, False), (wait, None))] + [("2", password, True)],
+                          key=lambda row: row[:2])
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
