@@ -173,3 +173,15 @@ def test_sync_stream_is_incremental(spark, tmp_path):
         rows(spark, *batch).write.mode("append").parquet(src)
         flows.stream_sync(stream, "parquet", out, "t", state, {"name": "who"}, ["who"]).awaitTermination()
     assert sorted(map(tuple, open_target(spark, "parquet", out).read("t").collect())) == [("a", 1), ("b", 3)]
+
+
+def test_page_stream_reads_a_table_of_part_files(spark, tmp_path):
+    from workload.sync_queries import page_stream
+    pages = spark.range(6).select(F.col("id").alias("page_id"), F.concat(F.lit("https://x.example/"), "id").alias("url"),
+                                  F.concat(F.lit('<a href="/x">'), "id", F.lit("</a>")).alias("html"))
+    pages.repartition(3).write.parquet(str(tmp_path / "parts" / "pages.parquet"))
+    (tmp_path / "one").mkdir()
+    pages.toPandas().to_parquet(tmp_path / "one" / "pages.parquet")
+    for place in ("parts", "one"):
+        rows = page_stream(spark, str(tmp_path / place)).collect()
+        assert sorted((r["url"], r["n_elements"]) for r in rows) == [(f"https://x.example/{i}", 1) for i in range(6)]

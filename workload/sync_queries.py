@@ -364,7 +364,7 @@ def audit_table_counts(spark, sf):
 def _page_stream(spark, sf):
     """The pages file as a stream, each page sent twice."""
     schema = table(spark, sf, "pages").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/pages.parque[t]")  # one file, or a folder of part files
     return rows.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("site_id"), "url", "html",
         F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("collected_at"))
