@@ -57,6 +57,35 @@ class Scratch:
         self.paths = [""] * len(self.paths)
 
 
+KEY_BITS, MOST_BITS = 32, 1 << 28  # of a bitmap of keys: bits a key, and bits at most (32 MB)
+
+
+def marked(df: DataFrame, key: list[Column], keys: DataFrame, scratch: Scratch, name: str, result: bool = False) -> DataFrame:
+    """``df`` and ``_marked``: false only where no row of ``keys`` equals ``key``; few other rows are true.
+
+    A bitmap of hashed keys goes to every executor, so that rows that cannot have a partner need not move to a join,
+    which has to follow for the others. Its size follows the number of keys up to MOST_BITS; beyond that more rows
+    are marked than have a partner. ``keys`` is read twice: store it before.
+    """
+    wanted, bits = KEY_BITS * keys.count(), 1 << 15
+    if not wanted:
+        return df.withColumn("_marked", F.lit(False))
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+
+    def place(columns: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+
+    at = F.bitmap_bit_position("_place")
+    marks = keys.select(place([F.col(c) for c in keys.columns]).alias("_place")).select(F.bitmap_bucket_number("_place").alias("_part"), at.alias("_at"))
+    # dealt before they are folded: a task's own bitmaps would be larger than its keys
+    marks = scratch.store(marks.repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits")), f"{name}-marks", result)
+    placed = df.withColumn("_place", place(key)).withColumns({"_part": F.bitmap_bucket_number("_place"), "_at": at})
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(marks), "_part", "left").select(
+        *df.columns, F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False)).alias("_marked"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, salted_join
+from .common import Scratch, col, marked, salted_join
 
 # fixed values: the base patterns and least lengths
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -202,9 +202,14 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     names = docs.columns
     told = scan(docs, id_col, text_col, owner_col, **options).filter("n_live > 0").select(
         "key", F.filter("found", lambda s: s["live"]).alias("found")).dropDuplicates(["key"])
-    told = Scratch(docs.sparkSession, "secrets-mask").store(told, "told", result=True)
+    scratch = Scratch(docs.sparkSession, "secrets-mask")
+    told = scratch.store(told, "told", result=True)
     packed = docs.select(F.struct(*[col(c) for c in names]).alias("row"))
-    joined = packed.withColumn("key", row_key(F.col("row")[id_col], F.col("row")[text_col])).join(told, "key", "left")
+    packed = packed.withColumn("key", row_key(F.col("row")[id_col], F.col("row")[text_col]))
+    # texts without anything to mask need not move
+    packed = marked(packed, [F.col("key")], told.select("key"), scratch, "told", result=True)
+    clean = packed.filter("NOT _marked").select(*[F.col("row")[c].alias(c) for c in names])
+    joined = packed.filter("_marked").join(told, "key", "left")
     body = F.col("row")[text_col]
 
     # what is before each span: the reach of all spans before it; overlapping spans are masked as one
@@ -226,4 +231,4 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     masked = F.concat(F.array_join(F.transform("found", before_and_mark), ""), part(F.element_at("reach", -1), F.length(body)))
     new = F.when(F.col("found").isNull(), body).otherwise(masked)
-    return joined.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in names])
+    return clean.union(joined.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in names]))

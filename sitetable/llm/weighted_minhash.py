@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, salted_join
+from .common import Scratch, col, marked, salted_join
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -156,6 +156,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _own(row_id: Column) -> Column:
+    """An id as a text that is never null."""
+    return F.coalesce(row_id.cast("long").cast("string"), F.lit("null"))
+
+
 def _banded(docs: DataFrame, id_col: str, text_col: str, table) -> DataFrame:
     """(id, key, bands): null bands for texts without words."""
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, scratch: Scratch, name:
                                               pa.array(plain, pa.float64())], ["centre", "key", "weighted", "plain"])
 
     # texts lie in buckets by key, so pairs move to them; no broadcast that only a small corpus would allow
-    pairs = scratch.store(pairs.join(texts.hint("merge"), "key"), f"{name}-left")
+    pairs = scratch.store(pairs.join(texts.select("key", "text").hint("merge"), "key"), f"{name}-left")
     right = texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text"))
     both = salted_join(pairs, right, "centre", F.xxhash64("key"), hint="merge")
     return scratch.store(both.mapInArrow(compare, "centre binary, key binary, weighted double, plain double"), f"{name}-verified")
@@ -274,14 +279,15 @@ def _all_pairs(left: DataFrame, places: DataFrame, texts: DataFrame, table, thre
                 out += [(keys[one], keys[j]) for j in second[met[i]] if alike[j] >= threshold]
         return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
-    whole = left.join(places, "key").join(texts.hint("merge"), "key")
-    whole = scratch.store(whole, "open-texts")
-    sizes = whole.groupBy("bucket").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    dealt = salted_join(whole, scratch.store(sizes, "blocks"), "bucket", F.xxhash64("key")).withColumn(
+    # rows are dealt without their texts, which join them last
+    slim = scratch.store(left.join(places, "key").join(texts.select("key", "chars").hint("merge"), "key"), "open")
+    sizes = slim.groupBy("bucket").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = salted_join(slim, scratch.store(sizes, "blocks"), "bucket", F.xxhash64("key")).withColumn(
         "block", F.pmod(F.xxhash64("key", "bucket"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "root", "places", "text")
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "root", "places")
+    dealt = scratch.store(dealt, "dealt").join(texts.select("key", "text").hint("merge"), "key")
     return scratch.store(dealt.groupBy("bucket", "lo", "hi").applyInArrow(links_of, "a binary, b binary"), "more")
 
 
@@ -321,11 +327,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.store(places.select("key", F.explode("places").alias("bucket")), "buckets")
     members = _centred(buckets, scratch, "bands")
     # of equal texts the one with the smallest id is fetched, so that the copies of a text do not meet
-    needed = scratch.store(members.select("key").distinct().join(texts.select("key", "id"), "key"), "needed")
-    whole = docs.select(text_key(col(text_col)).alias("key"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    bodies = whole.join(needed.hint("merge"), (whole.key == needed.key) & whole.id.eqNullSafe(needed.id), "left_semi")
+    needed = members.select("key").distinct().join(texts.select("key", "id"), "key")
+    needed = scratch.store(needed.select("key", _own(F.col("id")).alias("own")), "needed")
+    whole = docs.select(text_key(col(text_col)).alias("key"), _own(col(id_col)).alias("own"), col(text_col).alias("text"))
+    bodies = marked(whole, [F.col("key"), F.col("own")], needed, scratch, "needed").filter("_marked").drop("_marked")
+    bodies = bodies.join(needed.hint("merge"), ["key", "own"], "left_semi").dropDuplicates(["key", "own"])
     # in buckets: every round fetches the texts of its own pairs, and the others stay where they are
-    bodies = scratch.bucketed(bodies.dropDuplicates(["key", "id"]).select("key", "text"), "bodies", "key")
+    bodies = scratch.bucketed(bodies.select("key", "text", F.length("text").alias("chars")), "bodies", "key")
     alike = F.greatest("weighted", "plain") >= threshold
     seen, before = None, float("inf")
     while True:
@@ -363,10 +371,15 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     """One document of each class, the one with the smallest id, all columns kept; wordless documents all stay."""
     names = docs.columns
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))) \
-        .select(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "text_key").alias("row_key")).distinct()
-    keep = Scratch(docs.sparkSession, "unique").store(keep, "keep", result=True)
+    scratch = Scratch(docs.sparkSession, "unique")
+    told = found.select(F.concat_ws(":", _own(F.col(id_col)), "text_key").alias("row_key"), (
+        F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))).alias("keep"))
+    told = told.groupBy("row_key").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
+    # a row that stays and has no copy of its own need not move
+    moved = scratch.store(told.filter("NOT keep OR n > 1").select("row_key", "keep"), "moved", result=True)
     packed = docs.select(F.struct(*[col(c) for c in names]).alias("row"))
-    key = F.concat_ws(":", F.coalesce(F.col("row")[id_col].cast("string"), F.lit("null")), F.lower(F.hex(text_key(F.col("row")[text_col]))))
-    kept = packed.withColumn("row_key", key).join(keep, "row_key", "left_semi").dropDuplicates(["row_key"])
+    key = F.concat_ws(":", _own(F.col("row")[id_col]), F.lower(F.hex(text_key(F.col("row")[text_col]))))
+    packed = marked(packed.withColumn("row_key", key), [F.col("row_key")], moved.select("row_key"), scratch, "moved", result=True)
+    rest = packed.filter("_marked").join(moved.filter("NOT keep"), "row_key", "left_anti").dropDuplicates(["row_key"])
+    kept = packed.filter("NOT _marked").select("row").union(rest.select("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in names])
