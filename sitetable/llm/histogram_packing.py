@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, col
 
 SIZE, END_ID = 2048, 1
-CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 240 << 20, 150, 64  # of a worker's known words; longer words are not kept
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 96 << 20, 150, 64  # of a worker's known words; longer words are not kept
 WORD_END = "</w>"
 PIECES_PER_CHUNK = 20_000
 MARKS = frozenset(".,")
@@ -43,14 +43,18 @@ def _blanks(text: str) -> str:
 
 
 class WordIds:
-    """Little-endian 32-bit ids of words, kept for the words seen last."""
+    """Little-endian 32-bit ids of words, kept for the words seen last.
+
+    Words are kept in two halves: once the newer is full it becomes the older, whose words return to the newer when
+    they come again and else go with it. So frequent words stay, and the bytes kept are bounded.
+    """
 
     def __init__(self, path: str):
         # Spark runs a task per core: threads of a task's own would only contend
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.known, self.older, self.held = Tokenizer.from_file(path), {}, {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -68,11 +72,13 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of new words; all but very long ones are kept."""
-        known = self.known
-        cores = {w: _core(w) for w in words}
-        missing = {c for c, _ in cores.values()}.union(MARKS).difference(known)
-        new: dict[str, bytes] = {}
+        """The ids of words that the newer half lacks; all but very long ones are kept there."""
+        known, older = self.known, self.older
+        new: dict[str, bytes] = {w: older[w] for w in words if w in older}
+        cores = {w: _core(w) for w in words if w not in new}
+        missing = {c for c, _ in cores.values()}.union(MARKS).difference(known, new)
+        new.update([(c, older[c]) for c in missing if c in older])
+        missing.difference_update(new)
         for part in ([w for w in missing if w.isalpha()], [w for w in missing if not w.isalpha()]):
             for at in range(0, len(part), 2000):
                 new.update(zip(part[at:at + 2000], self._coded(part[at:at + 2000]), strict=True))
@@ -85,8 +91,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_blanks(t).split(" ") for t in texts]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         known = self.known
         new = set().union(*split).difference(known)
         long = self._learn(new) if new else {}
@@ -116,19 +122,28 @@ def _core(word: str) -> tuple[str, str]:
     return core.lower() if core.isascii() and core.isalpha() else core, mark
 
 
-@functools.cache
-def _kept(path: str) -> WordIds:
-    """A worker process keeps its words from task to task."""
-    return WordIds(path)
+class _Kept:
+    """A worker process keeps its words from task to task, as it does the value of a broadcast.
+
+    So they go as soon as the worker gets a task of another job, which needs the memory for its own work.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @functools.cached_property
+    def ids(self) -> WordIds:
+        return WordIds(self.path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
            end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     end = np.array([end_id], "<u4").tobytes()
+    kept = docs.sparkSession.sparkContext.broadcast(_Kept(tokenizer_path))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _kept(tokenizer_path)
+        ids = kept.value.ids
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             totals, sums = [], []
